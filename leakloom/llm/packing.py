@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from .common import bound_batches, text_of
 
 #: Distinct words, and parts between blanks, whose ids a worker remembers (some 200 bytes each):
 #: the first ones it meets; further ones are encoded each time.
-MEMO_WORDS = 1 << 19
+MEMO_WORDS = 1 << 20
 
 
 class WordTokenizer:
@@ -78,14 +79,21 @@ class WordTokenizer:
         first, *rest = text.split(" ")
         memo = self.parts
         found = list(map(memo.get, rest))
-        for i, ids in enumerate(found):
-            if ids is None:
-                ids = found[i] = self.by_word(" " + rest[i])
-                if len(memo) < MEMO_WORDS and len(rest[i]) < 64:
-                    memo[rest[i]] = ids
+        i = -1
+        for _ in range(found.count(None)):
+            i = found.index(None, i + 1)
+            ids = found[i] = self.by_word(" " + rest[i])
+            if len(memo) < MEMO_WORDS and len(rest[i]) < 64:
+                memo[rest[i]] = ids
         return self.by_word(first) + b"".join(found)
 
 
+@cache
+def word_tokenizer(path: str, pattern: str) -> WordTokenizer:
+    """One per worker process, so that the next task finds what an earlier one remembered."""
+    return WordTokenizer(path, pattern)
+
+
 def piece_lengths(n: int, seq_len: int) -> list[int]:
     """The lengths of a document of ``n`` tokens: full sequences, then the binary digits of the rest."""
     rest = n % seq_len
@@ -102,7 +110,7 @@ def pack(docs: DataFrame, tokenizer: str, pattern: str, seq_len: int = 2048, end
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordTokenizer(tokenizer, pattern)
+        encode = word_tokenizer(tokenizer, pattern)
         for batch in batches:
             at, start, length, ids, total = [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
