@@ -1 +1 @@
-""""""
+"""Functions on values and columns."""

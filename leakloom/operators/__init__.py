@@ -1 +1 @@
-""""""
+"""Operators: the registry, the detect stage, states and roll-ups."""

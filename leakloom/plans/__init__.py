@@ -1 +1 @@
-""""""
+"""Whole scans, and the registered queries."""
