@@ -8,15 +8,16 @@ are thrown (some k ln k of them, however long the text), further ones where a co
 Equal coordinates are as likely as the weighted Jaccard similarity.
 
 Documents are joined on bands of five coordinates: of pairs at 0.8, 3 in a million share none of the
-32 bands. Candidates are checked on the signature (0.65: 4.5 standard deviations below 0.8) and then
-exactly on the texts. So that a group isn't compared pair by pair:
+32 bands. Candidates are checked exactly, on the texts. So that a group isn't compared pair by pair:
 
 * equal word sequences are one node;
 * each bucket is first compared with its smallest member only, and what links becomes one component;
-* only buckets that still hold several components are compared further, across components, between
-  documents whose sizes allow a similarity of 0.8.
+* buckets that still hold several components are then compared across these, in blocks of two chunks
+  of members, by their signatures and where these are near by their texts; a block gives the links that
+  join its components (a spanning forest) and leaves out pairs that are joined already.
 
-So no link between components is left out, while a bucket of near copies costs a row per member.
+So no link between components is left out, while a bucket costs a row per member and chunk, and gives
+fewer links than it has members. A task holds two chunks of a bucket, however large it is.
 
 Defined cases: a text without words (also null) is a class of its own; one with fewer words than a
 shingle is one shingle; a null id is a class of its own (null); rows that repeat an id count as one
@@ -29,6 +30,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +43,8 @@ COORDINATES = BANDS * ROWS
 SHINGLE, LEAST = 5, 0.8
 #: Signatures that agree in a smaller share can't (but for one pair in 300,000) reach ``LEAST``.
 LEAST_ESTIMATE = 0.65
+#: Members of a bucket that are compared at a time.
+CHUNK = 512
 _SCALE = 2.0**-53
 
 
@@ -120,39 +124,26 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return rows.mapInArrow(run, "doc_id long, key binary, n long, short binary, bands array<long>")
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose signatures agree often enough."""
-    bound_batches(pairs.sparkSession, 4096)
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("short").alias(f"short_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "short_a", "short_b")
+def _units(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """The units of all texts, sorted within each, and where each text's begin."""
+    data, offsets = utf8(texts)
+    shingles, bounds = shingle_hashes(*word_hashes(data, offsets), SHINGLE)
+    return regions(shingles, bounds)[0], bounds
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(-1, COORDINATES) for c in batch.columns[2:])
-                yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(1) >= LEAST_ESTIMATE))
 
-    return both.mapInArrow(run, "a long, b long")
+def _similarity(x: np.ndarray, y: np.ndarray) -> float:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 0.0
 
 
 def jaccard(texts_a: list, texts_b: list) -> list[float]:
     """Weighted Jaccard similarity of the shingles of texts, pair by pair."""
-    units = []
-    for texts in (texts_a, texts_b):
-        data, offsets = utf8(texts)
-        shingles, bounds = shingle_hashes(*word_hashes(data, offsets), SHINGLE)
-        units.append((regions(shingles, bounds)[0], bounds))
-    (u, at), (v, to) = units
-    out = []
-    for i in range(len(texts_a)):
-        x, y = u[at[i] : at[i + 1]], v[to[i] : to[i + 1]]
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        out.append(both / (len(x) + len(y) - both) if len(x) + len(y) else 0.0)
-    return out
+    (u, at), (v, to) = _units(texts_a), _units(texts_b)
+    return [_similarity(u[at[i] : at[i + 1]], v[to[i] : to[i + 1]]) for i in range(len(texts_a))]
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose texts are similar enough."""
+    """(a, b, similarity) of pairs, from their texts."""
     bound_batches(pairs.sparkSession, 64)
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
@@ -160,9 +151,73 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = jaccard(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            yield batch.select(["a", "b"]).filter(pa.array([x >= LEAST for x in s], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64())], ["a", "b", "similarity"])
+
+    return both.mapInArrow(run, "a long, b long, similarity double")
+
 
-    return both.mapInArrow(run, "a long, b long")
+def _compare(block: pd.DataFrame) -> pd.DataFrame:
+    """Links between the components of a block of one bucket: as many as join them, not all.
+
+    A pair is compared where its first common band is, once it is known that its ends aren't joined.
+    """
+    sig = np.frombuffer(b"".join(block["short"]), "<u2").reshape(-1, COORDINATES)
+    node, component, n, chunk = (block[c].to_numpy() for c in ("node", "component", "n", "chunk"))
+    band, i, j = (int(block[c].iloc[0]) for c in ("band", "i", "j"))
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    units = None
+    out = []
+    right = np.flatnonzero(chunk == j)
+    for x in np.flatnonzero(chunk == i):
+        y = right if i != j else right[right > x]
+        y = y[(component[y] != component[x]) & (n[y] >= LEAST * n[x]) & (n[x] >= LEAST * n[y])]
+        equal = sig[y] == sig[x]
+        near = equal.mean(1) >= LEAST_ESTIMATE
+        y, equal = y[near], equal[near]
+        for z in y[equal.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band]:
+            a, b = root(int(component[x])), root(int(component[z]))
+            if a == b:
+                continue
+            units = _units(block["text"].tolist()) if units is None else units
+            u, at = units
+            if _similarity(u[at[x] : at[x + 1]], u[at[z] : at[z + 1]]) >= LEAST:
+                parent[a] = b
+                out.append((node[x], node[z], component[x], component[z]))
+    return pd.DataFrame(out, columns=["a", "b", "ca", "cb"], dtype="int64")
+
+
+def _across(members: DataFrame, found: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b, ca, cb) between components that share a bucket; large buckets are compared chunk by chunk."""
+    named = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = named.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("size")).where("c1 < c2")
+    rest = named.join(mixed.select("bucket", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")), "bucket")
+    rest = checkpointed(rest.select("bucket", "band", "node", "n", "component", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk")))
+    bound_batches(members.sparkSession, 256)
+    own = rest.select("node").distinct().join(texts.select(F.col("doc_id").alias("node"), "text"), "node").join(nodes.select("node", "short"), "node")
+    blocks = rest.join(own, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    blocks = blocks.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
+    return blocks.drop("chunks", "other").groupBy("bucket", "i", "j").applyInPandas(_compare, "a long, b long, ca long, cb long")
+
+
+def _links(members: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, component) of all nodes that are similar to another one."""
+    first = members.where("node > low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    found = checkpointed(components(_verified(first, texts).where(F.col("similarity") >= LEAST).select("a", "b")))
+    edges = checkpointed(_across(members, found, nodes, texts))
+    if edges.isEmpty():
+        return found
+    top = checkpointed(components(edges.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+    ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ca").alias("component")), F.struct(F.col("b").alias("node"), F.col("cb").alias("component")))).alias("x")
+    every = found.unionByName(edges.select(ends).select("x.*")).distinct()
+    moved = top.select(F.col("node").alias("component"), F.col("component").alias("now"))
+    return every.join(moved, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,22 +225,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketched = checkpointed(sketch(docs, id_col, text_col))
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     nodes = checkpointed(sketched.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("node"), F.any_value("n").alias("n"), F.any_value("short").alias("short"), F.any_value("bands").alias("bands")))
-    members = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    members = nodes.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
     buckets = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket", "low")
     members = checkpointed(members.join(buckets, "bucket"))
-    first = members.where("node > low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    edges = checkpointed(_verified(_alike(first, nodes), texts))
-    found = checkpointed(components(edges))
-    named = members.select("bucket", "node", "n").join(found, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    rest = checkpointed(named.join(mixed, "bucket"))
-    x, y = rest.alias("x"), rest.alias("y")
-    sizes = (F.col("x.n") >= LEAST * F.col("y.n")) & (F.col("y.n") >= LEAST * F.col("x.n"))
-    across = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")) & sizes)
-    second = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = checkpointed(_verified(_alike(second, nodes), texts))
-    if not more.isEmpty():
-        found = checkpointed(components(edges.unionByName(more)))
+    found = _links(members, nodes, texts)
     classes = nodes.select("key", "node").join(found, "node", "left").select("key", F.coalesce("component", "node").alias("class_id"))
     out = sketched.select("doc_id", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(classes, "key", "left")
     out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
