@@ -38,7 +38,7 @@ PREFIXES = (4, 5, 6)
 #: A feature is in this share of the sampled toxic documents, and in 5 at least, and this many times more often than in clean ones.
 LEAST_SHARE, LEAST_DOCS, LEAST_RATIO = 0.01, 5, 25.0
 WINDOW = 6
-MEMO_WORDS = 1 << 19
+MEMO_WORDS = 1 << 18
 PREDICT_AT = 0.3
 
 
