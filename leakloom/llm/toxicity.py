@@ -138,15 +138,17 @@ class Scorer:
 def _counts(texts: list[str], least: float = 0.0, wanted: set[str] | None = None) -> dict[str, int]:
     """In how many texts each feature is, copies counted once.
 
-    Near copies mostly share the word with the smallest hash; texts that do are one group. Of three
-    such groupings that with the fewest groups counts.
+    Near copies mostly share the run of three words with the smallest hash; texts that do are one
+    group. Of three such groupings that with the fewest groups counts.
     """
-    words = [set(_WORD.findall(t.lower())) for t in texts]
+    tokens = [_WORD.findall(t.lower()) for t in texts]
+    words = [set(w) for w in tokens]
+    runs = [{" ".join(w[i : i + 3]).encode() for i in range(max(1, len(w) - 2))} for w in tokens]
     out: dict[str, int] | None = None
-    for salt in ("a", "b", "c"):
+    for salt in (1, 2, 3):
         groups: dict[int, set[str]] = {}
-        for w in words:
-            groups.setdefault(min((crc32((salt + x).encode()) for x in w), default=0), set()).update(w)
+        for w, own in zip(words, runs):
+            groups.setdefault(min(crc32(x, salt) for x in own), set()).update(w)
         found: Counter = Counter()
         for w in groups.values():
             own = {f for x in w for f in features(x)}
