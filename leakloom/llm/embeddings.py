@@ -4,8 +4,9 @@ A vector is rotated and cut into blocks; each block has a small random code of u
 every tuple of code words is a filter direction. List decoding finds all directions whose inner
 product with the vector exceeds a threshold, block by block, dropping tuples that can't reach it.
 Vectors of a label are compared inside each filter that two of them share; every candidate is checked
-by its cosine in double precision. With the defaults a vector is in some 16 of 4096 filters, and two
-at a cosine of 0.93 share none about once in several thousand pairs (measured in the tests).
+by its cosine in double precision. There are three independent codes; with the defaults a vector is in
+some 16 of the 4096 filters of each. Of pairs of 64 components at a cosine of exactly 0.93, one code
+finds 90 %, two 99.0 % and three 99.9 % (measured in the tests; closer pairs more often).
 
 Equal vectors of a label are one representative with a count. A filter's members are split into
 chunks of at most ``CHUNK`` and compared chunk by chunk, so no task holds more than two chunks of a
@@ -33,17 +34,21 @@ from .common import bound_batches, checkpointed
 from .components import components
 
 LEAST = 0.93
+#: Independent codes; two vectors must share a filter in one of them.
+TABLES = 3
 BLOCKS, WORDS = 2, 64
-#: Filters that a random vector is in, on average.
+#: Filters of each code that a random vector is in, on average.
 LIST = 16.0
+#: Neighbouring filters that one task call compares, each by itself.
+TOGETHER = 8
 CHUNK = 1024
 SEED = 7
 
 
 @cache
-def code(dim: int, blocks: int = BLOCKS, words: int = WORDS, wanted: float = LIST) -> tuple[np.ndarray, tuple[np.ndarray, ...], float]:
+def code(dim: int, table: int = 0, blocks: int = BLOCKS, words: int = WORDS, wanted: float = LIST) -> tuple[np.ndarray, tuple[np.ndarray, ...], float]:
     """The rotation, each block's code words (scaled so that tuples are unit vectors), and the threshold."""
-    rng = np.random.default_rng([SEED, dim])
+    rng = np.random.default_rng([SEED, dim, table])
     rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
     blocks = min(blocks, dim)
     parts = []
@@ -59,12 +64,18 @@ def code(dim: int, blocks: int = BLOCKS, words: int = WORDS, wanted: float = LIS
 
 
 def decode(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, filter) of all codes."""
+    found = [_decode(unit, t) for t in range(TABLES)]
+    return np.concatenate([r for r, _ in found]), np.concatenate([f + (t << 32) for t, (_, f) in enumerate(found)])
+
+
+def _decode(unit: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, filter) for every filter direction that exceeds the threshold; rows are unit vectors.
 
     A vector that none exceeds is in its best filter, so each is in one at least.
     """
     n, dim = unit.shape
-    rotation, parts, least = code(dim)
+    rotation, parts, least = code(dim, table)
     x = unit @ rotation.T
     scores = [x[:, own] @ c.T for own, c in zip(np.array_split(np.arange(dim), len(parts)), parts)]
     best = [s.max(1) for s in scores]
@@ -87,15 +98,28 @@ def _usable(v: list | None) -> np.ndarray | None:
     return a if 0 < size < np.inf else None
 
 
+def _packed(v: np.ndarray) -> bytes:
+    """The components as single precision where that is exact, else as double."""
+    with np.errstate(over="ignore"):
+        single = v.astype(np.float32)
+    return (single if (single == v).all() else v).tobytes()
+
+
+def _unpacked(data: list[bytes], dim: int) -> np.ndarray:
+    if all(len(x) == 4 * dim for x in data):
+        return np.frombuffer(b"".join(data), np.float32).reshape(-1, dim).astype(np.float64)
+    return np.stack([np.frombuffer(x, np.float32 if len(x) == 4 * dim else np.float64).astype(np.float64) for x in data])
+
+
 def _prepared(vectors: DataFrame) -> DataFrame:
-    """(vec_id, label, dim, key, data): the vector as doubles; null data where it links with nothing."""
+    """(vec_id, label, dim, key, data): the vector's components; null data where it links with nothing."""
     bound_batches(vectors.sparkSession, 2048)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [None if label is None else _usable(v) for label, v in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            data = [None if a is None else (a + 0.0).tobytes() for a in own]
+            data = [None if a is None else _packed(a + 0.0) for a in own]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([0 if a is None else len(a) for a in own], pa.int32()), pa.array([None if d is None else hashlib.blake2b(d, digest_size=16).digest() for d in data], pa.binary()), pa.array(data, pa.binary())], ["vec_id", "label", "dim", "key", "data"])
 
     return rows.mapInArrow(run, "vec_id long, label string, dim int, key binary, data binary")
@@ -111,7 +135,7 @@ def _filtered(nodes: DataFrame) -> DataFrame:
             data = batch.column(3).to_pylist()
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
-                x = np.frombuffer(b"".join(data[i] for i in at), np.float64).reshape(-1, dim)
+                x = _unpacked([data[i] for i in at], dim)
                 row, own = decode(x / np.linalg.norm(x, axis=1, keepdims=True))
                 for lo in range(0, len(row), 4096):
                     part = batch.take(pa.array(at[row[lo : lo + 4096]]))
@@ -121,15 +145,20 @@ def _filtered(nodes: DataFrame) -> DataFrame:
 
 
 def _within(block: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a block that reach the cosine: all of one chunk, or those between two chunks."""
-    dim = int(block["dim"].iloc[0])
-    x = np.frombuffer(b"".join(block["data"]), np.float64).reshape(-1, dim)
+    """Pairs of a block that reach the cosine, filter by filter: all of one chunk, or those between two chunks."""
+    block = block.sort_values("filter")
+    x = _unpacked(block["data"].tolist(), int(block["dim"].iloc[0]))
     norm = np.sqrt((x * x).sum(1))
-    node, chunk = block["node"].to_numpy(), block["chunk"].to_numpy()
-    left, right = chunk == block["i"].iloc[0], chunk == block["j"].iloc[0]
-    cosine = (x[left] @ x[right].T) / norm[left][:, None] / norm[right][None, :]
-    a, b = np.nonzero(cosine >= LEAST)
-    a, b = node[left][a], node[right][b]
+    node, chunk, own = block["node"].to_numpy(), block["chunk"].to_numpy(), block["filter"].to_numpy()
+    i, j = block["i"].iloc[0], block["j"].iloc[0]
+    cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+    found = []
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        left, right = lo + np.flatnonzero(chunk[lo:hi] == i), lo + np.flatnonzero(chunk[lo:hi] == j)
+        cosine = (x[left] @ x[right].T) / norm[left][:, None] / norm[right][None, :]
+        a, b = np.nonzero(cosine >= LEAST)
+        found.append(np.stack([node[left[a]], node[right[b]]]))
+    a, b = np.concatenate(found, 1)
     on = a != b
     return pd.DataFrame({"a": np.minimum(a, b)[on], "b": np.maximum(a, b)[on]}).drop_duplicates()
 
@@ -143,7 +172,7 @@ def links(nodes: DataFrame) -> DataFrame:
     chunked = chunked.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     blocks = chunked.select(*group, "node", "data", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     blocks = blocks.select(*group, "node", "data", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    return blocks.groupBy(*group, "i", "j").applyInPandas(_within, "a long, b long").distinct()
+    return blocks.groupBy("label", "dim", F.floor(F.col("filter") / TOGETHER).alias("filters"), "i", "j").applyInPandas(_within, "a long, b long").distinct()
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
