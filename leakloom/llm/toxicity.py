@@ -141,14 +141,18 @@ def _counts(texts: list[str], least: float = 0.0, wanted: set[str] | None = None
     Near copies mostly share the run of three words with the smallest hash; texts that do are one
     group. Of three such groupings that with the fewest groups counts.
     """
-    tokens = [_WORD.findall(t.lower()) for t in texts]
-    words = [set(w) for w in tokens]
-    runs = [{" ".join(w[i : i + 3]).encode() for i in range(max(1, len(w) - 2))} for w in tokens]
+    salts, known = (1, 2, 3), {}
+    words, least_runs = [], []
+    for text in texts:  # one text at a time: only its distinct words stay, each string once for all texts
+        w = [known.setdefault(x, x) for x in _WORD.findall(text.lower())]
+        runs = {" ".join(w[i : i + 3]).encode() for i in range(max(1, len(w) - 2))}
+        words.append(tuple(set(w)))
+        least_runs.append([min(crc32(x, salt) for x in runs) for salt in salts])
     out: dict[str, int] | None = None
-    for salt in (1, 2, 3):
+    for k in range(len(salts)):
         groups: dict[int, set[str]] = {}
-        for w, own in zip(words, runs):
-            groups.setdefault(min(crc32(x, salt) for x in own), set()).update(w)
+        for w, own in zip(words, least_runs):
+            groups.setdefault(own[k], set()).update(w)
         found: Counter = Counter()
         for w in groups.values():
             own = {f for x in w for f in features(x)}
@@ -168,11 +172,11 @@ def lexicon(toxic: list[str], clean: list[str]) -> set[str]:
     return {f for f in in_toxic if rate(f) >= LEAST_RATIO}
 
 
-def _windows(texts: list[str], chosen: set[str], label: int) -> list[tuple[list[list[str]], list[int]]]:
+def _windows(texts: list[str], chosen: set[str], label: int) -> list[tuple[list[tuple[str, ...]], list[int]]]:
     """Windows of tokens, each a list of features and its label: around features, and one other per text."""
     out = []
     for text in texts:
-        words = [[f for f in features(w) if f in chosen] for w in _WORD.findall(text.lower())]
+        words = [tuple(f for f in features(w) if f in chosen) for w in _WORD.findall(text.lower())]
         at = [i for i, w in enumerate(words) if w]
         centres, last = [len(words) // 2], -WINDOW
         for i in at[:50]:
@@ -205,6 +209,7 @@ def fit(toxic: list[str], clean: list[str], shares: tuple[float, float] = (1.0,
                 cols.append(c)
                 feats.append(index[f])
     rows, cols, feats = (np.array(x, int) for x in (rows, cols, feats))
+    del windows
     y0 = np.concatenate([np.zeros((count, 1)), y[:, :-1]], 1)
     follows = inside.copy()
     follows[:, 0] = False
