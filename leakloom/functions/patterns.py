@@ -128,6 +128,12 @@ def gaps(stated: str) -> list[str]:
     return [kinds[g[0]] + "{0,%s}" % g[1:] for g in stated.split("+") if g and g[0] in kinds]
 
 
+def within(context: tuple[str, ...], shape: str, flags: str) -> str:
+    """The pattern of a secret whose surroundings are given as patterns; group 1 is the secret."""
+    before, after = context if len(context) == 2 else (*context, AFTER if "b" in flags else "")
+    return f"{before}({secret_shape(shape)}){after}"
+
+
 def assemble(family: str, keywords: list[str], stated_gap: str, labels: list[str], shape: str, flags: str) -> str:
     """The pattern of a specification; group 1 is the secret."""
     secret = f"({secret_shape(shape)})"

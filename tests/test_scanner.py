@@ -47,6 +47,53 @@ def test_detectors(detector, text, secret):
     assert (detector, secret) in found(text)
 
 
+UUIDS = ["0a1b2c3d-4e5f-6071-8293-a4b5c6d7e8f9", "9f8e7d6c-5b4a-3928-1706-f5e4d3c2b1a0"]
+JWT = ".".join(["eyJ" + "hbGciOi" * 4, "eyJ" + "zdWIiOi" * 4, "c2lnbmF0" * 4])
+
+
+@pytest.mark.parametrize(
+    "detector, text, secret",
+    [
+        ("mailjet-basic-auth", "mailjet: Basic {}", "a1B" * 29 + "="),
+        ("okta-api-token", "https://corp.oktapreview.com SSWS {}", "00" + "aB3-" * 10),
+        ("resend-api-key", "api.resend.com\tauthorization: {}", "re_" + "a1B2" * 8),
+        ("clerk-secret-key", "clerk_secret_key='{}'", "sk_test_" + "a1B2" * 8),
+        ("workos-api-key", "workos prod secret-key = {}", "sk_live_" + "a1B2" * 8),
+        ("liveblocks-secret-key", 'liveblocks: secret_key = "{}"', "sk_prod_" + "a1B2" * 8),
+        ("azure-batch-key", "https://a.westeurope.batch.azure.com\nkey={}", "a1B2" * 22),
+        ("twitter-consumer-secret", "twitter consumer-secret {}", "a1B2c" * 10),
+        ("facebook-oauth-secret", "facebook appsecret {}", "a1B2" * 8),
+        ("zendesk-api-token", "shop.zendesk.com api_token: {}", "a1B2" * 10),
+        ("freshdesk-api-key", "shop.freshdesk.com api_key: {}", "a1B2" * 5),
+        ("line-messaging-token", "line_messaging channel: {}", "a1B2" * 43),
+        ("hashicorp-vault-approle", f"role_id: {UUIDS[1]}\nsecret_id: {{}}", UUIDS[0]),
+        ("mattermost-personal-token", "mattermost {} at hq.cloud.mattermost.com", "a1b2c3d4e5f6g" * 2),
+        ("cloudflare-global-api-key", "cloudflare global api key: {}", "a1b2" * 9 + "c"),
+        ("azure-search-key", 'shop.search.windows.net\napi-key = "{}"', "a1B2" * 13),
+        ("auth0-domain-jwt", "corp.auth0.com Bearer {}", JWT),
+        ("scaleway-secret-key", "scaleway token: {}", UUIDS[0]),
+        ("github-oauth-client-secret", "github app\nclient_secret: {}", "a1b2" * 10),
+        ("gitlab-oauth-client-secret", "gitlab app\nclient-secret = {}", "a1b2" * 16),
+        ("datadog-app-key", "datadog application_key: {}", "a1b2" * 10),
+        ("auth0-client-secret", "auth0 tenant\nclient_secret = '{}'", "a1B2" * 14),
+        ("onelogin-client-secret", "onelogin:\n client_secret: {}", "a1B2" * 9),
+        ("wiz-client-secret", "wiz:\n client_secret: {}", "a1B2" * 9),
+        ("azure-entra-client-secret", "login.microsoftonline.com client_secret: {}", "a1B2~" * 8),
+        ("twitter-bearer-token", "twitter_api bearer-token: {}", "AAAA" + "a1B%" * 25),
+        ("twitch-client-secret", "twitch\nclient_secret: {}", "a1B2" * 8),
+        ("restpack-htmltopdf-api-key", "restpack html-to-pdf api key: key = {}", "a1B2" * 12),
+        ("restpack-screenshot-api-key", "restpack screenshot token: {}", "a1B2" * 12),
+        ("atlassian-datacenter-token", "atlassian datacenter access-token = {}", "a1B2" * 10),
+        ("checkout-secret-key", "checkout key {}", "sk_" + UUIDS[0]),
+        ("aha-api-key", "corp.aha.io {}", "a1b2" * 16),
+        ("larksuite-app-secret", "cli_A1b2C3d4E5f6G7h8 {}", "a1B2" * 8),
+    ],
+)
+def test_irregular_contexts(detector, text, secret):
+    assert (detector, secret) in found(text.format(secret))
+    assert detector not in {d for d, _ in found(f"unrelated = {secret}")}
+
+
 def test_context_and_prefilter():
     assert ("bamboohr-api-key", "a1B2" * 10) not in found("bamboohr.com\n\napi_key=" + "a1B2" * 10)
     assert not found("nothing to see here, 1234567890abcdef")
