@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: the partition, so this is what bounds its memory; a single row is never split.
 BATCH_ROWS = 512
 BATCH_BYTES = 16 << 20
+#: Bytes of text that vector code works on at a time.
+SLICE_BYTES = 1 << 19
 
 
 def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -86,17 +89,30 @@ def utf8(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), offsets
 
 
+def slices(texts: list) -> Iterator[tuple[int, int]]:
+    """Bounds of slices of whole texts, each of some ``2 * SLICE_BYTES`` characters or one text."""
+    begin = size = 0
+    for i, x in enumerate(texts):
+        n = len(x or "")
+        if size and size + n > 2 * SLICE_BYTES:
+            yield begin, i
+            begin, size = i, 0
+        size += n
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of each text (A-Z in lower case), and the words' bounds by text.
 
     Text ``i`` has the words ``bounds[i]:bounds[i + 1]``. No Python object is made per word: a
     polynomial hash of each word is a difference of prefix sums. Memory is some 50 bytes a byte of
-    one slice; slices of whole texts are cut at about 2 MB.
+    one slice; slices of whole texts are cut at about half a MB.
     """
     out, counts = [], np.zeros(len(offsets), np.int64)
     i = 0
     while i < len(offsets) - 1:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (2 << 20), "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE_BYTES, "right")) - 1)
         part = _LOWER[data[offsets[i] : offsets[j]]]
         n = len(part)
         word = ~_BLANK[part]

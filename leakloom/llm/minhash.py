@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, checkpointed, mix, shingle_hashes, text_of, utf8, word_hashes
+from .common import bound_batches, checkpointed, mix, shingle_hashes, slices, text_of, utf8, word_hashes
 from .components import components
 
 BANDS, ROWS = 32, 5
@@ -96,8 +96,7 @@ def signatures(units: np.ndarray, text: np.ndarray, n_texts: int) -> np.ndarray:
     return out
 
 
-def sketch_texts(texts: list) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Signatures, sizes in units, and a 128-bit key of the word sequence, of a batch of texts."""
+def _sketch_slice(texts: list) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     data, offsets = utf8(texts)
     words, word_bounds = word_hashes(data, offsets)
     shingles, bounds = shingle_hashes(words, word_bounds, SHINGLE)
@@ -106,6 +105,12 @@ def sketch_texts(texts: list) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return signatures(units, text, len(texts)), np.diff(bounds), keys
 
 
+def sketch_texts(texts: list) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Signatures, sizes in units, and a 128-bit key of the word sequence, of a batch of texts, slice by slice."""
+    parts = [_sketch_slice(texts[a:b]) for a, b in slices(texts)] or [_sketch_slice([])]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), [k for p in parts for k in p[2]]
+
+
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, key, n, short, bands): ``short`` has 16 bits of each coordinate, ``bands`` a hash of each band."""
     bound_batches(docs.sparkSession, 1024)
@@ -138,8 +143,11 @@ def _similarity(x: np.ndarray, y: np.ndarray) -> float:
 
 def jaccard(texts_a: list, texts_b: list) -> list[float]:
     """Weighted Jaccard similarity of the shingles of texts, pair by pair."""
-    (u, at), (v, to) = _units(texts_a), _units(texts_b)
-    return [_similarity(u[at[i] : at[i + 1]], v[to[i] : to[i + 1]]) for i in range(len(texts_a))]
+    out = []
+    for a, b in slices([(x or "") + (y or "") for x, y in zip(texts_a, texts_b)]):
+        (u, at), (v, to) = _units(texts_a[a:b]), _units(texts_b[a:b])
+        out += [_similarity(u[at[i] : at[i + 1]], v[to[i] : to[i + 1]]) for i in range(b - a)]
+    return out
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -172,7 +180,7 @@ def _compare(block: pd.DataFrame) -> pd.DataFrame:
             x = up
         return x
 
-    units = None
+    units: dict[int, np.ndarray] = {}
     out = []
     right = np.flatnonzero(chunk == j)
     for x in np.flatnonzero(chunk == i):
@@ -185,9 +193,9 @@ def _compare(block: pd.DataFrame) -> pd.DataFrame:
             a, b = root(int(component[x])), root(int(component[z]))
             if a == b:
                 continue
-            units = _units(block["text"].tolist()) if units is None else units
-            u, at = units
-            if _similarity(u[at[x] : at[x + 1]], u[at[z] : at[z + 1]]) >= LEAST:
+            for k in {x, z} - units.keys():
+                units[k] = _units([block["text"].iat[k]])[0]
+            if _similarity(units[x], units[z]) >= LEAST:
                 parent[a] = b
                 out.append((node[x], node[z], component[x], component[z]))
     return pd.DataFrame(out, columns=["a", "b", "ca", "cb"], dtype="int64")
