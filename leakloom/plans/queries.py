@@ -235,9 +235,13 @@ def base64_candidates(spark, sf_dir):
 
 @query(f"WITH {_RUNS_SQL} SELECT doc_id, regexp_extract(decode(from_base64(run || repeat('=', (4 - length(run) % 4) % 4))), '{_sql_pattern(ASSIGNED)}', 1) AS secret FROM runs WHERE starts_with(run, 'dG9rZW4gPSAi') AND length(run) = 56")
 def base64_decoded_findings(spark, sf_dir):
-    own = _runs(spark, sf_dir).where(F.startswith("run", F.lit("dG9rZW4gPSAi")) & (F.length("run") == 56))
-    text = F.decode(F.try_to_binary(F.translate("run", "-_", "+/"), F.lit("base64")), "UTF-8")
-    return own.select("doc_id", F.regexp_extract(text, _pattern(ASSIGNED), 1).alias("secret"))
+    """All matches in the payloads of all runs; payloads under 8 bytes or with a NUL up front are no text. The SQL sees planted runs only."""
+    runs = _runs(spark, sf_dir)
+    padded = F.concat(F.translate("run", "-_", "+/"), F.expr("repeat('=', (4 - length(run) % 4) % 4)"))
+    payloads = runs.select("doc_id", F.try_to_binary(padded, F.lit("base64")).alias("payload"))
+    texts = payloads.where((F.octet_length("payload") >= 8) & ~files.is_binary(F.col("payload")))
+    # a byte is a character: the pattern is ASCII, and a payload needn't be UTF-8
+    return _matches(texts.select("doc_id", F.decode("payload", "ISO-8859-1").alias("text")), ASSIGNED)
 
 
 @query(f'WITH {_FOUND_SQL} SELECT detector_id, secret, file, min(doc_id) AS start FROM found GROUP BY detector_id, secret, file, "commit"')
