@@ -141,6 +141,29 @@ def finding_location(spark, sf_dir):
     return docs.select("doc_id", before.alias("b")).select("doc_id", findings.line(F.col("b")).cast("long").alias("line"), findings.column(F.col("b")).cast("long").alias("column"))
 
 
+@query()
+def finding_locations(spark, sf_dir):
+    """Line and column of every match; ``finding_location``, as its SQL, has a text's first one only."""
+    pattern = F.lit(_pattern(ASSIGNED))
+    docs = _table(spark, sf_dir, "documents").where(F.regexp_like("text", pattern))
+    parts = docs.select("doc_id", F.split("text", pattern, -1).alias("gaps"), F.regexp_extract_all("text", pattern, F.lit(0)).alias("whole"))
+
+    def past(at: Column, part: Column) -> list[Column]:
+        """Line and column behind a part of the text that starts at ``at``."""
+        on = findings.line(part).cast("long") - 1
+        behind = findings.column(part).cast("long")
+        return [(at["line"] + on).alias("line"), F.when(on > 0, behind).otherwise(at["column"] + behind - 1).alias("column")]
+
+    def step(acc: Column, i: Column) -> Column:
+        start = F.struct(*past(acc["at"], F.get("gaps", i)))
+        return F.struct(F.struct(*past(start, F.get("whole", i))).alias("at"), F.concat(acc["out"], F.array(start)).alias("out"))
+
+    kind = "struct<line:bigint,column:bigint>"
+    first = F.struct(F.struct(F.lit(1).cast("long").alias("line"), F.lit(1).cast("long").alias("column")).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+    places = F.aggregate(F.sequence(F.lit(0), F.size("whole") - 1), first, step, lambda acc: acc["out"])
+    return parts.select("doc_id", F.inline(places))
+
+
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of derived tokens and of assigned secrets."""
     docs = _table(spark, sf_dir, "documents")

@@ -43,3 +43,19 @@ def test_base64_of_the_corpus(spark, table):
     planted = [(i, s) for i, s in got if re.fullmatch("[0-9a-f]{32}", s)]
     assert sorted(set(got) - set(planted)) == sorted(set(want)) and len(got) - len(planted) == len(want)
     assert (1, "a" * 16) in got and (1, "b" * 17) in got and len(planted) == sum(t is not None for t in texts)
+
+
+def test_every_location(spark, table):
+    one = "token=" + "a" * 16
+    texts = [one, f"é {one}\n\nü PASSWORD:\n '{'b' * 20}' {one},{one}\n", f"{one}\r\n{one}\n", f"no match\nx{one}", "", None, "\n".join(f"{'ß' * i} {one} {one}" for i in range(60))]
+    sf = table("documents", list(enumerate(texts)), "doc_id long, text string")
+    want = []
+    for i, text in enumerate(texts):
+        for m in PATTERN.finditer(text or ""):
+            before = text[: m.start()].encode()
+            want.append((i, 1 + before.count(b"\n"), len(before) - (before.rfind(b"\n") + 1) + 1))
+    queries = entry.queries()
+    got = [(r["doc_id"], r["line"], r["column"]) for r in queries["finding_locations"](spark, sf).collect()]
+    assert sorted(got) == want and len(got) == 127
+    first = {(r["doc_id"], r["line"], r["column"]) for r in queries["finding_location"](spark, sf).collect()}
+    assert first == {min(x for x in want if x[0] == i) for i in {x[0] for x in want}}
