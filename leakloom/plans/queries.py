@@ -327,7 +327,17 @@ def archive_budget(spark, sf_dir):
 places AS (SELECT DISTINCT l_partkey AS oid, l_orderkey AS "commit", l_suppkey AS path FROM lineitem)
 SELECT oid, "commit", path, sha256('d' || chr(0) || secret || chr(0) || path || chr(0) || "commit") AS fingerprint FROM objects JOIN places USING (oid)""")
 def history_fanout(spark, sf_dir):
-    objects = _table(spark, sf_dir, "part").where("p_size <= 5").select(F.col("p_partkey").alias("oid"), F.md5("p_name").alias("secret"))
+    return _fanout(spark, sf_dir, _table(spark, sf_dir, "part").where("p_size <= 5"))
+
+
+@query(SQL["history_fanout"].replace(" WHERE p_size <= 5", ""))
+def history_fanout_all(spark, sf_dir):
+    """The same for all objects."""
+    return _fanout(spark, sf_dir, _table(spark, sf_dir, "part"))
+
+
+def _fanout(spark: SparkSession, sf_dir: str, parts: DataFrame) -> DataFrame:
+    objects = parts.select(F.col("p_partkey").alias("oid"), F.md5("p_name").alias("secret"))
     places = _table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("oid"), F.col("l_orderkey").alias("commit"), F.col("l_suppkey").alias("path")).distinct()
     rows = state.at_every_place(objects, places)
     return rows.select("oid", "commit", "path", findings.fingerprint(F.lit("d"), F.col("secret"), F.col("path").cast("string"), F.col("commit").cast("string")).alias("fingerprint"))
@@ -383,8 +393,18 @@ def owner_rollup(spark, sf_dir):
 f AS (SELECT source AS org, count(*) AS findings FROM found JOIN documents USING (doc_id) GROUP BY 1)
 SELECT org, coalesce(repositories, 0) AS repositories, coalesce(findings, 0) AS findings FROM r FULL JOIN f USING (org)""")
 def org_findings(spark, sf_dir):
+    return _organisations(spark, sf_dir, "lang = 'de'")
+
+
+@query(SQL["org_findings"].replace(" WHERE lang = 'de'", ""))
+def org_findings_all(spark, sf_dir):
+    """The same with all repositories."""
+    return _organisations(spark, sf_dir, "true")
+
+
+def _organisations(spark: SparkSession, sf_dir: str, counted: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("source").alias("org"))
-    return state.by_organisation(docs.where("lang = 'de'"), _found(spark, sf_dir).join(docs, "doc_id"))
+    return state.by_organisation(docs.where(counted), _found(spark, sf_dir).join(docs, "doc_id"))
 
 
 @query("SELECT n_nationkey AS installation, lower(n_name) AS account, count(c_custkey) AS repositories FROM nation LEFT JOIN customer ON lower(n_nationkey::VARCHAR) = lower(c_nationkey::VARCHAR) GROUP BY 1, 2")

@@ -1,12 +1,13 @@
 """Queries hold whole results where a document, or a table, has more than the rows their SQL looks at."""
 
 import base64
+import hashlib
 import re
 
 import pytest
 
 import __spark_entry__ as entry
-from leakloom.functions import plausible
+from leakloom.functions import findings, plausible
 from leakloom.functions.patterns import AFTER, BEFORE
 from leakloom.operators.detect import is_binary
 from leakloom.plans.queries import ASSIGNED
@@ -59,3 +60,24 @@ def test_every_location(spark, table):
     assert sorted(got) == want and len(got) == 127
     first = {(r["doc_id"], r["line"], r["column"]) for r in queries["finding_location"](spark, sf).collect()}
     assert first == {min(x for x in want if x[0] == i) for i in {x[0] for x in want}}
+
+
+def test_fanout_of_every_object(spark, table):
+    parts = [(k, f"part {k % 7}", k % 50 + 1) for k in range(60)]
+    lines = [(k % 70, k % 11, k % 3) for k in range(400)] * 2
+    table("part", parts, "p_partkey long, p_name string, p_size int")
+    sf = table("lineitem", lines, "l_partkey long, l_orderkey long, l_suppkey long")
+    want = []
+    for oid, commit, path in set(lines):
+        if oid < 60:
+            secret = hashlib.md5(parts[oid][1].encode()).hexdigest()
+            want.append((oid, commit, path, findings.fingerprint_of("d", secret, str(path), str(commit))))
+    got = [tuple(r) for r in entry.queries()["history_fanout_all"](spark, sf).collect()]
+    assert sorted(got) == sorted(want) and len(got) > 300
+
+
+def test_organisations_with_every_repository(spark, table):
+    rows = [(k, "token=" + "a" * (10 + k), ("de", "en", None)[k % 3], f"o{k % 4}") for k in range(12)]
+    sf = table("documents", rows, "doc_id long, text string, lang string, source string")
+    got = {r["org"]: (r["repositories"], r["findings"]) for r in entry.queries()["org_findings_all"](spark, sf).collect()}
+    assert got == {f"o{i}": (3, 3 + sum(k >= 6 for k in range(i, 12, 4))) for i in range(4)}
