@@ -179,7 +179,7 @@ def _windows(texts: list[str], chosen: set[str], label: int) -> list[tuple[list[
         words = [tuple(f for f in features(w) if f in chosen) for w in _WORD.findall(text.lower())]
         at = [i for i, w in enumerate(words) if w]
         centres, last = [len(words) // 2], -WINDOW
-        for i in at[:50]:
+        for i in at:
             if i - last >= WINDOW:
                 centres.append(i)
                 last = i

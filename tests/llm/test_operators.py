@@ -159,6 +159,13 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.train(docs, labels, F.lit(False)).weights == {}
 
 
+def test_toxicity_windows_reach_the_end_of_a_text():
+    text = " ".join(["bad", *["word"] * 20] * 80)
+    for label in (0, 1):
+        windows = toxicity._windows([text], {"=bad"}, label)
+        assert len(windows) == 81 and sum(any(labels) for _, labels in windows[1:]) == 80 * label  # the first is the middle of the text
+
+
 def test_marginals_are_exact():
     f = toxicity.Field({}, -3.0, 0.3, -1.0, 0.7)
     n, at, points = 9, [1, 4, 5], [4.0, 2.0, -1.0]
