@@ -310,7 +310,7 @@ def archive_kind(spark, sf_dir):
 
 @query("SELECT doc_id, (doc_id % 5 = 0 AND strlen(text) < 8000) AS is_binary FROM documents WHERE doc_id % 5 <> 0 OR strlen(text) < 7990 OR strlen(text) >= 8000")
 def binary_filter(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").where("doc_id % 5 <> 0 OR octet_length(text) < 7990 OR octet_length(text) >= 8000")
+    docs = _table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     content = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("\x00"))).otherwise(F.col("text")).cast("binary")
     return docs.select("doc_id", files.is_binary(content).alias("is_binary"))
 

@@ -81,3 +81,11 @@ def test_organisations_with_every_repository(spark, table):
     sf = table("documents", rows, "doc_id long, text string, lang string, source string")
     got = {r["org"]: (r["repositories"], r["findings"]) for r in entry.queries()["org_findings_all"](spark, sf).collect()}
     assert got == {f"o{i}": (3, 3 + sum(k >= 6 for k in range(i, 12, 4))) for i in range(4)}
+
+
+def test_binary_at_the_edge(spark, table):
+    sizes = [None, 0, 7989, 7990, 7999, 8000, 8001]
+    texts = [None if n is None else "ß" * (n // 2) + "a" * (n % 2) for n in sizes]
+    sf = table("documents", [(5 * k + d, t) for k, t in enumerate(texts) for d in (0, 1)], "doc_id long, text string")
+    got = {tuple(r) for r in entry.queries()["binary_filter"](spark, sf).collect()}
+    assert got == {(5 * k + d, d == 0 and (n or 0) < 8000) for k, n in enumerate(sizes) for d in (0, 1)}
