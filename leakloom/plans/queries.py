@@ -196,6 +196,12 @@ def redacted(spark, sf_dir):
     return rows.select("doc_id", findings.redacted(F.col("s")).alias("redacted"))
 
 
+@query(SQL["redacted"].replace("left(secret, 4 + (doc_id % 20)::INT) AS s", "secret AS s"))
+def redacted_whole(spark, sf_dir):
+    """Whole secrets; ``redacted`` has their first 4 to 23 characters."""
+    return _found(spark, sf_dir).select("doc_id", findings.redacted(F.col("secret")).alias("redacted"))
+
+
 CASES = ("${DB_PASSWORD}", "$DB_PASSWORD", "{{ vault_token }}", "$(get-secret)", "%API_KEY%", "!API_KEY!", "os.getenv('TOKEN')", "process.env.SECRET", "vault://kv/app", "ENC[AES256,abc]", "config.api_key", "settings.secret_token", "API_KEY", "my_secret", "mySecretValue", "other.api_key", "A1b2C3d4E5f6G7h8", "xxxxxxxxxxxx", "00000000", "short", "[^a-z]secret", "(?:token)abcd", "ref+vault://x/y", "$[secret]", "secret_aaaaaaaaaaaaaaaaaaaaaaaaa")
 
 

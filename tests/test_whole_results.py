@@ -89,3 +89,17 @@ def test_binary_at_the_edge(spark, table):
     sf = table("documents", [(5 * k + d, t) for k, t in enumerate(texts) for d in (0, 1)], "doc_id long, text string")
     got = {tuple(r) for r in entry.queries()["binary_filter"](spark, sf).collect()}
     assert got == {(5 * k + d, d == 0 and (n or 0) < 8000) for k, n in enumerate(sizes) for d in (0, 1)}
+
+
+def test_redacted_whole(spark, table):
+    secrets = ["a1B2" * 4, "c3D4" * 30]
+    sf = table("documents", [(k, f"token={x} ") for k, x in enumerate(secrets)], "doc_id long, text string")
+    got = sorted(tuple(r) for r in entry.queries()["redacted_whole"](spark, sf).collect())
+    tokens = ["ghp_" + hashlib.md5(str(k).encode()).hexdigest() + "abcd" for k in (0, 1)]
+    assert got == sorted((k, findings.redacted_of(x)) for own in (secrets, tokens) for k, x in enumerate(own))
+
+
+def test_redacted_short(spark):
+    df = spark.createDataFrame([("x" * n,) for n in range(4, 24)], "s string")
+    got = [r[0] for r in df.select(findings.redacted(df["s"])).collect()]
+    assert sorted(got) == sorted(findings.redacted_of("x" * n) for n in range(4, 24))
