@@ -246,8 +246,6 @@ def blocks(nodes: list[Node]) -> list[str]:
                 run.append(" ")
             if done:
                 continue
-            if node.tag in ("ul", "ol", "dl", "div", "table", "section") and node is not top and node.size and node.linked > 0.6 * node.size:
-                continue  # a list of links
             stack.append((node, True))
             stack.extend((c, False) for c in reversed(node.children))
         flush()

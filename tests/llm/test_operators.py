@@ -142,6 +142,13 @@ def test_html_keeps_articles_whole(spark):
         assert r["text"].split() == article.split()
 
 
+def test_html_keeps_lists_of_links():
+    text = "<p>One, two, three, and a paragraph that is long enough to be the article of this page.</p>" * 3
+    links = "<ol><li><a href=/a>First source</a><li><a href=/b>Second</a></ol><table><tr><td><a href=/c>Name</a></table>"
+    page = f"<article>{text}{links}<ul class=menu><li><a href=/d>Home</a></ul></article>"
+    assert html.main_text(page).split("\n\n")[3:] == ["First source", "Second", "Name"]
+
+
 def test_toxicity(spark, docs, empty):
     rng = np.random.default_rng(1)
     clean = [" ".join(rng.choice(WORDS[:14], 40)) for _ in range(300)]
