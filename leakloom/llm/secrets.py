@@ -3,12 +3,14 @@
 Base kinds are leftmost, non-overlapping matches of a pattern; failing ones are dropped. A text that
 a kind's cheap condition doesn't hold for costs one pass of that condition. Candidate strings (long
 runs of key characters with a digit) have their entropy taken in every window of ``WINDOW``
-characters, by counts that change by one character at a step; a run whose best window reaches the
+characters, by counts that change by one character at a step; a run with a window that reaches the
 threshold of its character class is a span of kind ``entropy`` unless the allow-list knows its shape
 or a base span overlaps it.
 
 Offsets are code points, ends exclusive: a match starts after the lengths of all gaps and matches
-before it.
+before it. Work is in proportion to a text and its matches, whatever their number and length: sums and
+maxima over matches are taken chunk by chunk, long words and texts are cut into pieces before single
+characters are looked at, and no pattern repeats a group (which Java matches by recursion).
 
 Defined cases: a null or empty text has no spans; null and repeated ids are kept; an empty table
 gives no rows; other columns are untouched, whatever their names.
@@ -21,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, text_of
+from .common import text_of
 
 
 def _either(word: str) -> str:
@@ -32,7 +34,7 @@ def _either(word: str) -> str:
 _NAMES = "|".join([*map(_either, ("password", "passwd", "secret", "token")), _either("api") + "_?" + _either("key")])
 #: kind: (condition that a text with a match meets, pattern, group whose length counts, least length).
 BASE = {
-    "assign": (rf"""(?:{_NAMES})["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]""", rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    "assign": (rf"""(?:{_NAMES})[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?[A-Za-z0-9+/_.=-]""", rf"""({_NAMES})[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     "access": (r"AKIA[A-Z0-9]{16}", r"AKIA[A-Z0-9]+", 0, 20),
     "hex": (r"(?<![0-9a-f])[0-9a-f]{24}", r"(?<![0-9a-f])[0-9a-f]{24,}", 0, 24),
 }
@@ -45,87 +47,121 @@ CLASSES = {
     "hex": ("0123456789abcdef", r"^(?:[0-9a-f]+|[0-9A-F]+)$", 3.0),
     "key": ("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-", r"[A-Za-z]", 3.6),
 }
-#: Shapes that aren't secrets: numbers, UUIDs, words and numbers joined by signs, placeholders.
+#: Shapes that aren't secrets: numbers, UUIDs, placeholders; ``joined`` tells words and numbers joined by signs.
 ALLOWED = (
     r"^[0-9+/_=-]+$",
-    r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"^(?:[A-Za-z]+|[0-9]+)(?:[-_/=+]+(?:[A-Za-z]+|[0-9]+)?)*$",
+    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"(?i)example|placeholder|changeme|dummy|sample|your[-_]|(.)\1{7}|01234567|12345678|abcdefgh",
 )
+#: A candidate starts with a letter or digit and has no letter beside a digit: words and numbers joined by signs.
+JOINED, MIXED = r"^[A-Za-z0-9]", r"[A-Za-z][0-9]|[0-9][A-Za-z]"
 MASK = "[SECRET]"
 SPAN = "array<struct<start:int,end:int,rank:int>>"
+#: Elements of a chunk of ``running``, and code points of a piece of a long text or word.
+CHUNK, PIECE = 64, 1024
 
 
-def _spans(text: Column, condition: str, pattern: str, passes, rank: int) -> Column:
-    """Spans of a pattern's matches that ``passes(matches, i)`` accepts."""
+# Expressions are made as SQL text: one that is put together call by call takes the driver seconds.
 
-    def walk(found: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(found["gaps"], i))
-            end = start + F.length(F.get(found["whole"], i))
-            one = F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(rank).alias("rank")))
-            return F.struct(end.alias("at"), F.when(passes(found, i), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-        first = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(found["whole"]) - 1), first, step, lambda acc: acc["out"])
+def _raw(pattern: str) -> str:
+    """A pattern as a SQL literal; it has no quotation mark."""
+    return f"r'{pattern}'"
 
-    def matched(groups: Column) -> Column:
-        return F.when(F.size(groups["whole"]) > 0, walk(groups)).otherwise(F.array().cast(SPAN))
 
-    groups = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"), F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2 if rank == 0 else 0)).alias("value"))
-    return F.when(text.rlike(condition), let(groups, matched)).otherwise(F.array().cast(SPAN))
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` for a value that is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def window_entropy(value: Column, alphabet: str, window: int = WINDOW) -> Column:
+def running(values: str, merge: str, zero: int = 0) -> str:
+    """``merge`` (of ``a`` and ``b``) of each integer and all before it, as an array.
+
+    An array that grows in a fold is copied at every step; chunks bound the copies, so that n values
+    cost some ``CHUNK`` * n + (n / ``CHUNK``)^2 / 2 copied integers.
+    """
+    none = "cast(array() as array<int>)"
+
+    def fold(part: str, first: str) -> str:
+        step = _let("at", _let("a", "acc.at", merge), "named_struct('at', at, 'out', concat(acc.out, array(at)))")
+        return f"aggregate({part}, named_struct('at', {first}, 'out', {none}), (acc, b) -> {step}, acc -> acc.out)"
+
+    chunks = f"transform(sequence(0, cast(floor((size(v) - 1) / {CHUNK}) as int)), k -> slice(v, k * {CHUNK} + 1, {CHUNK}))"
+    sums = f"transform(c, p -> aggregate(p, {zero}, (a, b) -> {merge}))"
+    by_chunk = _let("c", chunks, _let("ends", fold(sums, str(zero)), f"flatten(transform(c, (p, k) -> {fold('p', f'if(k = 0, {zero}, get(ends, k - 1))')}))"))
+    return _let("v", values, f"if(size(v) = 0, {none}, if(size(v) > {CHUNK}, {by_chunk}, {fold('v', str(zero))}))")
+
+
+def _spans(text: str, condition: str, pattern: str, passes: str, rank: int) -> str:
+    """Spans of a pattern's matches of which ``passes`` (a condition on ``whole`` and ``value``) holds."""
+    matches = lambda group: f"regexp_extract_all({text}, {_raw(pattern)}, {group})"
+    groups = f"named_struct('whole', {matches(0)}, 'gaps', split({text}, {_raw(pattern)}, -1), 'value', {matches(2 if rank == 0 else 0)})"
+    ends = running("transform(f.whole, (w, i) -> char_length(get(f.gaps, i)) + char_length(w))", "a + b")
+    held = _let("value", "get(f.value, i)", f"if({passes}, {rank}, -1)")
+    one = f"named_struct('start', get(n, i) - char_length(whole), 'end', get(n, i), 'rank', {held})"
+    every = _let("f", groups, _let("n", ends, f"filter(transform(f.whole, (whole, i) -> {one}), s -> s.rank >= 0)"))
+    return f"if({text} rlike {_raw(condition)}, {every}, cast(array() as {SPAN}))"
+
+
+def window_entropy(value: str, alphabet: str, window: int = WINDOW) -> str:
     """The largest Shannon entropy, in bits, of ``window`` neighbouring characters of a string.
 
     With counts n of a window's characters the entropy is log2(w) - sum(n log2 n) / w; a step adds a
     character and takes the oldest away, so it changes two counts and the sum.
     """
-    weights = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(window + 2)])
-    marks = F.transform(F.split(value, ""), lambda c: F.position(c, F.lit(alphabet)) - 1)
+    weights = ", ".join(f"{n * math.log2(n) if n else 0.0!r}D" for n in range(window + 2))
+    gain = lambda n, by: f"get(array({weights}), {n} + {by}) - get(array({weights}), {n})"
+    lost = f"if(old >= 0, {_let('k', 'get(acc.counts, old)', gain('k', -1))}, 0D)"
+    total = f"acc.total + if(new = old, 0D, {_let('k', 'get(acc.counts, new)', gain('k', 1))} + {lost})"
+    counts = "transform(acc.counts, (k, at) -> k + if(at = new, 1, 0) - if(at = old, 1, 0))"
+    best = f"if(i >= {window - 1}, greatest(acc.best, {math.log2(window)!r}D - sum / {window}), acc.best)"
+    step = _let("new", "get(m, i)", _let("old", f"if(i >= {window}, get(m, i - {window}), -1)", _let("sum", total, f"named_struct('counts', {counts}, 'total', sum, 'best', {best})")))
+    first = f"named_struct('counts', array_repeat(0, {len(alphabet)}), 'total', 0D, 'best', 0D)"
+    over = f"aggregate(sequence(0, size(m) - 1), {first}, (acc, i) -> {step}, acc -> acc.best)"
+    return f"if(char_length({value}) >= {window}, {_let('m', f"transform(split({value}, ''), c -> locate(c, '{alphabet}') - 1)", over)}, 0D)"
+
 
-    def over(codes: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            new, old = F.get(codes, i), F.when(i >= window, F.get(codes, i - window)).otherwise(F.lit(-1))
-            n_new, n_old = F.get(acc["counts"], new), F.get(acc["counts"], old)
-            w = lambda n: F.get(weights, n)
-            change = F.when(new == old, F.lit(0.0)).otherwise(w(n_new + 1) - w(n_new) + F.when(old >= 0, w(n_old - 1) - w(n_old)).otherwise(F.lit(0.0)))
-            total = acc["total"] + change
-            counts = F.transform(acc["counts"], lambda n, k: n + F.when(k == new, 1).otherwise(0) - F.when(k == old, 1).otherwise(0))
-            entropy = F.lit(math.log2(window)) - total / window
-            return F.struct(counts.alias("counts"), total.alias("total"), F.when(i >= window - 1, F.greatest(acc["best"], entropy)).otherwise(acc["best"]).alias("best"))
+def _pieces(text: str) -> str:
+    """A text in pieces of ``PIECE`` code points; the last one may be shorter."""
+    return f"regexp_extract_all({text}, r'(?s).{{1,{PIECE}}}', 0)"
 
-        first = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), first, step, lambda acc: acc["best"])
 
-    return F.when(F.length(value) >= window, let(marks, over)).otherwise(F.lit(0.0))
+def reaches(value: str, alphabet: str, least: float, window: int = WINDOW) -> str:
+    """Whether a window of a string reaches an entropy. Strings are read piece by piece, up to the first that does."""
+    lapped = f"transform(r, (x, i) -> if(i = 0, x, concat(right(get(r, i - 1), {window - 1}), x)))"
+    return _let("r", _pieces(value), f"exists({lapped}, x -> {window_entropy('x', alphabet, window)} >= {least})")
 
 
-def suspicious(value: Column) -> Column:
+def suspicious(value: str) -> str:
     """Whether a candidate string reaches its class's entropy and no allowed shape fits it."""
-    out = F.lit(False)
-    for alphabet, belongs, least in reversed(CLASSES.values()):
-        own = F.lower(value) if len(alphabet) == 16 else value
-        out = F.when(value.rlike(belongs), window_entropy(own, alphabet) >= least).otherwise(out)
-    allowed = F.lit(False)
-    for shape in ALLOWED:
-        allowed |= value.rlike(shape)
-    return F.when(allowed, F.lit(False)).otherwise(out)
+    classes = " ".join(f"when {value} rlike {_raw(belongs)} then {reaches(f'lower({value})' if len(alphabet) == 16 else value, alphabet, least)}" for alphabet, belongs, least in CLASSES.values())
+    allowed = " or ".join([f"({value} rlike {_raw(JOINED)} and not {value} rlike {_raw(MIXED)})", *(f"{value} rlike {_raw(x)}" for x in ALLOWED)])
+    return f"case when {allowed} then false {classes} else false end"
+
+
+def _sorted(spans: str) -> str:
+    """By start, then kind."""
+    by = f"sort_array(transform({spans}, s -> named_struct('start', s.start, 'rank', s.rank, 'end', s.`end`)))"
+    return f"transform({by}, s -> named_struct('start', s.start, 'end', s.`end`, 'rank', s.rank))"
+
+
+def _apart(base: str, more: str) -> str:
+    """Those of ``more`` that no span of ``base`` overlaps: of the spans before, the largest end; of those behind, the smallest start."""
+    last, own = 2**31 - 1, f"s.rank = {len(BASE)}"
+    ends = running(f"transform(both, s -> if({own}, 0, s.`end`))", "greatest(a, b)")
+    starts = running(f"reverse(transform(both, s -> if({own}, {last}, s.start)))", "least(a, b)", last)
+    free = f"filter(both, (s, i) -> {own} and get(before, i) <= s.start and get(behind, i) >= s.`end`)"
+    every = _let("both", _sorted(f"concat({base}, {more})"), _let("before", ends, _let("behind", f"reverse({starts})", free)))
+    return f"if(size({base}) = 0 or size({more}) = 0, {more}, {every})"
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents in a struct ``row``, the text, and ``base`` and ``spans``: sorted arrays of (start, end, rank in ``KINDS``)."""
-    text = F.col("__text")
     rows = docs.select(F.struct(*docs.columns).alias("row"), text_of(text_col).alias("__text"))
-    found = []
-    for rank, (condition, pattern, _, least) in enumerate(BASE.values()):
-        found.append(_spans(text, condition, pattern, lambda m, i, least=least: F.length(F.get(m["value"], i)) >= least, rank))
-    entropy = _spans(text, CANDIDATE, CANDIDATE, lambda m, i: suspicious(F.get(m["whole"], i)), len(BASE))
-    rows = rows.select("row", "__text", F.inline(F.array(F.struct(F.array_sort(F.concat(*found)).alias("base"), entropy.alias("more")))))
-    apart = F.filter("more", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    order = lambda a: F.transform(F.sort_array(F.transform(a, lambda x: F.struct(x["start"], x["rank"], x["end"]))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["rank"].alias("rank")))
-    return rows.select("row", "__text", F.inline(F.array(F.struct(order(F.col("base")).alias("base"), order(F.concat("base", apart)).alias("spans")))))
+    found = [_spans("__text", condition, pattern, f"char_length(value) >= {least}", rank) for rank, (condition, pattern, _, least) in enumerate(BASE.values())]
+    entropy = _spans("__text", CANDIDATE, CANDIDATE, suspicious("whole"), len(BASE))
+    rows = rows.select("row", "__text", F.expr(f"inline(array(named_struct('base', {_sorted(f'concat({", ".join(found)})')}, 'more', {entropy})))"))
+    return rows.select("row", "__text", F.expr(f"inline(array(named_struct('base', base, 'spans', {_sorted(f'concat(base, {_apart("base", "more")})')})))"))
 
 
 def written(spans: Column) -> Column:
@@ -134,17 +170,23 @@ def written(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", F.get(kinds, x["rank"]), x["start"].cast("string"), x["end"].cast("string"))))
 
 
-def redact(docs: DataFrame, text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:
-    """The documents, each span of a text replaced by ``MASK`` (overlapping ones once)."""
-    text = F.col("__text")
+def _cut(start: str, end: str) -> str:
+    """The code points ``start`` to ``end`` of the text in the pieces ``r``; only pieces at the edges are walked through."""
+    at = lambda x: f"cast(floor(({x}) / {PIECE}) as int)"
+    head = f"substring(get(r, {at('x')}), x % {PIECE} + 1, {PIECE})"
+    middle = f"array_join(slice(r, {at('x')} + 2, {at('y')} - {at('x')} - 1), '')"
+    tail = f"coalesce(substring(get(r, {at('y')}), 1, y % {PIECE}), '')"
+    one = f"substring(get(r, {at('x')}), x % {PIECE} + 1, y - x)"
+    return _let("x", start, _let("y", end, f"case when y <= x then '' when {at('x')} = {at('y')} then {one} else concat({head}, {middle}, {tail}) end"))
 
-    def step(acc: Column, x: Column) -> Column:
-        before = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(MASK))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], before).otherwise(acc["out"]).alias("out"))
 
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate("spans", first, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    rows = scan(docs, text_col).select("row", F.when(F.size("spans") > 0, masked).alias("__masked"))
+def redact(docs: DataFrame, text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:
+    """The documents, each span of a text replaced by ``MASK`` (overlapping ones once)."""
+    part = _let("begin", "if(i = 0, 0, get(n, i - 1))", f"if(s.start >= begin, concat({_cut('begin', 's.start')}, '{MASK}'), '')")
+    rest = _cut("element_at(n, -1)", "char_length(__text)")
+    ends = running("transform(spans, s -> s.`end`)", "greatest(a, b)")
+    masked = _let("r", _pieces("__text"), _let("n", ends, f"concat(array_join(transform(spans, (s, i) -> {part}), ''), {rest})"))
+    rows = scan(docs, text_col).select("row", F.expr(f"if(size(spans) > 0, {masked}, null)").alias("__masked"))
     new = {text_col: F.coalesce(F.col("__masked"), F.col("row")[text_col])}
     if count_col in docs.columns:
         new[count_col] = F.when(F.col("__masked").isNotNull(), F.length("__masked").cast(docs.schema[count_col].dataType)).otherwise(F.col("row")[count_col])
