@@ -8,13 +8,16 @@ by its cosine in double precision. There are three independent codes; with the d
 some 16 of the 4096 filters of each. Of pairs of 64 components at a cosine of exactly 0.93, one code
 finds 90 %, two 99.0 % and three 99.9 % (measured in the tests; closer pairs more often).
 
-Equal vectors of a label are one representative with a count. A filter's members are split into
-chunks of at most ``CHUNK`` and compared chunk by chunk, so no task holds more than two chunks of a
-group at a time, however large it is.
+Equal vectors of a label are one node with a count. A filter's members are split into chunks of at
+most ``CHUNK`` and compared chunk by chunk, so no task holds more than two chunks of a group at a time,
+however large it is. Each row carries the list of its node's filters, so a pair counts in its first common
+filter only; a block gives a row per member that has links: how many, and the smallest member that
+those links reach within the block. So links are counted, but only a forest of them leaves a block.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, and vectors
 without a label, link with nothing (0 links, a component of their own); vectors of different length
-never link; rows that repeat an id count as one vector with several copies; a null id links like
+never link; finite vectors whose squares leave double precision are scaled by their largest component
+first; rows that repeat an id are vectors of their own; a null id links like
 any vector (and is no component's name); an empty table gives no rows; other columns are ignored.
 """
 
@@ -64,9 +67,12 @@ def code(dim: int, table: int = 0, blocks: int = BLOCKS, words: int = WORDS, wan
 
 
 def decode(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, filter) of all codes."""
+    """(row, filter) of all codes, by row and filter; the filters of a code follow those of the code before."""
     found = [_decode(unit, t) for t in range(TABLES)]
-    return np.concatenate([r for r, _ in found]), np.concatenate([f + (t << 32) for t, (_, f) in enumerate(found)])
+    row = np.concatenate([r for r, _ in found])
+    own = np.concatenate([f + t * WORDS**BLOCKS for t, (_, f) in enumerate(found)])
+    order = np.lexsort((own, row))
+    return row[order], own[order]
 
 
 def _decode(unit: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,12 +96,14 @@ def _decode(unit: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _usable(v: list | None) -> np.ndarray | None:
+    """The vector in double precision, scaled where its square would overflow or vanish; None if it links with nothing."""
     if not v or any(x is None for x in v):
         return None
     a = np.asarray(v, np.float64)
-    with np.errstate(over="ignore"):
-        size = float(a @ a) if np.isfinite(a).all() else 0.0
-    return a if 0 < size < np.inf else None
+    if not np.isfinite(a).all() or not a.any():
+        return None
+    top = np.abs(a).max()
+    return a if 1e-100 < top < 1e100 else a / top
 
 
 def _packed(v: np.ndarray) -> bytes:
@@ -126,68 +134,117 @@ def _prepared(vectors: DataFrame) -> DataFrame:
 
 
 def _filtered(nodes: DataFrame) -> DataFrame:
-    """A row (node, label, dim, data, filter) for each filter that a node is in."""
+    """A row (node, label, dim, copies, data, filters, filter) for each filter that a node is in; ``filters`` has them all."""
     bound_batches(nodes.sparkSession, 1024)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = np.asarray(batch.column(2).to_pylist(), int)
-            data = batch.column(3).to_pylist()
+            data = batch.column(4).to_pylist()
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
                 x = _unpacked([data[i] for i in at], dim)
                 row, own = decode(x / np.linalg.norm(x, axis=1, keepdims=True))
+                cuts = np.searchsorted(row, np.arange(len(at) + 1))
+                lists = pa.array([own[a:b].astype("<u2").tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())
                 for lo in range(0, len(row), 4096):
-                    part = batch.take(pa.array(at[row[lo : lo + 4096]]))
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own[lo : lo + 4096], pa.int64())], ["node", "label", "dim", "data", "filter"])
-
-    return nodes.select("node", "label", "dim", "data").mapInArrow(run, "node long, label string, dim int, data binary, filter long")
+                    part = row[lo : lo + 4096]
+                    yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at[part])).columns, lists.take(pa.array(part)), pa.array(own[lo : lo + 4096], pa.int32())], ["node", "label", "dim", "copies", "data", "filters", "filter"])
+
+    return nodes.select("node", "label", "dim", "copies", "data").mapInArrow(run, "node long, label string, dim int, copies long, data binary, filters binary, filter int")
+
+
+def _first_common(bits: np.ndarray, a: np.ndarray, b: np.ndarray, own: int) -> np.ndarray:
+    """Of pairs of rows that share the filter ``own``, those that share none before it; ``bits`` has the rows' filters."""
+    here = np.arange(len(a))
+    for lo in range(0, own // 64 + 1, 4):
+        words = np.arange(lo, min(lo + 4, own // 64 + 1))
+        mask = np.where(words < own // 64, np.uint64(2**64 - 1), np.uint64((1 << own % 64) - 1))
+        apart = []
+        for k in range(0, len(here), 1 << 16):
+            part = here[k : k + (1 << 16)]
+            common = bits[a[part][:, None], words] & bits[b[part][:, None], words] & mask
+            apart.append(part[~common.any(1)])
+        here = np.concatenate(apart) if apart else here
+        if not len(here):
+            break
+    return here
+
+
+def _reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of ``n`` members that each one's links (a, b) reach."""
+    low = np.arange(n)
+    while len(a):
+        m = np.minimum(low[a], low[b])
+        new = low.copy()
+        np.minimum.at(new, a, m)
+        np.minimum.at(new, b, m)
+        new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    return low
 
 
 def _within(block: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a block that reach the cosine, filter by filter: all of one chunk, or those between two chunks."""
-    block = block.sort_values("filter")
+    """(node, more, low) of the members of a block that have links first found in it, filter by filter.
+
+    A block has all of one chunk of each of its filters, or two chunks that are compared across;
+    ``more`` counts the vectors linked, ``low`` is the first member that the links reach.
+    """
+    block = block.sort_values(["filter", "node"])
     x = _unpacked(block["data"].tolist(), int(block["dim"].iloc[0]))
     norm = np.sqrt((x * x).sum(1))
-    node, chunk, own = block["node"].to_numpy(), block["chunk"].to_numpy(), block["filter"].to_numpy()
+    node, chunk, own, copies = (block[c].to_numpy() for c in ("node", "chunk", "filter", "copies"))
+    sizes = np.array([len(f) // 2 for f in block["filters"]])
+    lists = np.frombuffer(b"".join(block["filters"]), "<u2").astype(np.int64)
+    bits = np.zeros((len(block), -(-TABLES * WORDS**BLOCKS // 64)), np.uint64)
+    np.bitwise_or.at(bits, (np.repeat(np.arange(len(block)), sizes), lists >> 6), np.uint64(1) << (lists & 63).astype(np.uint64))
     i, j = block["i"].iloc[0], block["j"].iloc[0]
     cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
     found = []
     for lo, hi in zip(cuts[:-1], cuts[1:]):
         left, right = lo + np.flatnonzero(chunk[lo:hi] == i), lo + np.flatnonzero(chunk[lo:hi] == j)
         cosine = (x[left] @ x[right].T) / norm[left][:, None] / norm[right][None, :]
-        a, b = np.nonzero(cosine >= LEAST)
-        found.append(np.stack([node[left[a]], node[right[b]]]))
-    a, b = np.concatenate(found, 1)
-    on = a != b
-    return pd.DataFrame({"a": np.minimum(a, b)[on], "b": np.maximum(a, b)[on]}).drop_duplicates()
+        near = cosine >= LEAST
+        a, b = np.nonzero(np.triu(near, 1) if i == j else near)
+        a, b = left[a], right[b]
+        first = _first_common(bits, a, b, int(own[lo]))
+        a, b = a[first] - lo, b[first] - lo
+        weight = copies[lo:hi].astype(float)
+        more = np.bincount(a, weight[b], hi - lo) + np.bincount(b, weight[a], hi - lo)
+        on = np.flatnonzero(more)
+        low = _reached(hi - lo, a, b)
+        found.append(np.stack([node[lo + on], more[on].astype(np.int64), node[lo + low[on]]]))
+    return pd.DataFrame(np.concatenate(found, 1).T, columns=["node", "more", "low"])
 
 
 def links(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes of a label whose cosine reaches ``LEAST``."""
+    """(node, more, low) of the members of all blocks, see ``_within``."""
     rows = _filtered(nodes)
     group = ["label", "dim", "filter"]
     sizes = rows.groupBy(*group).agg(F.count("*").alias("size")).where("size > 1")
     chunked = rows.join(sizes, group).withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
     chunked = chunked.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    blocks = chunked.select(*group, "node", "data", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    blocks = blocks.select(*group, "node", "data", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    return blocks.groupBy("label", "dim", F.floor(F.col("filter") / TOGETHER).alias("filters"), "i", "j").applyInPandas(_within, "a long, b long").distinct()
+    columns = [*group, "node", "copies", "data", "filters", "chunk"]
+    blocks = chunked.select(*columns, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    blocks = blocks.select(*columns, F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    return blocks.groupBy("label", "dim", F.floor(F.col("filter") / TOGETHER).alias("few"), "i", "j").applyInPandas(_within, "node long, more long, low long")
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector."""
     prepared = checkpointed(_prepared(vectors))
     usable = prepared.where(F.col("data").isNotNull())
-    # A node's name is unique even where ids are null or repeat under several texts: its smallest id, else a hash.
-    nodes = usable.groupBy("label", "dim", "key").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.any_value("data").alias("data"))
-    nodes = checkpointed(nodes.withColumn("node", F.xxhash64("label", "key")))
-    pairs = checkpointed(links(nodes))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    neighbours = both.join(nodes.select(F.col("node").alias("b"), F.col("copies").alias("more")), "b").groupBy(F.col("a").alias("node")).agg(F.sum("more").alias("more"))
-    grouped = nodes.select("label", "dim", "key", "node", "low", "copies").join(components(pairs), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = grouped.join(names, "component").join(neighbours, "node", "left").select("label", "dim", "key", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), "component_id")
+    nodes = usable.groupBy("label", "dim", "key").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"), F.any_value("data").alias("data"))
+    # A number by partition and place: unique, and fixed by the checkpoint.
+    nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
+    found = checkpointed(links(nodes).groupBy("node", "low").agg(F.sum("more").alias("more")))
+    counted = found.groupBy("node").agg(F.sum("more").alias("more"))
+    joined = components(found.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")))
+    grouped = nodes.select("label", "dim", "key", "node", "least_id", "copies").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = grouped.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    named = grouped.join(names, "component").join(counted, "node", "left").select("label", "dim", "key", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), "component_id")
     out = prepared.select("vec_id", "label", "dim", "key").join(named, ["label", "dim", "key"], "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.select("*", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -418,6 +418,28 @@ def test_embeddings(spark, monkeypatch):
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(2001, 2008)) and embeddings.near_duplicates(df.where("false")).count() == 0
 
 
+def test_embeddings_of_a_hot_group(spark, monkeypatch):
+    """Chunks of a group give the counts and components that the whole group gives; sizes far from one are scaled."""
+    rng = np.random.default_rng(9)
+    centre = rng.standard_normal(16)
+    vectors = [centre + rng.standard_normal(16) * 0.2 for _ in range(120)] + [centre * 1e300, centre * 1e-300, -centre]
+    rows = [(i, [float(x) for x in v], 1) for i, v in enumerate(vectors)] + [(7, [float(x) for x in -centre * 3], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    unit = [np.array(v) / np.abs(v).max() for _, v, _ in rows]
+    unit = np.array([u / np.linalg.norm(u) for u in unit])
+    near = unit @ unit.T >= 0.93
+    want = sorted((i, int(n) - 1) for (i, _, _), n in zip(rows, near.sum(1)))
+    whole = [sorted(tuple(r) for r in embeddings.near_duplicates(df).collect())]
+    for size in (16, 5):
+        monkeypatch.setattr(embeddings, "CHUNK", size)
+        whole.append(sorted(tuple(r) for r in embeddings.near_duplicates(df).collect()))
+    assert whole[0] == whole[1] == whole[2]
+    got = sorted((i, n) for i, n, _, _ in whole[0])
+    assert sum(n for _, n in got) >= 0.98 * sum(n for _, n in want) and all(g[1] <= w[1] for g, w in zip(got, want))
+    blocks = embeddings.links(spark.createDataFrame([(i, "1", 16, 1, embeddings._packed(np.array(v))) for i, v, _ in rows[:120]], "node long, label string, dim int, copies long, data binary")).count()
+    assert blocks <= 120 * 60 * 24  # rows of members, not of pairs
+
+
 def test_spherical_caps_recall():
     rng = np.random.default_rng(8)
     x = rng.standard_normal((3000, 64))
