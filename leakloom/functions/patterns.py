@@ -2,7 +2,9 @@
 
 A specification states facts: the family, the anchor words, how far label and secret may be, the label
 words, and the secret's shape in a small notation (``32–64×A-Za-z0-9``, quoted literals, ``≥n``,
-``0–1×(...)``, ``one of a or b``, ``not chars``). Compiled patterns mean the same to Python's ``re`` with
+``0–1×(...)``, ``one of a or b``, ``not chars``). What surrounds a secret may be stated in the same notation,
+with ``<`` and ``>`` for the bounds of a word, ``~`` in a literal for an optional sign, ``L80`` and ``M160`` for
+gaps, ``=`` for an assignment, ``sep`` for separators and ``SECRET`` for the secret's place. Compiled patterns mean the same to Python's ``re`` with
 ``ASCII`` and to Java: only ASCII word characters bound a word, white space is tab, newline, form feed,
 return and blank, and a dot stops at a newline.
 """
@@ -15,7 +17,10 @@ SPACE = r"[\t\n\f\r ]"
 BEFORE, AFTER = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
 #: Where a label isn't stated, these words (with ``~`` for an optional sign) label a secret.
 LABELS = ("api~key", "access~key", "access~token", "auth~token", "client~secret", "secret~key", "token", "secret", "key", "password")
-_TOKEN = re.compile(r'"[^"]*"|[()]|(?:\d+(?:–\d+)?|≥\d+)×|[^\s()]+')
+_TOKEN = re.compile(r'"[^"]*"|[()]|(?:\d+(?:–\d+)?|≥\d+)×|[^\s()]+(?:\(\)[^\s()]*)?')
+QUOTE = r"['\"]?"
+ASSIGNED = f"{SPACE}*[:=]{SPACE}*{QUOTE}"
+SEPARATORS = r"['\"\t\n\f\r :=]+"
 
 
 def alphabet(chars: str) -> str:
@@ -25,7 +30,7 @@ def alphabet(chars: str) -> str:
     while i < len(chars):
         c = chars[i]
         if c == "\\" and i + 1 < len(chars):
-            out.append({"s": r"\t\n\f\r ", "w": "0-9A-Za-z_"}.get(chars[i + 1], re.escape(chars[i + 1])))
+            out.append({"s": r"\t\n\f\r ", "w": "0-9A-Za-z_", "n": r"\n", "q": '"'}.get(chars[i + 1], re.escape(chars[i + 1])))
             i += 2
         elif i + 2 < len(chars) and chars[i + 1] == "-" and c.isalnum() and chars[i + 2].isalnum():
             out.append(chars[i : i + 3])
@@ -37,9 +42,10 @@ def alphabet(chars: str) -> str:
 
 
 class _Shape:
-    def __init__(self, shape: str) -> None:
+    def __init__(self, shape: str, secret: str | None = None) -> None:
         self.tokens = _TOKEN.findall(shape)
         self.at = 0
+        self.secret = secret
 
     def peek(self) -> str | None:
         return self.tokens[self.at] if self.at < len(self.tokens) else None
@@ -74,6 +80,12 @@ class _Shape:
         if t == "one" and self.peek() == "of":
             self.take()
             return self.choice()
+        if t == "(":
+            inner = self.sequence((")",))
+            self.take()
+            return inner
+        if self.secret is not None and (context := self.surrounding(t)) is not None:
+            return context
         if t.startswith('"'):
             return re.escape(t[1:-1])
         if not t.endswith("×"):
@@ -95,6 +107,17 @@ class _Shape:
         return f"[{alphabet(atom)}]{many}"
 
 
+    def surrounding(self, t: str) -> str | None:
+        """What only the notation of surroundings has; None for an element of a shape."""
+        if t == "SECRET":
+            return f"({self.secret})"
+        if re.fullmatch(r"[LM]\d+", t):
+            return gaps(t)[0]
+        if t.startswith('"'):
+            return "[_-]?".join(map(re.escape, t[1:-1].split("~")))
+        return {"<": BEFORE, ">": AFTER, "=": ASSIGNED, "sep": SEPARATORS, "quote": QUOTE}.get(t)
+
+
 def secret_shape(shape: str) -> str:
     return _Shape(shape).sequence()
 
@@ -128,18 +151,17 @@ def gaps(stated: str) -> list[str]:
     return [kinds[g[0]] + "{0,%s}" % g[1:] for g in stated.split("+") if g and g[0] in kinds]
 
 
-def within(context: tuple[str, ...], shape: str, flags: str) -> str:
-    """The pattern of a secret whose surroundings are given as patterns; group 1 is the secret."""
-    before, after = context if len(context) == 2 else (*context, AFTER if "b" in flags else "")
-    return f"{before}({secret_shape(shape)}){after}"
+def within(context: str, shape: str, flags: str) -> str:
+    """The pattern of a secret whose surroundings are stated; it stands at their end unless they place it."""
+    end = AFTER if "b" in flags else ""
+    stated = context if "SECRET" in context.split() else f"{context} SECRET"
+    return _Shape(stated, secret_shape(shape)).sequence() + ("" if stated == context else end)
 
 
 def assemble(family: str, keywords: list[str], stated_gap: str, labels: list[str], shape: str, flags: str) -> str:
     """The pattern of a specification; group 1 is the secret."""
     secret = f"({secret_shape(shape)})"
     end = AFTER if "b" in flags else ""
-    quote = "['\"]?"
-    assigned = f"{SPACE}*[:=]{SPACE}*{quote}"
     space = gaps(stated_gap)
     if family in "LM":
         names = label(labels or list(LABELS))
@@ -147,11 +169,11 @@ def assemble(family: str, keywords: list[str], stated_gap: str, labels: list[str
             words = [k.split(".")[0] for k in keywords]
             names = BEFORE + _bounded([re.escape(w.lower()) for w in words] + ["api[_-]?key", "token"])
             return anchor(keywords) + space[0] + names + f"[0-9A-Za-z_-]*{space[-1]}" + BEFORE + secret + end
-        return anchor(keywords) + (space[0] if space else "") + names + assigned + secret + end
+        return anchor(keywords) + (space[0] if space else "") + names + ASSIGNED + secret + end
     if family == "S":
-        return anchor(keywords, False) + "".join(space) + f"['\"\\t\\n\\f\\r :=]+" + secret + end
+        return anchor(keywords, False) + "".join(space) + SEPARATORS + secret + end
     if family == "N":
         return anchor(keywords, False) + "".join(space) + BEFORE + secret + end
     if family == "A":
-        return anchor(keywords) + assigned + secret + end
+        return anchor(keywords) + ASSIGNED + secret + end
     return (BEFORE if family == "X" and "b" in flags else "") + secret + end
