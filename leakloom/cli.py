@@ -1,47 +1,71 @@
-"""Command line: scan folders, files, histories and lists of them."""
+"""Command line: scan folders, files, clones, their histories, lists of them, and what a hosting service lists."""
 
 from __future__ import annotations
 
 import argparse
 import json
 import os
+import shutil
 import sys
+import tempfile
 import time
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-from .operators import registry
-from .operators.state import parity_counts
+from . import __version__
+from .operators import registry, state
+from .operators.detect import verifiers
 from .plans import scan
-from .sources import archives, files, sinks
+from .sources import archives, files, git, hosting, sinks
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("leakloom", description=__doc__)
-    p.add_argument("--target", action="append", default=[], help="folder, file or local clone; may repeat")
-    p.add_argument("--repo-list")
-    p.add_argument("--history", action="store_true", help="also scan the history of local clones")
-    p.add_argument("--include", default="")
-    p.add_argument("--exclude", default="")
-    p.add_argument("--max-file-size", type=int, default=files.MAX_FILE)
-    p.add_argument("--archives", action="store_true")
-    p.add_argument("--archive-depth", type=int, default=2)
-    p.add_argument("--archive-max-entries", type=int, default=10_000)
-    p.add_argument("--archive-max-bytes", type=int, default=250 << 20)
-    p.add_argument("--detectors", help="JSON file of custom detectors")
-    p.add_argument("--registry", help="table of detector specifications")
-    p.add_argument("--baseline")
-    p.add_argument("--write-baseline")
-    p.add_argument("--format", default="human", choices=sinks.FORMATS)
-    p.add_argument("--output")
-    p.add_argument("--resume-output", default="append", choices=("append", "overwrite", "new"))
-    p.add_argument("--raw-secrets", action="store_true")
-    p.add_argument("--fail-on-findings", action="store_true")
-    p.add_argument("--state", help="job state file")
-    p.add_argument("--resume")
-    p.add_argument("--retry-failed")
-    p.add_argument("--list-detectors", action="store_true")
-    p.add_argument("--parity", action="store_true")
+    add = p.add_argument
+    add("--version", action="version", version=__version__)
+    add("--target", action="append", default=[], help="folder, file, local clone or address of a repository; may repeat")
+    add("--repo-list")
+    add("--orgs", default="", help="organisations whose repositories are scanned, by commas")
+    add("--enterprise")
+    add("--accessible", action="store_true", help="all repositories that the token reaches")
+    add("--token", default=os.environ.get("GITHUB_TOKEN", ""))
+    add("--app-id", default=os.environ.get("GITHUB_APP_ID", ""))
+    add("--app-key", default=os.environ.get("GITHUB_APP_PRIVATE_KEY", ""), help="file with the application's private key")
+    add("--installation", default=os.environ.get("GITHUB_INSTALLATION_ID", ""))
+    add("--api", default="https://api.github.com")
+    add("--clones", help="folder for clones that the executors reach; default: a temporary one")
+    add("--repo-concurrency", type=int, default=1)
+    add("--history", action="store_true", help="also scan the history of clones")
+    add("--include", default="")
+    add("--exclude", default="")
+    add("--max-file-size", type=int, default=files.MAX_FILE)
+    add("--archives", action="store_true")
+    add("--archive-depth", type=int, default=2)
+    add("--archive-max-entries", type=int, default=10_000)
+    add("--archive-max-bytes", type=int, default=250 << 20)
+    add("--archive-max-entry", type=int, default=0, help="bytes of an entry; default: those of a file")
+    add("--detectors", help="JSON file of custom detectors")
+    add("--registry", help="table of detector specifications")
+    add("--verify", action="store_true", help="ask the providers whether secrets are live")
+    add("--baseline")
+    add("--write-baseline")
+    add("--format", default="human", choices=sinks.FORMATS)
+    add("--output")
+    add("--flush-findings", type=int, default=25, help="findings after which a JSON lines output is made durable")
+    add("--resume-output", default="append", choices=("append", "overwrite", "new"))
+    add("--summary", help="file for the summary")
+    add("--summary-only", action="store_true", help="discover, write the summary, and scan nothing")
+    add("--raw-secrets", action="store_true")
+    add("--fail-on-findings", action="store_true")
+    add("--quiet", action="store_true")
+    add("--no-color", action="store_true")
+    add("--state", help="job state file; kept where this, a job id or a resumed job is given")
+    add("--job-id")
+    add("--resume", help="id of a job: scan what isn't completed")
+    add("--retry-failed", help="id of a job: scan what failed")
+    add("--list-detectors", action="store_true")
+    add("--parity", action="store_true")
     return p
 
 
@@ -49,58 +73,200 @@ def split(text: str) -> list[str]:
     return [x.strip() for x in text.split(",") if x.strip()]
 
 
-def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+def parity(spark: SparkSession, detectors: tuple[registry.Detector, ...]) -> dict:
+    own, frame = registry.mappings(spark, detectors), registry.frame(spark, detectors)
+    return {
+        "statuses": [r.asDict() for r in state.parity_counts(own).orderBy("status").collect()],
+        "outside_catalog": sorted(r[0] for r in state.parity_outside(registry.catalog(spark), own).select("catalog_id").distinct().collect()),
+        "duplicates": [r.asDict() for r in state.parity_duplicates(own).orderBy("catalog_id").collect()],
+        "untracked_detectors": state.parity_untracked(frame, own).count(),
+    }
+
+
+class Console:
+    """Progress on the error stream: time, level and text; findings by severity, redacted unless raw values are asked for."""
+
+    COLOURS = {"critical": "35", "high": "31", "medium": "33"}
+
+    def __init__(self, quiet: bool = False, colour: bool = True, stream=None) -> None:
+        self.quiet, self.stream = quiet, stream or sys.stderr
+        self.colour = colour and hasattr(self.stream, "isatty") and self.stream.isatty()
+
+    def say(self, text: str, level: str = "info") -> None:
+        if not self.quiet or level == "error":
+            print(f"{time.strftime('%H:%M:%S')} {level} {text}", file=self.stream)
+
+    def severity(self, name: str) -> str:
+        code = self.COLOURS.get(name.lower())
+        return f"\x1b[{code}m{name}\x1b[0m" if self.colour and code else name
+
+    def findings(self, found: DataFrame, raw: bool = False) -> None:
+        if not self.quiet:
+            for r in found.toLocalIterator():
+                print(f"  [{self.severity(r['severity'])}] {r['name']} {r['file']}:{r['line']} {r['secret'] if raw else r['redacted']}", file=self.stream)
+
+
+def discover(args: argparse.Namespace, spark: SparkSession, transport=hosting.urllib_transport) -> tuple[list[str], dict, dict[str, str]]:
+    """(targets, discovery summary, token by owner in lower case) of what the hosting service lists."""
+    orgs = split(args.orgs)
+    if not (orgs or args.enterprise or args.accessible):
+        return [], {}, {}
+    key = ""
+    if args.app_key:
+        with open(args.app_key, encoding="utf-8") as f:
+            key = f.read()
+    found = hosting.clients(transport, args.api, args.token, args.app_id, key, args.installation, orgs, every=bool(args.enterprise or args.accessible))
+    if not found:
+        raise SystemExit("discovery needs a token, or an application's id and key")
+    rows, tokens, installations = [], {}, []
+    for account, client in found:
+        if orgs:
+            own = [r for o in orgs if not account or o.lower() == account.lower() for r in client.organisation(o)]
+        elif args.enterprise:
+            own = client.organisation(account) if account else client.enterprise_repositories(args.enterprise)
+        else:
+            own = client.accessible()
+        rows += own
+        installations.append({"account": account, "repositories": len(own)})
+        tokens |= {(r.get("full_name") or "").split("/")[0].lower(): client.token for r in own}
+    repositories = state.last_by_name(hosting.repositories(spark, rows), "idx").collect()
+    owners: dict[str, int] = {}
+    for r in repositories:
+        owners[r["full_name"].split("/")[0]] = owners.get(r["full_name"].split("/")[0], 0) + 1
+    summary = {"repositories": len(repositories), "installations": installations, "orgs": [{"name": k, "repositories": v, "findings": 0} for k, v in sorted(owners.items())]}
+    return [r["clone_url"] or f"https://github.com/{r['full_name']}" for r in repositories], summary, tokens
+
+
+def main(argv: list[str] | None = None, spark: SparkSession | None = None, transport=hosting.urllib_transport, clone=git.clone) -> int:
     args = parser().parse_args(argv)
+    clones = args.clones or tempfile.mkdtemp(prefix="leakloom-clones-")
+    try:
+        return run(args, clones, spark, transport, clone)
+    finally:  # not before: what is computed again after a loss reads the clones again
+        if not args.clones:
+            shutil.rmtree(clones, ignore_errors=True)
+
+
+def run(args: argparse.Namespace, clones: str, spark: SparkSession | None, transport, clone) -> int:
     if args.resume and args.retry_failed:
         raise SystemExit("--resume and --retry-failed exclude each other")
+    if args.repo_list and (args.orgs or args.enterprise or args.accessible):
+        raise SystemExit("--repo-list and discovery exclude each other")
+    if args.output and args.resume_output == "append" and (args.resume or args.retry_failed) and args.format != "jsonl":
+        raise SystemExit("only --format jsonl can be appended to; choose --resume-output overwrite or new")
     detectors = registry.load(args.registry) + (registry.load_custom(args.detectors) if args.detectors else ())
     if args.list_detectors:
         print(json.dumps([d.info() for d in detectors], indent=2))
         return 0
     spark = spark or SparkSession.builder.appName("leakloom").getOrCreate()
     if args.parity:
-        print(json.dumps([r.asDict() for r in parity_counts(registry.mappings(spark, detectors)).orderBy("status").collect()], indent=2))
+        print(json.dumps(parity(spark, detectors), indent=2))
+        return 0
+    console = Console(args.quiet, not args.no_color)
+    found_targets, discovery, tokens = discover(args, spark, transport)
+    listed = [r[0] for r in files.read_targets(spark, args.repo_list).toLocalIterator()] if args.repo_list else []
+    targets = list(dict.fromkeys([*args.target, *listed, *found_targets])) or ["."]
+    if args.summary_only:
+        text = json.dumps(sinks.summary({}, discovery, known=targets), indent=2)
+        sinks.write_private(args.summary, text + "\n") if args.summary else print(text)
         return 0
-    targets = [*args.target, *([r[0] for r in files.read_targets(spark, args.repo_list).toLocalIterator()] if args.repo_list else [])]
-    targets = list(dict.fromkeys(targets)) or ["."]
-    job = args.resume or args.retry_failed or sinks.job_id(targets[0], time.time())
+    job = args.resume or args.retry_failed or args.job_id or sinks.job_id(sinks.job_scope(targets[0], args.repo_list or "", split(args.orgs), args.enterprise or "", args.accessible), time.time())
+    keeps = bool(args.state or args.job_id or args.resume or args.retry_failed)
     state_path = args.state or f".leakloom/{job}.json"
-    state = sinks.read_job(state_path, job) if args.resume or args.retry_failed else {}
+    jobs = sinks.read_job(state_path, job) if args.resume or args.retry_failed else {}
+    every_target = list(targets)
     if args.retry_failed:
-        targets = [t for t in targets if state.get(t, {}).get("status") == "failed"]
+        targets = [t for t in targets if jobs.get(t, {}).get("status") == "failed"]
     elif args.resume:
-        targets = [t for t in targets if state.get(t, {}).get("status") != "completed"]
-    limits = archives.Limits(args.archive_depth, args.archive_max_entries, args.archive_max_bytes, args.max_file_size) if args.archives else None
+        targets = [t for t in targets if jobs.get(t, {}).get("status") != "completed"]
+    limits = archives.Limits(args.archive_depth, args.archive_max_entries, args.archive_max_bytes, args.archive_max_entry or args.max_file_size) if args.archives else None
     baseline = sinks.read_baseline(spark, args.baseline) if args.baseline else None
-    every = None
-    for target in targets:
-        own = state.setdefault(target, {"attempts": 0})
-        own.update(status="running", attempts=own["attempts"] + 1)
-        sinks.write_job(state_path, job, state)
+    options = {"include": split(args.include), "exclude": split(args.exclude), "max_file": args.max_file_size}
+    writer, written = None, ""
+    if args.output:
+        written, mode = sinks.resume_path(args.output, args.resume_output if args.resume or args.retry_failed else "overwrite", kind=args.format)
+        if args.format == "jsonl":
+            writer = sinks.LineWriter(written, args.flush_findings, args.raw_secrets, mode)
+
+    def save() -> None:
+        if keeps:
+            sinks.write_job(state_path, job, jobs)
+
+    def scanned(target: str, place: str) -> DataFrame:
+        found = scan.of_folder(spark, place, detectors, limits=limits, **options)
+        if args.history and os.path.isdir(os.path.join(place, ".git")):
+            found = found.unionByName(scan.of_history(spark, place, detectors, options["include"], options["exclude"], limits, args.max_file_size)).dropDuplicates(["fingerprint"])
+        return found.cache()
+
+    def one(target: str) -> tuple[str, DataFrame | None, str, int]:
+        """(target, findings, error, count); what fails for a repository's address is recorded, and the scan goes on."""
+        remote = hosting.is_remote(target)
+        place = os.path.join(clones, str(every_target.index(target))) if remote else target
         try:
-            found = scan.of_folder(spark, target, detectors, include=split(args.include), exclude=split(args.exclude), max_file=args.max_file_size, baseline=baseline, limits=limits)
-            if args.history and os.path.isdir(os.path.join(target, ".git")):
-                found = found.unionByName(scan.of_history(spark, target, detectors, split(args.include), split(args.exclude), limits, args.max_file_size)).dropDuplicates(["fingerprint"])
-            found = found.cache()
-            own.update(status="completed", findings=found.count())
+            if remote:
+                clone(target, place, tokens.get(hosting.owner(target).lower(), args.token) or None)
+            found = scanned(target, place)
+            return target, found, "", found.count()
         except Exception as e:
-            own.update(status="failed", error=str(e)[:500])
-            sinks.write_job(state_path, job, state)
-            raise
-        sinks.write_job(state_path, job, state)
-        every = found if every is None else every.unionByName(found)
+            if not remote:
+                raise
+            return target, None, str(e)[:500], 0
+
+    every, before, after = None, 0, 0
+    try:
+        for target in targets:
+            jobs.setdefault(target, {"attempts": 0, "status": "pending"})
+        with ThreadPoolExecutor(max(1, args.repo_concurrency)) as pool:
+            waiting = []
+            for target in targets:
+                jobs[target].update(status="running", attempts=jobs[target].get("attempts", 0) + 1, error="")
+                waiting.append(pool.submit(one, target))
+            save()
+            for target, result in zip(targets, waiting):
+                try:
+                    _, found, error, count = result.result()
+                except Exception as e:
+                    jobs[target].update(status="failed", error=str(e)[:500])
+                    save()
+                    raise
+                if found is None:
+                    jobs[target].update(status="failed", error=error)
+                    console.say(f"{target} failed: {error}", "error")
+                    save()
+                    continue
+                jobs[target].update(status="completed", findings=count)
+                before += count
+                new = state.without_baseline(found, baseline) if baseline is not None else found
+                if args.verify:
+                    from .operators.detect import verify
+
+                    new = verify(new, verifiers(detectors)).cache()
+                after += new.count() if baseline is not None else count
+                for org in discovery.get("orgs", ()):
+                    org["findings"] += count if org["name"] == hosting.owner(target) else 0
+                console.say(f"{target}: {count} findings")
+                console.findings(new, args.raw_secrets)
+                if writer:
+                    writer.write(new)
+                save()
+                every = new if every is None else every.unionByName(new)
+    finally:
+        if writer:
+            writer.close()
+    if args.summary:
+        sinks.write_private(args.summary, json.dumps(sinks.summary(jobs, discovery, before, after, every_target), indent=2) + "\n")
     if every is None:
         return 0
     if args.write_baseline:
         sinks.write_baseline(every, args.write_baseline)
-    lines = sinks.render(every, args.format, {"targets": targets}, args.raw_secrets)
-    if args.output:
-        path, mode = sinks.resume_path(args.output, args.resume_output if args.resume else "overwrite")
-        with open(path, "a" if mode == "append" else "w", encoding="utf-8") as f:
-            f.writelines(x + "\n" for x in lines)
-    else:
-        for x in lines:
-            print(x)
+    if not writer:
+        lines = sinks.render(every, args.format, {"targets": targets}, args.raw_secrets)
+        if written:
+            with open(written, "w", encoding="utf-8") as f:
+                f.writelines(x + "\n" for x in lines)
+        else:
+            for x in lines:
+                print(x)
     return 2 if args.fail_on_findings and not every.isEmpty() else 0
 
 

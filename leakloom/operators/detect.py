@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import urllib.request
 import uuid
 from bisect import bisect_right
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -174,6 +175,33 @@ def documents_as_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return docs.select(F.concat(F.lit("documents/"), F.col(id_col).cast("string")).alias("file"), F.lit("").alias("commit"), F.col(text_col).alias("content"))
 
 
+def bearer_check(url: str, timeout: float = 8.0) -> Callable[[str], bool]:
+    """A verifier: whether an address answers 200 to a request that bears the secret."""
+
+    def ask(secret: str) -> bool:
+        request = urllib.request.Request(url, headers={"Authorization": f"Bearer {secret}"})
+        try:
+            with urllib.request.urlopen(request, timeout=timeout) as r:
+                return r.status == 200
+        except (OSError, ValueError):
+            return False
+
+    return ask
+
+
+#: Addresses that tell whether a token of the detectors named is live. Only asked on demand.
+VERIFIED_AT = {
+    "https://api.github.com/user": ("github-token", "github-pat-v2"),
+    "https://api.openai.com/v1/models": ("openai-key", "openai-admin-key"),
+}
+
+
+def verifiers(detectors: tuple[Detector, ...]) -> dict[str, Callable[[str], bool]]:
+    """Verifiers of those detectors that are verifiable, by detector id."""
+    marked = {d.id for d in detectors if d.verifiable}
+    return {i: bearer_check(url) for url, ids in VERIFIED_AT.items() for i in ids if i in marked}
+
+
 def verify(found: DataFrame, verifiers: dict) -> DataFrame:
     """``verified`` by callables per detector id; each distinct (detector, secret) is asked once."""
     if not verifiers:

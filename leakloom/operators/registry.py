@@ -16,6 +16,7 @@ from functools import cache, cached_property
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import patterns
 
@@ -171,7 +172,18 @@ def frame(spark: SparkSession, detectors: tuple[Detector, ...] | None = None) ->
     return spark.createDataFrame(rows, "detector_id string, name string, severity string, keywords array<string>, verifiable boolean")
 
 
+#: Catalog ids that are planned and have no detector, and mapped ids that the catalog doesn't have.
+PLANNED = ("geocode", "verifier")
+SUB_DETECTORS = ("aws/session_keys", "aws/appsync", "github/v2", "privatekey/ssh")
+
+
 def mappings(spark: SparkSession, detectors: tuple[Detector, ...] | None = None) -> DataFrame:
-    """Catalog mappings of the registry: catalog_id, detector_id, status."""
+    """Catalog mappings of the registry: catalog_id, detector_id (null where planned), status."""
     rows = [(c, d.id, "partial" if partial else "implemented") for d in detectors or load() for c, _, partial in d.catalog]
+    rows += [(c, None, "planned") for c in PLANNED]
     return spark.createDataFrame(rows, "catalog_id string, detector_id string, status string")
+
+
+def catalog(spark: SparkSession) -> DataFrame:
+    """The catalog's ids: every one is mapped, so they follow from the mappings."""
+    return mappings(spark).select("catalog_id").where(~F.col("catalog_id").isin(*SUB_DETECTORS)).distinct()

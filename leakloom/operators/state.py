@@ -37,9 +37,13 @@ def unseen(targets: DataFrame, state: DataFrame) -> DataFrame:
     return targets.join(state.select("target"), "target", "left_anti")
 
 
-def status_counts(state: DataFrame) -> DataFrame:
+def status_counts(state: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """(status, targets); of ``targets``, where given, those that no transition names are pending."""
+    rows = state.select("target", "status")
+    if targets is not None:
+        rows = targets.select("target").distinct().join(rows, "target", "left")
     known = F.when(F.col("status").isin(*STATUSES), F.col("status")).otherwise("pending")
-    return state.groupBy(known.alias("status")).agg(F.count("*").alias("targets"))
+    return rows.groupBy(known.alias("status")).agg(F.count("*").alias("targets"))
 
 
 def by_owner(repositories: DataFrame) -> DataFrame:
@@ -61,6 +65,35 @@ def last_by_name(repositories: DataFrame, order: str) -> DataFrame:
     return picked.select("r.*").orderBy("full_name")
 
 
+def by_installation(installations: DataFrame, repositories: DataFrame) -> DataFrame:
+    """(installation, account, repositories): repositories of each installation's account, whatever the case of names."""
+    counts = repositories.groupBy(F.lower("account").alias("__account")).agg(F.count("*").alias("repositories"))
+    joined = installations.join(counts, F.lower("account") == F.col("__account"), "left")
+    return joined.select("installation", "account", F.coalesce("repositories", F.lit(0)).alias("repositories"))
+
+
+def with_token(targets: DataFrame, installations: DataFrame) -> DataFrame:
+    """Targets (target, owner) with the installation whose account owns them, whatever the case; null where none does."""
+    own = installations.groupBy(F.lower("account").alias("__account")).agg(F.min("installation").alias("installation"))
+    return targets.join(own, F.lower("owner") == F.col("__account"), "left").select("target", "owner", "installation")
+
+
+def outcomes(state: DataFrame) -> DataFrame:
+    """One row: how many targets succeeded and failed, and the failures (target, error), sorted."""
+    failed = F.col("status") == "failed"
+    listed = F.array_sort(F.collect_list(F.when(failed, F.struct("target", F.coalesce("error", F.lit("")).alias("error")))))
+    return state.agg(F.count_if(F.col("status") == "completed").alias("succeeded"), F.count_if(failed).alias("failed"), listed.alias("failures"))
+
+
+def totals(found: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
+    """One row: findings before the baseline's are left out, and after."""
+    if baseline is None:
+        return found.agg(F.count("*").alias("before"), F.count("*").alias("after"))
+    known = baseline.select("fingerprint").where("fingerprint <> ''").distinct().withColumn("__known", F.lit(True))
+    rows = found.select("fingerprint").join(known, "fingerprint", "left")
+    return rows.agg(F.count("*").alias("before"), F.count_if(F.col("__known").isNull()).alias("after"))
+
+
 def at_every_place(objects: DataFrame, places: DataFrame) -> DataFrame:
     """Findings of objects (oid) at each (commit, path) that has the object."""
     return objects.join(places, "oid")
@@ -74,6 +107,16 @@ def parity_duplicates(mappings: DataFrame) -> DataFrame:
     return mappings.groupBy("catalog_id").agg(F.count("*").alias("mappings")).where("mappings > 1")
 
 
+def parity_known(registry: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Mappings whose detector exists."""
+    return mappings.join(registry.select("detector_id"), "detector_id", "left_semi")
+
+
+def parity_outside(catalog: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Mappings of ids that the catalog doesn't have."""
+    return mappings.join(catalog.select("catalog_id"), "catalog_id", "left_anti")
+
+
 def parity_untracked(registry: DataFrame, mappings: DataFrame) -> DataFrame:
     """Detectors that no catalog entry is mapped to."""
     return registry.select("detector_id").join(mappings.select("detector_id"), "detector_id", "left_anti")

@@ -14,8 +14,7 @@ from ..functions import findings, plausible
 from ..functions.patterns import AFTER, BEFORE, SPACE
 from ..operators import registry, state
 from ..operators.detect import detect, documents_as_sources
-from ..sources import files
-from ..sources.sinks import sarif_results, sarif_rules
+from ..sources import archives, files, hosting, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -130,20 +129,14 @@ def keyword_prefilter(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select(low.alias("low")).select(F.explode(found).alias("keyword")).groupBy("keyword").agg(F.count("*").alias("documents"))
 
 
-_BEFORE_SQL = f"regexp_extract(text, '(?s)\\A(.*?)(?:{_sql_pattern(ASSIGNED)})', 1)"
+_GAPS_SQL = f"""SELECT doc_id, generate_subscripts(whole, 1) AS k, gaps, whole FROM (
+  SELECT doc_id, regexp_extract_all(text, '{_sql_pattern(ASSIGNED)}', 0) AS whole, regexp_split_to_array(text, '{_sql_pattern(ASSIGNED)}') AS gaps FROM documents WHERE regexp_matches(text, '{_sql_pattern(ASSIGNED)}'))"""
 
 
-@query(f"SELECT doc_id, 1 + strlen(b) - strlen(replace(b, chr(10), '')) AS line, strlen(split_part(b, chr(10), -1)) + 1 AS column FROM (SELECT doc_id, {_BEFORE_SQL} AS b FROM documents WHERE regexp_matches(text, '{_sql_pattern(ASSIGNED)}'))")
+@query(f"""WITH before AS (SELECT doc_id, gaps[1] || array_to_string(list_transform(range(2, k + 1), lambda i: whole[i - 1] || gaps[i]), '') AS b FROM ({_GAPS_SQL}))
+SELECT doc_id, 1 + strlen(b) - strlen(replace(b, chr(10), '')) AS line, strlen(split_part(b, chr(10), -1)) + 1 AS column FROM before""")
 def finding_location(spark, sf_dir):
-    pattern = _pattern(ASSIGNED)
-    docs = _table(spark, sf_dir, "documents").where(F.col("text").rlike(pattern))
-    before = F.regexp_extract("text", rf"(?s)\A(.*?)(?:{pattern})", 1)
-    return docs.select("doc_id", before.alias("b")).select("doc_id", findings.line(F.col("b")).cast("long").alias("line"), findings.column(F.col("b")).cast("long").alias("column"))
-
-
-@query()
-def finding_locations(spark, sf_dir):
-    """Line and column of every match; ``finding_location``, as its SQL, has a text's first one only."""
+    """Line and column of every match."""
     pattern = F.lit(_pattern(ASSIGNED))
     docs = _table(spark, sf_dir, "documents").where(F.regexp_like("text", pattern))
     parts = docs.select("doc_id", F.split("text", pattern, -1).alias("gaps"), F.regexp_extract_all("text", pattern, F.lit(0)).alias("whole"))
@@ -190,18 +183,13 @@ def fingerprints(spark, sf_dir):
     return _found(spark, sf_dir).select("doc_id", "detector_id", "fingerprint")
 
 
-@query(f"WITH {_FOUND_SQL} SELECT doc_id, CASE WHEN strlen(s) <= 8 THEN repeat('*', strlen(s)) ELSE left(s, 4) || repeat('*', strlen(s) - 8) || right(s, 4) END AS redacted FROM (SELECT doc_id, left(secret, 4 + (doc_id % 20)::INT) AS s FROM found)")
+@query(f"WITH {_FOUND_SQL}, s AS (SELECT doc_id, unnest([secret, left(secret, 4 + (doc_id % 20)::INT)]) AS s FROM found) SELECT doc_id, CASE WHEN strlen(s) <= 8 THEN repeat('*', strlen(s)) ELSE left(s, 4) || repeat('*', strlen(s) - 8) || right(s, 4) END AS redacted FROM s")
 def redacted(spark, sf_dir):
-    rows = _found(spark, sf_dir).select("doc_id", F.expr("left(secret, 4 + cast(doc_id % 20 as int))").alias("s"))
+    """Whole secrets, and beginnings of 4 to 23 characters besides."""
+    rows = _found(spark, sf_dir).select("doc_id", F.explode(F.array("secret", F.expr("left(secret, 4 + cast(doc_id % 20 as int))"))).alias("s"))
     return rows.select("doc_id", findings.redacted(F.col("s")).alias("redacted"))
 
 
-@query(SQL["redacted"].replace("left(secret, 4 + (doc_id % 20)::INT) AS s", "secret AS s"))
-def redacted_whole(spark, sf_dir):
-    """Whole secrets; ``redacted`` has their first 4 to 23 characters."""
-    return _found(spark, sf_dir).select("doc_id", findings.redacted(F.col("secret")).alias("redacted"))
-
-
 CASES = ("${DB_PASSWORD}", "$DB_PASSWORD", "{{ vault_token }}", "$(get-secret)", "%API_KEY%", "!API_KEY!", "os.getenv('TOKEN')", "process.env.SECRET", "vault://kv/app", "ENC[AES256,abc]", "config.api_key", "settings.secret_token", "API_KEY", "my_secret", "mySecretValue", "other.api_key", "A1b2C3d4E5f6G7h8", "xxxxxxxxxxxx", "00000000", "short", "[^a-z]secret", "(?:token)abcd", "ref+vault://x/y", "$[secret]", "secret_aaaaaaaaaaaaaaaaaaaaaaaaa")
 
 
@@ -232,15 +220,17 @@ def plausibility_filter(spark, sf_dir):
     return _cases(spark, sf_dir).where(plausible.plausible(F.col("value")))
 
 
-_PLACE = r"(?i)(?:^|[;\s])(?:password|token|secret)\s*=\s*([^;\s]+)"
+_KEYS_SQL = "|".join(sorted(plausible.KEYS, key=len, reverse=True))
+_PLACE_TEXT = "'Server=db;' || list_extract(['Password', 'api-key', 'clientsecret', 'Pass'], (doc_id % 4 + 1)::INT) || ' = ' || CASE WHEN doc_id % 2 = 0 THEN '${DB}' WHEN doc_id % 3 = 0 THEN '\"API_KEY\"' ELSE md5(doc_id::VARCHAR) END || ';x'"
 
 
-@query(f"SELECT doc_id, list_any_value([regexp_matches(v, '^\\$\\{{') for v in regexp_extract_all(t, '{_PLACE}', 1)]) AS placeholder FROM (SELECT doc_id, 'Server=db;Password=' || CASE WHEN doc_id % 2 = 0 THEN '${{DB}}' ELSE md5(doc_id::VARCHAR) END || ';x' AS t FROM documents)")
+@query(rf"""WITH t AS (SELECT doc_id, regexp_extract_all({_PLACE_TEXT}, '(?i)(?:^|[;\s])(?:{_KEYS_SQL})\s*=\s*("[^"]*"|[^;\s]+)', 1) AS v FROM documents)
+SELECT doc_id, coalesce(list_bool_or([regexp_matches(x, '^\$\{{') OR x = '"API_KEY"' for x in v]), false) AS placeholder FROM t""")
 def placeholder_filter(spark, sf_dir):
-    value = F.when(F.col("doc_id") % 2 == 0, F.lit("${DB}")).otherwise(_id())
-    text = F.concat(F.lit("Server=db;Password="), value, F.lit(";x"))
-    held = F.exists(F.regexp_extract_all(text, F.lit(_PLACE), F.lit(1)), lambda v: plausible.reference(v))
-    return _table(spark, sf_dir, "documents").select("doc_id", held.alias("placeholder"))
+    key = F.element_at(F.array(*map(F.lit, ("Password", "api-key", "clientsecret", "Pass"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    value = F.when(F.col("doc_id") % 2 == 0, F.lit("${DB}")).when(F.col("doc_id") % 3 == 0, F.lit('"API_KEY"')).otherwise(_id())
+    text = F.concat(F.lit("Server=db;"), key, F.lit(" = "), value, F.lit(";x"))
+    return _table(spark, sf_dir, "documents").select("doc_id", plausible.placeholder(text).alias("placeholder"))
 
 
 _B64_TEXT = "'blob=' || rtrim(to_base64(encode('token = \"' || md5(doc_id::VARCHAR) || '\"')), '=') || ' ' || text"
@@ -314,7 +304,7 @@ def archive_kind(spark, sf_dir):
     return _paths(spark, sf_dir).select("page_id", files.archive_kind(F.col("path")).alias("kind"))
 
 
-@query("SELECT doc_id, (doc_id % 5 = 0 AND strlen(text) < 8000) AS is_binary FROM documents WHERE doc_id % 5 <> 0 OR strlen(text) < 7990 OR strlen(text) >= 8000")
+@query("SELECT doc_id, (doc_id % 5 = 0 AND strlen(text) < 8000) AS is_binary FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
 def binary_filter(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     content = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("\x00"))).otherwise(F.col("text")).cast("binary")
@@ -329,24 +319,16 @@ def archive_budget(spark, sf_dir):
     return state.within_budget(entries, 4, 900, 450).select("archive", "idx", "size")
 
 
-@query("""WITH objects AS (SELECT p_partkey AS oid, md5(p_name) AS secret FROM part WHERE p_size <= 5),
+@query("""WITH objects AS (SELECT p_partkey AS oid, md5(p_name) AS secret FROM part),
 places AS (SELECT DISTINCT l_partkey AS oid, l_orderkey AS "commit", l_suppkey AS path FROM lineitem)
-SELECT oid, "commit", path, sha256('d' || chr(0) || secret || chr(0) || path || chr(0) || "commit") AS fingerprint FROM objects JOIN places USING (oid)""")
+SELECT oid, "commit", 'dir/' || path || CASE WHEN oid % 3 = 0 THEN '!/in/' || oid || '.env' ELSE '' END AS file, sha256('d' || chr(0) || secret || chr(0) || file || chr(0) || "commit") AS fingerprint FROM objects JOIN places USING (oid)""")
 def history_fanout(spark, sf_dir):
-    return _fanout(spark, sf_dir, _table(spark, sf_dir, "part").where("p_size <= 5"))
-
-
-@query(SQL["history_fanout"].replace(" WHERE p_size <= 5", ""))
-def history_fanout_all(spark, sf_dir):
-    """The same for all objects."""
-    return _fanout(spark, sf_dir, _table(spark, sf_dir, "part"))
-
-
-def _fanout(spark: SparkSession, sf_dir: str, parts: DataFrame) -> DataFrame:
-    objects = parts.select(F.col("p_partkey").alias("oid"), F.md5("p_name").alias("secret"))
-    places = _table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("oid"), F.col("l_orderkey").alias("commit"), F.col("l_suppkey").alias("path")).distinct()
-    rows = state.at_every_place(objects, places)
-    return rows.select("oid", "commit", "path", findings.fingerprint(F.lit("d"), F.col("secret"), F.col("path").cast("string"), F.col("commit").cast("string")).alias("fingerprint"))
+    """Every object's finding at every (commit, path) of it, an archive entry's suffix kept, by ``reidentify``."""
+    suffix = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("!/in/"), F.col("p_partkey").cast("string"), F.lit(".env"))).otherwise(F.lit(""))
+    objects = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("oid"), F.lit("d").alias("detector_id"), F.md5("p_name").alias("secret"), F.concat(F.lit("x"), suffix).alias("file"), F.lit("").alias("commit"), F.lit("").alias("fingerprint"))
+    lines = _table(spark, sf_dir, "lineitem")
+    places = lines.select(F.col("l_partkey").alias("oid"), F.col("l_orderkey").cast("string").alias("commit"), F.concat(F.lit("dir/"), F.col("l_suppkey").cast("string")).alias("path")).distinct()
+    return findings.reidentify(objects, places).select("oid", F.col("commit").cast("long").alias("commit"), "file", "fingerprint")
 
 
 def _transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -363,12 +345,14 @@ def job_latest_state(spark, sf_dir):
     return state.latest(_transitions(spark, sf_dir)).select("target", "status", "attempts")
 
 
-@query(f"WITH {_STATE_SQL} SELECT status, count(*) AS targets FROM state GROUP BY status")
-def job_status_counts(spark, sf_dir):
-    return state.status_counts(state.latest(_transitions(spark, sf_dir)))
+_TARGETS = "targets AS (SELECT c_custkey AS target FROM customer)"
 
 
-_TARGETS = "targets AS (SELECT c_custkey AS target FROM customer)"
+@query(f"WITH {_STATE_SQL}, {_TARGETS} SELECT coalesce(status, 'pending') AS status, count(*) AS targets FROM targets LEFT JOIN state USING (target) GROUP BY 1")
+def job_status_counts(spark, sf_dir):
+    """Of all targets; those that nothing is known of are pending."""
+    targets = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("target"))
+    return state.status_counts(state.latest(_transitions(spark, sf_dir)), targets)
 
 
 @query(f"WITH {_STATE_SQL}, {_TARGETS} SELECT target FROM targets LEFT JOIN state USING (target) WHERE coalesce(status, 'pending') <> 'completed'")
@@ -395,29 +379,48 @@ def owner_rollup(spark, sf_dir):
     return state.by_owner(names)
 
 
-@query(f"""WITH {_FOUND_SQL}, r AS (SELECT source AS org, count(*) AS repositories FROM documents WHERE lang = 'de' GROUP BY 1),
+@query(f"""WITH {_FOUND_SQL}, r AS (SELECT source AS org, count(*) AS repositories FROM documents GROUP BY 1),
 f AS (SELECT source AS org, count(*) AS findings FROM found JOIN documents USING (doc_id) GROUP BY 1)
 SELECT org, coalesce(repositories, 0) AS repositories, coalesce(findings, 0) AS findings FROM r FULL JOIN f USING (org)""")
 def org_findings(spark, sf_dir):
-    return _organisations(spark, sf_dir, "lang = 'de'")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("org"))
+    return state.by_organisation(docs, _found(spark, sf_dir).join(docs, "doc_id"))
 
 
-@query(SQL["org_findings"].replace(" WHERE lang = 'de'", ""))
-def org_findings_all(spark, sf_dir):
-    """The same with all repositories."""
-    return _organisations(spark, sf_dir, "true")
+_ACCOUNTS = "c AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN upper(n_name) ELSE lower(n_name) END AS account FROM customer JOIN nation ON n_nationkey = c_nationkey), i AS (SELECT n_nationkey AS installation, upper(left(n_name, 1)) || lower(substr(n_name, 2)) AS account FROM nation WHERE n_nationkey % 5 <> 4)"
 
 
-def _organisations(spark: SparkSession, sf_dir: str, counted: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("source").alias("org"))
-    return state.by_organisation(docs.where(counted), _found(spark, sf_dir).join(docs, "doc_id"))
+def _accounts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Installations, and customers with the account they belong to, in another case each."""
+    nation = _table(spark, sf_dir, "nation")
+    name = F.when(F.col("c_custkey") % 2 == 0, F.upper("n_name")).otherwise(F.lower("n_name"))
+    customers = _table(spark, sf_dir, "customer").join(nation, F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", name.alias("account"))
+    first = F.concat(F.upper(F.substring("n_name", 1, 1)), F.lower(F.expr("substring(n_name, 2)")))
+    return nation.where("n_nationkey % 5 <> 4").select(F.col("n_nationkey").alias("installation"), first.alias("account")), customers
 
 
-@query("SELECT n_nationkey AS installation, lower(n_name) AS account, count(c_custkey) AS repositories FROM nation LEFT JOIN customer ON lower(n_nationkey::VARCHAR) = lower(c_nationkey::VARCHAR) GROUP BY 1, 2")
+@query(f"WITH {_ACCOUNTS} SELECT installation, i.account, count(c_custkey) AS repositories FROM i LEFT JOIN c ON lower(c.account) = lower(i.account) GROUP BY 1, 2")
 def installation_rollup(spark, sf_dir):
-    installations = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("installation"), F.lower("n_name").alias("account"))
-    repos = _table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("installation")).agg(F.count("c_custkey").alias("repositories"))
-    return installations.join(repos, "installation", "left").select("installation", "account", F.coalesce("repositories", F.lit(0)).alias("repositories"))
+    return state.by_installation(*_accounts(spark, sf_dir))
+
+
+@query(f"WITH {_ACCOUNTS} SELECT c_custkey AS target, c.account AS owner, installation FROM c LEFT JOIN i ON lower(c.account) = lower(i.account)")
+def target_tokens(spark, sf_dir):
+    """The installation whose token reads each target, whatever the case of names; none for some."""
+    installations, customers = _accounts(spark, sf_dir)
+    return state.with_token(customers.select(F.col("c_custkey").alias("target"), F.col("account").alias("owner")), installations)
+
+
+@query(f"WITH {_STATE_SQL} SELECT count(*) FILTER (status = 'completed') AS succeeded, count(*) FILTER (status = 'failed') AS failed, array_to_string(list_sort(list(target::VARCHAR) FILTER (status = 'failed')), ',') AS failures FROM state")
+def scan_outcomes(spark, sf_dir):
+    made = state.outcomes(state.latest(_transitions(spark, sf_dir)).withColumn("target", F.col("target").cast("string")))
+    return made.select("succeeded", "failed", F.concat_ws(",", F.array_sort(F.transform("failures", lambda x: x["target"]))).alias("failures"))
+
+
+@query(f"WITH {_FOUND_SQL} SELECT count(*) AS before, count(*) FILTER (fingerprint NOT IN (SELECT fingerprint FROM found WHERE doc_id % 3 = 0)) AS after FROM found")
+def baseline_totals(spark, sf_dir):
+    found = _found(spark, sf_dir)
+    return state.totals(found, found.where("doc_id % 3 = 0"))
 
 
 @query("SELECT full_name, arg_max(o_orderkey, o_orderkey) AS idx FROM (SELECT CASE WHEN o_custkey % 7 = 0 THEN ' ' ELSE 'o/' || o_custkey END AS full_name, o_orderkey FROM orders) WHERE trim(full_name) <> '' GROUP BY full_name")
@@ -443,12 +446,12 @@ def _reported(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_FOUND_SQL} SELECT DISTINCT detector_id, upper(detector_id) AS name FROM found")
 def sarif_rules_of(spark, sf_dir):
-    return sarif_rules(_reported(spark, sf_dir))
+    return sinks.sarif_rules(_reported(spark, sf_dir))
 
 
-@query(f"WITH {_FOUND_SQL} SELECT detector_id AS rule_id, CASE WHEN severity IN ('critical', 'high') THEN 'error' ELSE 'warning' END AS level, upper(detector_id) || ': ' || left(secret, 4) || repeat('*', strlen(secret) - 8) || right(secret, 4) AS message, file AS uri, 1 AS start_line, 2 AS start_column, fingerprint FROM found")
+@query(f"WITH {_FOUND_SQL} SELECT detector_id AS rule_id, CASE WHEN severity IN ('critical', 'high') THEN 'error' ELSE 'warning' END AS level, upper(detector_id) || ' ' || left(secret, 4) || repeat('*', strlen(secret) - 8) || right(secret, 4) AS message, file AS uri, 1 AS start_line, 2 AS start_column, fingerprint FROM found")
 def sarif_results_of(spark, sf_dir):
-    return sarif_results(_reported(spark, sf_dir))
+    return sinks.sarif_results(_reported(spark, sf_dir))
 
 
 @query(f"WITH {_FOUND_SQL}, h AS (SELECT *, 'c' || (doc_id % 9) AS c FROM found) SELECT DISTINCT fp FROM (SELECT fingerprint AS fp FROM found UNION ALL SELECT sha256(detector_id || chr(0) || secret || chr(0) || file || chr(0) || c) FROM h)")
@@ -459,35 +462,108 @@ def history_union(spark, sf_dir):
     return findings.distinct(found.unionByName(history)).select(F.col("fingerprint").alias("fp"))
 
 
-@query()
+_SHOWN_SQL = "left(secret, 4) || repeat('*', strlen(secret) - 8) || right(secret, 4)"
+
+
+@query(f"WITH {_FOUND_SQL} SELECT '[' || severity || '] ' || upper(detector_id) || ' ' || file || ':1:2 ' || {_SHOWN_SQL} AS value FROM found")
+def human_report(spark, sf_dir):
+    return sinks.human_lines(_reported(spark, sf_dir))
+
+
+@query(f"""WITH {_FOUND_SQL} SELECT '{{"detector_id":"' || detector_id || '","name":"' || upper(detector_id) || '","severity":"' || severity || '","file":"' || file || '","line":1,"column":2,"secret":"","redacted":"' || {_SHOWN_SQL} || '","verified":false,"fingerprint":"' || fingerprint || '"}}' AS value FROM found""")
+def jsonl_report(spark, sf_dir):
+    """JSON lines: redacted, an empty commit left out."""
+    return sinks.json_lines(_reported(spark, sf_dir).withColumn("verified", F.lit(False)))
+
+
+def _catalog_sql() -> str:
+    rows = [(c, d.id, "partial" if partial else "implemented") for d in registry.load() for c, _, partial in d.catalog]
+    rows += [(c, None, "planned") for c in registry.PLANNED]
+    return "m(catalog_id, detector_id, status) AS (VALUES " + ", ".join(f"('{a}', {repr(b) if b else 'NULL'}, '{c}')" for a, b, c in rows) + ")"
+
+
+def _registry_sql() -> str:
+    """The registry's rows again, by a plain reading of the table."""
+    severities = {"c": "critical", "h": "high", "m": "medium"}
+    rows = []
+    for line in registry.DEFAULT_TABLE.read_text(encoding="utf-8").splitlines():
+        if line.startswith("|") and line[1:2].isdigit():
+            cells = line.split("|")[1:-1]
+            words = [w.strip().lower() for w in cells[8].split(",") if w.strip()]
+            rows.append("('" + "', '".join((cells[1], cells[2].replace("'", "''"), severities[cells[3]])) + f"', [{', '.join("'" + w.replace("'", "''") + "'" for w in words)}], {str('V' in cells[7]).lower()})")
+    return "SELECT * FROM (VALUES " + ", ".join(rows) + ") AS r(detector_id, name, severity, keywords, verifiable)"
+
+
+def _registered(f: Callable[[], str]):
+    """Registers a query whose SQL is made from the table of detectors; without the table it has none."""
+    return query(f() if registry.DEFAULT_TABLE.exists() else None)
+
+
+@_registered(lambda: f"WITH {_catalog_sql()} SELECT status, count(*) AS mappings, count(DISTINCT catalog_id) AS catalog_ids, count(DISTINCT detector_id) AS detectors FROM m GROUP BY status")
 def parity_status_counts(spark, sf_dir):
     return state.parity_counts(registry.mappings(spark))
 
 
-@query()
+@_registered(lambda: f"WITH {_catalog_sql()} SELECT detector_id FROM ({_registry_sql()}) WHERE detector_id NOT IN (SELECT detector_id FROM m WHERE detector_id IS NOT NULL)")
 def parity_untracked(spark, sf_dir):
     return state.parity_untracked(registry.frame(spark), registry.mappings(spark))
 
 
-@query()
+@_registered(lambda: f"WITH {_catalog_sql()} SELECT catalog_id, count(*) AS mappings FROM m GROUP BY 1 HAVING count(*) > 1")
 def parity_duplicates(spark, sf_dir):
     return state.parity_duplicates(registry.mappings(spark))
 
 
-@query()
+@_registered(lambda: f"WITH {_catalog_sql()} SELECT catalog_id, detector_id, status FROM m WHERE detector_id IN (SELECT detector_id FROM ({_registry_sql()}))")
+def parity_known(spark, sf_dir):
+    return state.parity_known(registry.frame(spark), registry.mappings(spark)).select("catalog_id", "detector_id", "status")
+
+
+@_registered(lambda: f"WITH {_catalog_sql()} SELECT catalog_id, detector_id, status FROM m WHERE catalog_id IN {registry.SUB_DETECTORS}")
+def parity_outside(spark, sf_dir):
+    return state.parity_outside(registry.catalog(spark), registry.mappings(spark))
+
+
+@_registered(_registry_sql)
 def registry_list(spark, sf_dir):
     return registry.frame(spark)
 
 
-@query()
+#: (detector, its secret, the text planted for it) as SQL that both engines read, where {h} is the md5 of a row's key.
+_PEM = "'-----BEGIN RSA PRIVATE KEY-----' || chr(10) || {h} || chr(10) || '-----END RSA PRIVATE KEY-----'"
+PLANTED = (
+    ("github-token", "'ghp_' || {h} || 'abcd'", "' ghp_' || {h} || 'abcd '"),
+    ("aws-access-key", "'AKIA' || upper(left({h}, 16))", "' AKIA' || upper(left({h}, 16)) || ' '"),
+    ("postgres-uri", "'postgres://app:' || {h} || '@db.example.com/x'", "' postgres://app:' || {h} || '@db.example.com/x '"),
+    ("basic-auth-url", "{h}", "''"),
+    ("datadog-api-key", "{h}", """' datadog_key = "' || {h} || '" '"""),
+    ("private-key", _PEM, f"chr(10) || {_PEM} || chr(10)"),
+    ("ssh-private-key", _PEM, "''"),
+)
+
+
+def _planted_sql(key: str, table: str, body: str) -> str:
+    own = " UNION ALL ".join(f"SELECT {key}, '{d}' AS detector_id, {secret.format(h=f'md5({key}::VARCHAR)')} AS secret FROM {table}" for d, secret, _ in PLANTED)
+    return f"SELECT DISTINCT {key}, detector_id, secret FROM ({own} UNION ALL SELECT {key}, 'generic-assigned-secret', unnest(regexp_extract_all({body}, '{_sql_pattern(ASSIGNED)}', 1)) FROM {table})"
+
+
+def _scan_planted(spark: SparkSession, sf_dir: str, table: str, key: str, body: str, opened: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
+    """All detectors over all texts of a table, each with a secret of some families behind it."""
+    texts = _table(spark, sf_dir, table).select(key, F.concat(F.coalesce(body, F.lit("")), *(F.expr(t.format(h=f"md5(cast({key} as string))")) for _, _, t in PLANTED)).alias("text"))
+    return detect(opened(documents_as_sources(texts, key)))
+
+
+@query(_planted_sql("doc_id", "documents", "coalesce(text, '')"))
 def registry_scan(spark, sf_dir):
     """All detectors over all documents: the flagship."""
-    return detect(documents_as_sources(_table(spark, sf_dir, "documents")))
+    found = _scan_planted(spark, sf_dir, "documents", "doc_id", "text")
+    return found.select(F.substring_index("file", "/", -1).cast("long").alias("doc_id"), "detector_id", "secret")
 
 
-@query()
+@query(_planted_sql("page_id", "pages", "coalesce(html, '')"))
 def registry_scan_pages(spark, sf_dir):
-    return detect(documents_as_sources(_table(spark, sf_dir, "pages"), "page_id", "html"))
+    found = _scan_planted(spark, sf_dir, "pages", "page_id", "html")
+    return found.select(F.substring_index("file", "/", -1).cast("long").alias("page_id"), "detector_id", "secret")
 
 
 @query(f"WITH {_FOUND_SQL} SELECT DISTINCT doc_id, detector_id, secret FROM found")
@@ -499,21 +575,61 @@ def registry_scan_tokens(spark, sf_dir):
     return found.select(F.substring_index("file", "/", -1).cast("long").alias("doc_id"), "detector_id", "secret")
 
 
-@query()
+@query(_planted_sql("doc_id", "documents", "coalesce(text, '')"))
 def archive_scan(spark, sf_dir):
-    """Findings of documents packed into archives on the way: pack, open, detect."""
-    import gzip
+    """The same findings where each document is a gzip archive: pack, open, detect."""
+    found = _scan_planted(spark, sf_dir, "documents", "doc_id", "text", lambda rows: archives.opened(archives.gzipped(rows)))
+    return found.select(F.regexp_extract("file", r"^documents/(\d+)\.gz!/\d+$", 1).cast("long").alias("doc_id"), "detector_id", "secret")
+
+
+@query("SELECT 'supplier' || l_suppkey || '.zip!/line/' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '.txt' AS file, strlen(l_returnflag || l_linestatus || l_partkey)::BIGINT AS bytes FROM lineitem WHERE l_linenumber % 7 <> 0")
+def archive_entries(spark, sf_dir):
+    """Zip archives, one a supplier, opened again: virtual paths and sizes; names that leave the archive go."""
+    name = F.when(F.col("l_linenumber") % 7 == 0, F.concat(F.lit("../line/"), F.col("l_partkey").cast("string"))).otherwise(F.concat(F.lit("line/"), F.concat_ws("-", "l_orderkey", "l_linenumber"), F.lit("-"), F.col("l_partkey").cast("string"), F.lit(".txt")))
+    content = F.concat("l_returnflag", "l_linestatus", F.col("l_partkey").cast("string")).cast("binary")
+    lines = _table(spark, sf_dir, "lineitem").select(F.concat(F.lit("supplier"), F.col("l_suppkey").cast("string"), F.lit(".zip")).alias("archive"), name.alias("name"), content.alias("content"))
+    return archives.opened(archives.zipped(lines)).select("file", F.octet_length("content").cast("long").alias("bytes"))
+
+
+@query("SELECT DISTINCT 'c' || l_orderkey AS \"commit\", 'dir/' || l_partkey || chr(10) || 'x' AS path FROM lineitem")
+def history_records(spark, sf_dir):
+    """The changes of commits, written as a log's records, and parsed again; paths hold line breaks."""
+    import pyarrow as pa
+
+    from ..sources import git
 
-    from ..sources.archives import opened
+    path = F.concat(F.lit("dir/"), F.col("l_partkey").cast("string"), F.lit("\nx"))
+    logs = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set(path)).alias("paths"))
+    record = F.concat(F.lit("commit:c"), F.col("l_orderkey").cast("string"), F.lit("\x00\n"), F.array_join("paths", "\x00"), F.lit("\x00"))
 
-    rows = documents_as_sources(_table(spark, sf_dir, "documents"))
+    def parsed(batches):
+        for batch in batches:
+            rows = [r for log in batch.column(0).to_pylist() for r in git.parse(git.records(log.encode()))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["commit", "path"])
+
+    return logs.select(record.alias("log")).mapInArrow(parsed, "commit string, path string")
+
+
+@query("""SELECT 'https://github.com/' || source || '/r' || doc_id AS target, source AS owner FROM documents""")
+def target_owners(spark, sf_dir):
+    """Owner of each repository's address, by the library's own rule."""
+    target = F.concat(F.lit("https://github.com/"), "source", F.lit("/r"), F.col("doc_id").cast("string"))
+    return _table(spark, sf_dir, "documents").select(target.alias("target"), hosting.owner_of(target).alias("owner"))
+
+
+@query("SELECT DISTINCT trim(source) AS target FROM documents WHERE source IS NOT NULL AND trim(source) <> '' AND trim(source) NOT LIKE '#%'")
+def repository_list(spark, sf_dir):
+    """A list of repositories as lines with blanks, comments and repeats."""
+    docs = _table(spark, sf_dir, "documents")
+    lines = docs.select(F.explode(F.array(F.concat(F.lit("  "), "source", F.lit(" ")), F.lit("# comment"), F.lit(""), F.col("source"))).alias("value"))
+    return files.targets_of(lines)
 
-    @F.udf("binary")
-    def packed(text):
-        return gzip.compress((text or "").encode())
 
-    sources = rows.select(F.concat("file", F.lit(".txt.gz")).alias("file"), "commit", packed("content").alias("content"))
-    return detect(opened(sources))
+@query("SELECT severity, CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level, count(*) AS parts FROM (SELECT list_extract(['critical', 'high', 'medium', 'low'], (p_partkey % 4 + 1)::INT) AS severity FROM part) GROUP BY 1, 2")
+def severity_levels(spark, sf_dir):
+    own = F.element_at(F.array(*map(F.lit, ("critical", "high", "medium", "low"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    rows = _table(spark, sf_dir, "part").select(own.alias("severity"))
+    return rows.select("severity", findings.sarif_level(F.col("severity")).alias("level")).groupBy("severity", "level").agg(F.count("*").alias("parts"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

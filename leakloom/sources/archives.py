@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import gzip
 import io
+import lzma
 import posixpath
+import struct
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,6 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
+#: What damaged archives raise; entries read before stay.
+DAMAGED = (OSError, EOFError, RuntimeError, NotImplementedError, ValueError, struct.error, zlib.error, lzma.LZMAError, tarfile.TarError, zipfile.BadZipFile)
+#: Rows and bytes of a batch of opened entries.
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
+
+
 @dataclass(frozen=True)
 class Limits:
     depth: int = 2
@@ -60,7 +69,7 @@ def _members(data: bytes, how: str, limits: Limits) -> Iterator[tuple[str, bytes
                     try:
                         with z.open(info) as f:
                             content = f.read(limits.entry + 1)
-                    except (OSError, RuntimeError, zipfile.BadZipFile, NotImplementedError):
+                    except DAMAGED:
                         continue
                     if len(content) > limits.entry:
                         continue
@@ -78,7 +87,7 @@ def _members(data: bytes, how: str, limits: Limits) -> Iterator[tuple[str, bytes
                     if not fits(content):
                         return
                     yield path, content
-    except (OSError, EOFError, tarfile.TarError, zipfile.BadZipFile):
+    except DAMAGED:
         return
 
 
@@ -91,7 +100,7 @@ def expand(file: str, content: bytes, limits: Limits = Limits(), depth: int = 0)
         try:
             with gzip.open(io.BytesIO(content)) as f:
                 inner = f.read(limits.entry + 1)
-        except (OSError, EOFError):
+        except DAMAGED:
             return
         base = posixpath.basename(file.rsplit("!/", 1)[-1])
         name = base[:-3] if base.endswith(".gz") and len(base) > 3 else "decompressed"
@@ -106,9 +115,48 @@ def opened(sources: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """``sources`` (file, commit, content) with archives replaced by their entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[str, str | None, bytes]] = []
+        size = 0
+
+        def batch_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.string()), pa.array([r[1] for r in held], pa.string()), pa.array([r[2] for r in held], pa.binary())], ["file", "commit", "content"])
+
         for batch in batches:
             for file, commit, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for path, inner in expand(file, content or b"", limits):
-                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([commit], pa.string()), pa.array([inner], pa.binary())], ["file", "commit", "content"])
+                    held.append((path.encode("utf-8", "replace").decode(), commit, inner))
+                    size += len(inner)
+                    if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
+                        yield batch_of()
+                        held, size = [], 0
+        if held:
+            yield batch_of()
 
     return sources.select("file", "commit", "content").mapInArrow(run, "file string, commit string, content binary")
+
+
+def gzipped(sources: DataFrame) -> DataFrame:
+    """``sources`` with each content as a gzip archive of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [f"{x}.gz" for x in batch.column(0).to_pylist()]
+            packed = [gzip.compress(x or b"", mtime=0) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), batch.column(1), pa.array(packed, pa.binary())], ["file", "commit", "content"])
+
+    rows = sources.select("file", "commit", sources["content"].cast("binary").alias("content"))
+    return rows.mapInArrow(run, "file string, commit string, content binary")
+
+
+def zipped(entries: DataFrame) -> DataFrame:
+    """A zip archive for each ``archive`` of the entries (archive, name, content), by name; an archive is one task's row."""
+    import pandas as pd
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, content in sorted(zip(group["name"], group["content"])):
+                z.writestr(name, bytes(content))
+        return pd.DataFrame({"file": [group["archive"].iloc[0]], "commit": [""], "content": [out.getvalue()]})
+
+    return entries.groupBy("archive").applyInPandas(run, "file string, commit string, content binary")

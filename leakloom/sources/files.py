@@ -81,9 +81,14 @@ def read_file(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.substring_index("path", "/", -1).alias("file"), F.lit("").alias("commit"), "content")
 
 
+def targets_of(lines: DataFrame) -> DataFrame:
+    """The targets that lines (``value``) name."""
+    return lines.select(F.btrim("value").alias("target")).where("target <> '' AND NOT startswith(target, '#')").distinct()
+
+
 def read_targets(spark: SparkSession, path: str) -> DataFrame:
     """Targets of a list: trimmed, without blanks, comments and repeats; an empty list is an error."""
-    rows = spark.read.text(path).select(F.btrim("value").alias("target")).where("target <> '' AND NOT startswith(target, '#')").distinct()
+    rows = targets_of(spark.read.text(path))
     if rows.isEmpty():
         raise ValueError(f"{path} names no repository")
     return rows

@@ -1,10 +1,15 @@
-"""Git history: the changed files of all commits, and their objects, read once each."""
+"""Git history: the changed files of all commits, and their objects, read once each.
+
+The driver streams the log (commits, paths and object names, no contents) into a table; objects are read
+by the executors, one git process a partition, so the clone must be at a path that they share.
+"""
 
 from __future__ import annotations
 
 import subprocess
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,22 +33,45 @@ def parse(parts: Iterable[str], mark: str = "commit:") -> Iterator[tuple[str, st
             yield commit, part
 
 
-def _git(repo: str, *args: str, data: bytes | None = None) -> bytes:
-    return subprocess.run(["git", "-C", repo, *args], input=data, capture_output=True, check=True, timeout=3600).stdout
-
-
-def changes(repo: str) -> list[tuple[str, str, str]]:
-    """Distinct (commit, path, oid) of files that any commit added, changed or renamed, of all references."""
-    log = _git(repo, "log", "--all", "--root", "--diff-filter=AMR", "--name-only", "--no-color", "-z", "--format=commit:%H")
-    found = dict.fromkeys(parse(records(log)))
-    asked = "".join(f"{c}:{p}\n" for c, p in found if "\n" not in p).encode("utf-8", "surrogateescape")
-    answers = _git(repo, "cat-file", "--batch-check=%(objectname) %(objecttype)", data=asked).decode().splitlines()
-    out = []
-    for (commit, path), line in zip([x for x in found if "\n" not in x[1]], answers):
-        oid, _, kind = line.partition(" ")
-        if kind == "blob":
-            out.append((commit, path, oid))
-    return out
+def parse_raw(parts: Iterable[str], mark: str = "commit:") -> Iterator[tuple[str, str, str]]:
+    """(commit, path, oid) of a raw log: after each line of modes, object names and status come a path, or two if it
+    was renamed or copied, of which the second one counts. Links and submodules are no files."""
+    commit, own, left = "", None, 0
+    for part in parts:
+        if own is None:
+            part = part.lstrip("\n")
+        if own is None and part.startswith(mark):
+            commit = part[len(mark) :].strip()
+        elif own is None and part.startswith(":"):
+            own = part[1:].split(" ")
+            left = 2 if own[4][:1] in ("R", "C") else 1
+        elif own is not None:
+            left -= 1
+            if not left:
+                if own[1].startswith("100") and commit:
+                    yield commit, part, own[3]
+                own = None
+
+
+def _records(stream, size: int = 1 << 16) -> Iterator[bytes]:
+    """The non-empty records of a stream that end with NUL."""
+    rest = b""
+    while data := stream.read(size):
+        *whole, rest = (rest + data).split(b"\0")
+        yield from (x for x in whole if x)
+    if rest:
+        yield rest
+
+
+def changes(repo: str) -> Iterator[tuple[str, str, str]]:
+    """(commit, path, oid) of files that any commit added, changed or renamed, of all references; paths may hold any character."""
+    command = ["git", "-C", repo, "log", "--all", "--root", "--diff-filter=AMR", "--raw", "--no-abbrev", "--no-color", "-z", "--format=commit:%H"]
+    with subprocess.Popen(command, stdout=subprocess.PIPE, stderr=subprocess.PIPE) as p:
+        yield from parse_raw(x.decode("utf-8", "surrogateescape") for x in _records(p.stdout))
+        p.stdout.close()
+        message = p.stderr.read()
+        if p.wait():
+            raise RuntimeError(f"git log of {repo} failed: {message.decode('utf-8', 'replace').strip()}")
 
 
 def blobs(repo: str, oids: Iterable[str], max_bytes: int) -> Iterator[tuple[str, bytes]]:
@@ -66,18 +94,32 @@ def blobs(repo: str, oids: Iterable[str], max_bytes: int) -> Iterator[tuple[str,
         p.stdin.close()
 
 
-def places(spark: SparkSession, repo: str) -> DataFrame:
-    """(commit, path, oid) of a local clone; the driver runs git, and the rows are spread from there."""
-    return spark.createDataFrame(changes(repo), "commit string, path string, oid string").dropDuplicates(["commit", "path"])
+def places(spark: SparkSession, repo: str, together: int = 200_000) -> DataFrame:
+    """(commit, path, oid) of a local clone; the driver runs the log and holds some rows of it at a time."""
+    schema, out, rows = "commit string, path string, oid string", None, []
+
+    def spread() -> DataFrame:
+        part = spark.createDataFrame(rows, schema)
+        return part if out is None else out.unionByName(part)
+
+    for commit, path, oid in changes(repo):
+        rows.append((commit, path.encode("utf-8", "surrogateescape").decode("utf-8", "replace"), oid))
+        if len(rows) >= together:
+            out, rows = spread(), []
+    return spread().dropDuplicates(["commit", "path"])
 
 
 def objects(spark: SparkSession, repo: str, where: DataFrame, max_bytes: int = 25 << 20) -> DataFrame:
     """(oid, file, commit, content) of each distinct object, under one of its paths."""
     one = where.groupBy("oid").agg(F.min("path").alias("file"))
-    rows = [(r["oid"], r["file"]) for r in one.toLocalIterator()]
-    names = dict(rows)
-    content = [(o, names[o], "", bytearray(b)) for o, b in blobs(repo, names, max_bytes)]
-    return spark.createDataFrame(content, "oid string, file string, commit string, content binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            for oid, content in blobs(repo, names, max_bytes):
+                yield pa.RecordBatch.from_arrays([pa.array([oid]), pa.array([names[oid]]), pa.array([""]), pa.array([content], pa.binary())], ["oid", "file", "commit", "content"])
+
+    return one.mapInArrow(run, "oid string, file string, commit string, content binary")
 
 
 def clone_url(target: str, token: str | None) -> str:

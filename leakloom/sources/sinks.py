@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.findings import sarif_level
+from .hosting import is_remote, owner
 
 FIELDS = ("detector_id", "name", "severity", "file", "commit", "line", "column", "secret", "redacted", "verified", "fingerprint")
 FORMATS = ("json", "jsonl", "sarif", "human")
@@ -36,7 +37,7 @@ def sarif_rules(found: DataFrame) -> DataFrame:
 
 
 def sarif_results(found: DataFrame) -> DataFrame:
-    return found.select(F.col("detector_id").alias("rule_id"), sarif_level(F.col("severity")).alias("level"), F.concat("name", F.lit(": "), "redacted").alias("message"), F.col("file").alias("uri"), F.col("line").alias("start_line"), F.col("column").alias("start_column"), "fingerprint")
+    return found.select(F.col("detector_id").alias("rule_id"), sarif_level(F.col("severity")).alias("level"), F.concat("name", F.lit(" "), "redacted").alias("message"), F.col("file").alias("uri"), F.col("line").alias("start_line"), F.col("column").alias("start_column"), "fingerprint")
 
 
 def _plain(row) -> dict:
@@ -65,7 +66,7 @@ def render(found: DataFrame, how: str, meta: dict | None = None, raw: bool = Fal
         yield from ([last] if last is not None else [])
         yield "]}"
     else:
-        rules = [{"id": r["detector_id"], "name": r["name"]} for r in sarif_rules(rows).orderBy("detector_id").toLocalIterator()]
+        rules = [{"id": r["detector_id"], "name": r["name"], "shortDescription": {"text": r["name"]}} for r in sarif_rules(rows).orderBy("detector_id").toLocalIterator()]
         yield '{"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": "leakloom", "rules": ' + json.dumps(rules) + '}}, "results": ['
         last = None
         for r in sarif_results(rows).toLocalIterator():
@@ -81,12 +82,64 @@ def write_lines(found: DataFrame, path: str, raw: bool = False, mode: str = "ove
     shown(found, raw).write.mode(mode).json(path)
 
 
+def json_lines(found: DataFrame, raw: bool = False) -> DataFrame:
+    """Findings as JSON lines in one column; an empty commit is left out."""
+    rows = shown(found, raw).withColumn("commit", F.nullif("commit", F.lit("")))
+    return rows.select(F.to_json(F.struct(*FIELDS)).alias("value"))
+
+
+def human_lines(found: DataFrame, raw: bool = False) -> DataFrame:
+    """Findings as lines of text in one column."""
+    secret = F.col("secret") if raw else F.col("redacted")
+    return found.select(F.format_string("[%s] %s %s:%d:%d %s", "severity", "name", "file", "line", "column", secret).alias("value"))
+
+
+class LineWriter:
+    """Appends findings to a JSON lines file as they come, made durable after every ``every`` rows and at the end."""
+
+    def __init__(self, path: str, every: int = 25, raw: bool = False, mode: str = "overwrite") -> None:
+        self.file = open(path, "a" if mode == "append" else "w", encoding="utf-8")
+        self.every, self.raw, self.count = max(1, every), raw, 0
+
+    def write(self, found: DataFrame) -> int:
+        before = self.count
+        for r in shown(found, self.raw).toLocalIterator():
+            self.file.write(json.dumps(_plain(r)) + "\n")
+            self.count += 1
+            if self.count % self.every == 0:
+                self.flush()
+        self.flush()
+        return self.count - before
+
+    def flush(self) -> None:
+        self.file.flush()
+        os.fsync(self.file.fileno())
+
+    def close(self) -> None:
+        self.flush()
+        self.file.close()
+
+
+def summary(state: dict[str, dict], discovery: dict | None = None, before: int = 0, after: int = 0, known: list[str] = ()) -> dict:
+    """What a scan did: discovery, targets by outcome, the failures, findings before and after the baseline."""
+    by = lambda s: sorted(t for t, x in state.items() if x.get("status") == s)
+    own = [*state, *(t for t in known if t not in state)]
+    return {
+        "discovery": discovery or {},
+        "targets": {"total": len(own), "completed": len(by("completed")), "failed": len(by("failed")), "running": len(by("running")), "pending": len(own) - len(by("completed")) - len(by("failed")) - len(by("running"))},
+        "failures": [{"target": t, "error": state[t].get("error", "")} for t in by("failed")],
+        "findings": {"before_baseline": before, "after_baseline": after},
+    }
+
+
 def default_path(how: str, folder: str = ".") -> str:
     return str(Path(folder) / f"findings.{EXTENSIONS[check_format(how)]}")
 
 
-def resume_path(path: str, how: str, now: float | None = None) -> tuple[str, str]:
+def resume_path(path: str, how: str, now: float | None = None, kind: str = "jsonl") -> tuple[str, str]:
     """(path, mode) of a resumed output: append, overwrite, or a new name with the time."""
+    if how == "append" and kind != "jsonl":
+        raise ValueError("only JSON lines can be appended to")
     if how in ("append", "overwrite"):
         return path, how
     if how != "new":
@@ -117,6 +170,21 @@ def read_baseline(spark, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True, schema="fingerprints array<string>").select(F.explode("fingerprints").alias("fingerprint"))
 
 
+def job_scope(target: str = "", repo_list: str = "", orgs: list[str] = (), enterprise: str = "", accessible: bool = False) -> str:
+    """What a job's id begins with: the widest of what it scans."""
+    if enterprise:
+        return f"enterprise-{enterprise}"
+    if orgs:
+        return "org-" + "-".join(orgs)
+    if accessible:
+        return "accessible"
+    if repo_list:
+        return f"repo-list-{Path(repo_list).stem}"
+    if is_remote(target):
+        return f"repo-{owner(target)}-{Path(target).name.removesuffix('.git')}"
+    return f"target-{Path(target).resolve().name}"
+
+
 def job_id(scope: str, now: float) -> str:
     clean = re.sub(r"[^a-z0-9]+", "-", scope.lower()).strip("-")[:60].strip("-") or "scan"
     return f"{clean}-{time.strftime('%Y%m%dt%H%M%Sz', time.gmtime(now))}"

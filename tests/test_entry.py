@@ -30,4 +30,11 @@ def test_queries_equal_their_sql(spark):
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables aren't here")
 def test_entry(spark):
-    assert "fingerprint" in entry.entry(spark).columns
+    """The flagship finds what is planted in every document, and nothing but that and the assigned secrets."""
+    rows = entry.entry(spark).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["detector_id"], set()).add(r["doc_id"])
+    documents = {r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
+    assert {k for k, v in by.items() if v == documents} == {"github-token", "aws-access-key", "postgres-uri", "basic-auth-url", "datadog-api-key", "private-key", "ssh-private-key"}
+    assert set(by) - {"generic-assigned-secret"} == {k for k, v in by.items() if v == documents}
