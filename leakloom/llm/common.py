@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -163,6 +164,32 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, size: int = 5) -> tupl
     return h, out_bounds
 
 
+def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 4096) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by ``keys`` as tables of whole runs of equal keys, with the runs' bounds; some ``least`` rows or one run."""
+    held: list[pa.RecordBatch] = []
+
+    def cuts_of(table: pa.Table) -> np.ndarray:
+        fresh = np.ones(len(table), bool)
+        for k in keys:
+            x = table[k].to_numpy()
+            fresh[1:] &= x[1:] == x[:-1]
+        fresh[1:] = ~fresh[1:]
+        return np.append(np.flatnonzero(fresh), len(table))
+
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) < least and sum(b.nbytes for b in held) < BATCH_BYTES:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        cuts = cuts_of(table)
+        if len(cuts) > 2:
+            yield table.slice(0, cuts[-2]), cuts[:-1]
+        held = table.slice(cuts[-2]).to_batches()
+    table = pa.Table.from_batches(held) if held else None
+    if table is not None and len(table):
+        yield table.combine_chunks(), cuts_of(table)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share; whoever owns that folder clears it."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

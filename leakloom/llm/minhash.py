@@ -12,12 +12,14 @@ Documents are joined on bands of five coordinates: of pairs at 0.8, 3 in a milli
 
 * equal word sequences are one node;
 * each bucket is first compared with its smallest member only, and what links becomes one component;
-* buckets that still hold several components are then compared across these, in blocks of two chunks
-  of members, by their signatures and where these are near by their texts; a block gives the links that
-  join its components (a spanning forest) and leaves out pairs that are joined already.
+* buckets that still hold several components are then compared across these, in blocks of two chunks of
+  members: the largest component's against the others', and the others' among themselves;
+* first by signatures alone: only members whose signature is near one of another component, in a bucket
+  that is the first common one of the two, go on; these are compared again by their texts, and a block
+  gives the links that join its components (a spanning forest).
 
-So no link between components is left out, while a bucket costs a row per member and chunk, and gives
-fewer links than it has members. A task holds two chunks of a bucket, however large it is.
+So no link between components is left out, while a bucket costs a row per member and chunk of the other
+side, and gives fewer links than it has members. A task holds two chunks of a bucket, however large it is.
 
 Defined cases: a text without words (also null) is a class of its own; one with fewer words than a
 shingle is one shingle; a null id is a class of its own (null); rows that repeat an id count as one
@@ -30,12 +32,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, checkpointed, mix, shingle_hashes, slices, text_of, utf8, word_hashes
+from .common import bound_batches, checkpointed, mix, runs_of, shingle_hashes, slices, text_of, utf8, word_hashes
 from .components import components
 
 BANDS, ROWS = 32, 5
@@ -43,8 +44,10 @@ COORDINATES = BANDS * ROWS
 SHINGLE, LEAST = 5, 0.8
 #: Signatures that agree in a smaller share can't (but for one pair in 300,000) reach ``LEAST``.
 LEAST_ESTIMATE = 0.65
-#: Members of a bucket that are compared at a time.
-CHUNK = 512
+#: Members of a bucket that are compared at a time, by signatures and by texts.
+CHUNK, TEXT_CHUNK = 2048, 512
+#: Blocks of up to so many members are compared many at a time; pairs compared at a time; units kept for further pairs.
+SMALL_BLOCK, PAIRS, HELD_UNITS = 64, 1 << 13, 1 << 22
 _SCALE = 2.0**-53
 
 
@@ -164,14 +167,53 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, similarity double")
 
 
-def _compare(block: pd.DataFrame) -> pd.DataFrame:
-    """Links between the components of a block of one bucket: as many as join them, not all.
-
-    A pair is compared where its first common band is, once it is known that its ends aren't joined.
-    """
-    sig = np.frombuffer(b"".join(block["short"]), "<u2").reshape(-1, COORDINATES)
-    node, component, n, chunk = (block[c].to_numpy() for c in ("node", "component", "n", "chunk"))
-    band, i, j = (int(block[c].iloc[0]) for c in ("band", "i", "j"))
+_BLOCK = ["bucket", "across", "i", "j"]
+
+
+def _near(block: pa.Table, cuts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of the same block (rows between two cuts) that are on different sides, in different
+    components, may be similar by their signatures, and share no earlier band."""
+    sig = np.frombuffer(b"".join(block["short"].to_pylist()), "<u2").reshape(-1, COORDINATES)
+    component, n, band, i, j, across, chunk, main = (block[c].to_numpy() for c in ("component", "n", "band", "i", "j", "across", "chunk", "main"))
+
+    def near(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        apart = np.where(across[x] == 1, main[x] != main[y], (i[x] == j[x]) | (chunk[x] != chunk[y]))
+        on = np.flatnonzero(apart & (component[x] != component[y]) & (n[y] >= LEAST * n[x]) & (n[x] >= LEAST * n[y]))
+        x, y = x[on], y[on]
+        for k in range(0, len(x), PAIRS):
+            a, b = x[k : k + PAIRS], y[k : k + PAIRS]
+            equal = sig[a] == sig[b]
+            alike = equal.mean(1) >= LEAST_ESTIMATE
+            a, b = a[alike], b[alike]
+            first = equal[alike].reshape(-1, BANDS, ROWS).all(2).argmax(1) == band[a]
+            yield a[first], b[first]
+
+    sizes = np.diff(cuts)
+    for size in np.unique(sizes[sizes > 1]).tolist():
+        starts = cuts[:-1][sizes == size]
+        if size <= SMALL_BLOCK:
+            x, y = np.triu_indices(size, 1)
+            many = max(1, 8 * PAIRS // len(x))
+            for k in range(0, len(starts), many):
+                at = starts[k : k + many, None]
+                yield from near((at + x).ravel(), (at + y).ravel())
+        else:
+            for start in starts.tolist():
+                for x in range(start, start + size - 1):
+                    yield from near(np.full(start + size - 1 - x, x), np.arange(x + 1, start + size))
+
+
+def _wanted(block: pa.Table, cuts: np.ndarray) -> pa.Table:
+    """The members of blocks that have to be compared by their texts."""
+    on = np.zeros(len(block), bool)
+    for x, y in _near(block, cuts):
+        on[x] = on[y] = True
+    return block.select(["bucket", "band", "node", "n", "component"]).filter(pa.array(on))
+
+
+def _compare(block: pa.Table, cuts: np.ndarray) -> pa.Table:
+    """Links between the components of blocks: as many as join them, not all."""
+    node, component, text = block["node"].to_numpy(), block["component"].to_numpy(), block["text"]
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -181,37 +223,65 @@ def _compare(block: pd.DataFrame) -> pd.DataFrame:
         return x
 
     units: dict[int, np.ndarray] = {}
+    held = 0
     out = []
-    right = np.flatnonzero(chunk == j)
-    for x in np.flatnonzero(chunk == i):
-        y = right if i != j else right[right > x]
-        y = y[(component[y] != component[x]) & (n[y] >= LEAST * n[x]) & (n[x] >= LEAST * n[y])]
-        equal = sig[y] == sig[x]
-        near = equal.mean(1) >= LEAST_ESTIMATE
-        y, equal = y[near], equal[near]
-        for z in y[equal.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band]:
+    for left, right in _near(block, cuts):
+        for x, z in zip(left.tolist(), right.tolist()):
             a, b = root(int(component[x])), root(int(component[z]))
             if a == b:
                 continue
-            for k in {x, z} - units.keys():
-                units[k] = _units([block["text"].iat[k]])[0]
-            if _similarity(units[x], units[z]) >= LEAST:
+            for k in (x, z):
+                if int(node[k]) not in units:
+                    if held > HELD_UNITS:
+                        units, held = {key: units[key] for key in (int(node[x]), int(node[z])) if key in units}, 0
+                    own = units[int(node[k])] = _units([text[k].as_py()])[0]
+                    held += len(own)
+            if _similarity(units[int(node[x])], units[int(node[z])]) >= LEAST:
                 parent[a] = b
                 out.append((node[x], node[z], component[x], component[z]))
-    return pd.DataFrame(out, columns=["a", "b", "ca", "cb"], dtype="int64")
+    return pa.table({c: pa.array([r[k] for r in out], pa.int64()) for k, c in enumerate(("a", "b", "ca", "cb"))})
+
+
+def _by_block(rows: DataFrame, run, schema: str) -> DataFrame:
+    """``run(rows, cuts)`` of whole blocks, many small ones at a time."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, cuts in runs_of(batches, _BLOCK):
+            yield from run(block, cuts).to_batches()
+
+    return rows.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(each, schema)
+
+
+def _blocked(members: DataFrame, carried: DataFrame, chunk: int) -> DataFrame:
+    """Members (bucket, band, node, n, component) of buckets with several components, with the columns ``carried``
+    has by node, once for each block that they are in: ``across`` blocks have a chunk of the bucket's largest
+    component and one of the others, the rest two chunks of the others."""
+    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("all"), F.count("*").alias("several")).where("several > 1")
+    # apart from the join, so that Spark may split that where a bucket is large
+    mixed = checkpointed(mixed.select("bucket", F.col("top.component").alias("top"), F.col("top.size").alias("most"), "all", "several"))
+    chunks = lambda c: F.ceil(c / chunk).cast("int")
+    mixed = mixed.select("bucket", "top", "several", chunks(F.col("most")).alias("mains"), chunks(F.col("all") - F.col("most")).alias("others"))
+    rows = members.join(mixed, "bucket").withColumn("main", F.col("component") == F.col("top"))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    count = lambda n: F.transform(F.sequence(F.lit(0), n - 1), lambda k: k)
+    block = lambda across, i, j: F.struct(F.lit(across).alias("across"), i.alias("i"), j.alias("j"))
+    own = F.col("chunk")
+    of_main = F.transform(count(F.col("others")), lambda k: block(1, own, k))
+    of_other = F.transform(count(F.col("mains")), lambda k: block(1, k, own))
+    among = F.when(F.col("several") > 2, F.transform(count(F.col("others")), lambda k: block(0, F.least(own, k), F.greatest(own, k)))).otherwise(F.array().cast("array<struct<across:int,i:int,j:int>>"))
+    places = F.when(F.col("main"), of_main).otherwise(F.concat(of_other, among))
+    return rows.select("bucket", "band", "node", "n", "component", "main", "chunk", F.inline(places)).join(carried, "node")
 
 
 def _across(members: DataFrame, found: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b, ca, cb) between components that share a bucket; large buckets are compared chunk by chunk."""
+    """Links (a, b, ca, cb) between components that share a bucket."""
     named = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("size")).where("c1 < c2")
-    rest = named.join(mixed.select("bucket", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")), "bucket")
-    rest = checkpointed(rest.select("bucket", "band", "node", "n", "component", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk")))
     bound_batches(members.sparkSession, 256)
-    own = rest.select("node").distinct().join(texts.select(F.col("doc_id").alias("node"), "text"), "node").join(nodes.select("node", "short"), "node")
-    blocks = rest.join(own, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    blocks = blocks.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
-    return blocks.drop("chunks", "other").groupBy("bucket", "i", "j").applyInPandas(_compare, "a long, b long, ca long, cb long")
+    near = _by_block(_blocked(named, nodes.select("node", "short"), CHUNK), _wanted, "bucket long, band int, node long, n long, component long")
+    near = checkpointed(near.distinct())
+    own = near.select("node").distinct().join(texts.select(F.col("doc_id").alias("node"), "text"), "node").join(nodes.select("node", "short"), "node")
+    return _by_block(_blocked(near, own, TEXT_CHUNK), _compare, "a long, b long, ca long, cb long")
 
 
 def _links(members: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
