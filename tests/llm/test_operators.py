@@ -419,6 +419,27 @@ def test_minhash_chain_of_a_bucket(spark, monkeypatch):
     rows = [(k, " ".join(f"c{k}x{i}" if k * 12 <= i < k * 12 + 6 * (k > 0) else w for i, w in enumerate(base))) for k in range(25)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df).collect()} == _classes(rows)
+    monkeypatch.setattr(minhash, "CHUNK", 3)
+    monkeypatch.setattr(minhash, "TEXT_CHUNK", 2)
+    assert {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df).collect()} == _classes(rows)
+
+
+def test_blocks_hold_every_pair_across_components(spark):
+    """Members of different components of a bucket meet in exactly one block, on different sides."""
+    rng = np.random.default_rng(4)
+    rows = [(b, 0, 100 * b + k, 5, int(rng.integers(0, 4)) if b else 1) for b in range(4) for k in range(17)]
+    members = spark.createDataFrame(rows, "bucket long, band int, node long, n long, component long")
+    blocks = {}
+    for r in minhash._blocked(members, members.select("node"), 4).collect():
+        blocks.setdefault((r["bucket"], r["across"], r["i"], r["j"]), []).append(r)
+    met = Counter()
+    for (_, across, i, j), own in blocks.items():
+        left = [r for r in own if (r["main"] if across else r["chunk"] == i)]
+        right = [r for r in own if (not r["main"] if across else r["chunk"] == j)]
+        assert len(own) <= 24
+        met.update({frozenset((x["node"], y["node"])) for x in left for y in right if x["component"] != y["component"]})
+    want = {frozenset((x[2], y[2])) for x in rows for y in rows if x[0] == y[0] and x[4] != y[4]}
+    assert met == Counter(want)
 
 
 def test_dart_minhash_estimates():
