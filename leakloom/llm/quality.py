@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import BLANKS, let, text_of
 
 WINDOW = 5
+#: Bits of a long that hold a window's place; the others hold the beginning of its hash.
+PLACE_BITS = 24
 #: Labelled rows that learning takes at most.
 MAX_ROWS = 20_000
 SYMBOLS = "#*$%&|<>"
@@ -39,21 +41,36 @@ def _without(text: Column, chars: str) -> Column:
 def repeated_words(words: Column, size: int = WINDOW) -> Column:
     """Words inside windows of ``size`` words that occur twice or more, the first one included.
 
-    Windows are compared by a 64-bit hash. Texts without an equal pair of windows stop after a hash
-    set; for others the windows are sorted with their positions, so the cost is n log n.
+    Windows are compared by a 64-bit hash. Texts without an equal pair of windows stop after a hash set. For
+    others one long per window is sorted, the hash's first 40 bits and the window's place in the rest, and
+    neighbours are compared by their whole hashes; where two hashes share those bits, or a text has more
+    windows than places, hashes and places are sorted as they are. So the cost is n log n.
     """
+    low = (1 << PLACE_BITS) - 1
 
-    def count(hashes: Column) -> Column:
-        def of_sorted(s: Column) -> Column:
-            twice = F.filter(s, lambda x, i: ((i > 0) & (F.get(s, i - 1)["h"] == x["h"])) | (F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False))))
+    def covered(at: Column) -> Column:
+        gaps = F.transform(at, lambda x, i: F.least(F.lit(size), F.coalesce(F.get(at, i + 1) - x, F.lit(size)).cast("int")))
+        return F.aggregate(gaps, F.lit(0), lambda acc, x: acc + x)
+
+    def plainly(hashes: Column) -> Column:
+        def of(s: Column) -> Column:
+            twice = F.filter(s, lambda x, i: ((i > 0) & (F.get(s, i - 1)["h"] == x["h"])) | F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False)))
             return let(F.sort_array(F.transform(twice, lambda x: x["i"])), covered)
 
-        def covered(at: Column) -> Column:
-            gaps = F.transform(at, lambda x, i: F.least(F.lit(size), F.coalesce(F.get(at, i + 1) - x, F.lit(size))))
-            return F.aggregate(gaps, F.lit(0), lambda acc, x: acc + x)
+        return let(F.sort_array(F.transform(hashes, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), of)
+
+    def count(hashes: Column) -> Column:
+        place = lambda x: x.bitwiseAND(F.lit(low)).cast("int")
+        whole = lambda x: F.get(hashes, place(x))
+        first = lambda x: F.shiftright(x, PLACE_BITS)
+
+        def of(s: Column) -> Column:
+            mixed = F.exists(F.transform(s, lambda x, i: (i > 0) & (first(x) == first(F.get(s, i - 1))) & (whole(x) != whole(F.get(s, i - 1)))), lambda x: x)
+            twice = F.filter(s, lambda x, i: ((i > 0) & (whole(F.get(s, i - 1)) == whole(x))) | F.coalesce(whole(F.get(s, i + 1)) == whole(x), F.lit(False)))
+            return F.when(F.coalesce(mixed, F.lit(False)), plainly(hashes)).otherwise(let(F.sort_array(F.transform(twice, place)), covered))
 
-        pairs = F.sort_array(F.transform(hashes, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(pairs, of_sorted))
+        packed = F.transform(hashes, lambda x, i: x.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long")))
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).when(F.size(hashes) > low, plainly(hashes)).otherwise(let(F.sort_array(packed), of))
 
     starts = F.sequence(F.lit(0), F.size(words) - size)
     windows = F.transform(starts, lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(size))))
@@ -156,12 +173,12 @@ def _prune(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
     return Rule(rule.terms[: max(lengths, key=lambda k: (worth(k), -k))]) if rule.terms else rule
 
 
-def learn_list(x: dict[str, np.ndarray], bad: np.ndarray, least_precision: float = LEAST_PRECISION, least_cover: int = LEAST_COVER, most: int = 12) -> list[Rule]:
+def learn_list(x: dict[str, np.ndarray], bad: np.ndarray, least_precision: float = LEAST_PRECISION, least_cover: int = LEAST_COVER) -> list[Rule]:
     """Sequential covering; every third row prunes and the others grow."""
     rules: list[Rule] = []
     left = np.ones(len(bad), bool)
     holds = np.arange(len(bad)) % 3 == 2
-    while len(rules) < most and bad[left].any():
+    while bad[left].any():
         part = lambda m: {k: v[m] for k, v in x.items()}
         grow, prune = left & ~holds, left & holds
         rule = _prune(_grow(part(grow), bad[grow]), part(prune), bad[prune])
