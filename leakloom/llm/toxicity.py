@@ -1,7 +1,7 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Training is on the driver, over a bounded sample of labelled documents: at most ``max_per_class``
-of each class, those whose id has the smallest hash. Words and word beginnings that a share of the
+of each class, and whole documents of ``max_bytes`` in all of each, those whose id has the smallest hash. Words and word beginnings that a share of the
 toxic documents has and (almost) no clean one label the tokens; the field (clean and toxic states,
 transitions, one weight for each such feature) is fitted to windows of labelled tokens by gradient
 ascent. Forward-backward marginals of a whole document give its offending spans, and their maximum
@@ -11,8 +11,8 @@ Tokens without a feature all have the same potentials, so a run of them is one m
 marginals at the others are exact, and a text costs one dictionary look-up per token.
 
 Defined cases: null, empty and word-free texts get the score of a text without any feature; null
-labels are skipped, of a document's labels the largest counts; without labels of both classes the
-score is 0; null and repeated ids are kept, each row is scored by itself; an empty table gives no
+labels are skipped, of a document's labels the largest counts; without labels of both classes every
+score is some 2e-9; null and repeated ids are kept, each row is scored by itself; an empty table gives no
 rows; other columns (and labels, language, source and id) are never inputs of a score.
 """
 
@@ -26,7 +26,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, text_of
@@ -34,6 +34,8 @@ from .common import bound_batches, text_of
 _WORD = re.compile(r"[^\W_]+")
 #: Labelled documents of each class that training takes at most.
 MAX_PER_CLASS = 3000
+#: Bytes of their texts, of each class.
+MAX_BYTES = 32 << 20
 PREFIXES = (4, 5, 6)
 #: A feature is in this share of the sampled toxic documents, and in 5 at least, and this many times more often than in clean ones.
 LEAST_SHARE, LEAST_DOCS, LEAST_RATIO = 0.01, 5, 25.0
@@ -256,14 +258,17 @@ def fit(toxic: list[str], clean: list[str], shares: tuple[float, float] = (1.0,
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out: Column, max_per_class: int = MAX_PER_CLASS) -> Field:
+def train(docs: DataFrame, labels: DataFrame, held_out: Column, max_per_class: int = MAX_PER_CLASS, max_bytes: int = MAX_BYTES) -> Field:
     """A field from labelled documents outside ``held_out`` (a condition on ``doc_id``)."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     picked = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class) for c in (0, 1)]
     sample = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * max_per_class rows at most
     texts = docs.select("doc_id", text_of().alias("text")).join(sample, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
-    rows = texts.orderBy("doc_id").collect()
+    # 2 * max_per_class rows at most
+    before = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    held = texts.withColumn("__bytes", F.sum(F.octet_length("text")).over(before)).where(F.col("__bytes") <= max_bytes)
+    rows = held.select("doc_id", "toxic", "text").orderBy("doc_id").collect()
     by = {c: [r["text"] for r in rows if r["toxic"] == c] for c in (0, 1)}
     return fit(by[1], by[0], tuple(counts.get(c, 0) / max(len(by[c]), 1) for c in (1, 0)))
 
