@@ -174,6 +174,7 @@ def test_html(spark):
     rows = [(1, "u", PAGE, "t"), (1, None, None, "t"), (None, "u", "", "t")]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted(len(r["text"]) for r in got) == [0, 0, len(html.main_text(PAGE))]
+    assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
 def test_html_keeps_articles_whole(spark):
@@ -207,6 +208,12 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(empty, fitted).count() == 0 and toxicity.fit([], clean).score([]) < 1e-6
     labels = spark.createDataFrame([(4, None), (None, 1)], "doc_id long, toxic int")
     assert toxicity.train(docs, labels, F.lit(False)).weights == {}
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate([*bad, *clean])] + [(0, bad[0]), (None, bad[1]), (900, None)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i < len(bad))) for i in range(len(bad) + len(clean))] + [(0, 1), (900, 0)], "doc_id long, toxic int")
+    again = toxicity.train(texts, marks, F.lit(False))
+    assert again.weights == toxicity.fit(bad, [*clean, ""]).weights
+    few = toxicity.train(texts, marks, F.lit(False), max_bytes=3000)
+    assert toxicity.train(texts, marks, F.lit(False), max_bytes=0).weights == {} and few.weights != again.weights
 
 
 def test_toxicity_windows_reach_the_end_of_a_text():
@@ -242,12 +249,20 @@ def _statistics(text):
 
 
 def test_quality(spark, docs, empty):
-    texts = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c d e a b c d e", "a " * 30, "# | 😀 é\n# | 😀 é\n \n x", "a b c d e f a b c d e", None])], "doc_id long, text string")
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c d e a b c d e", "a " * 30, "# | 😀 é\n# | 😀 é\n \n x", "a b c d e f a b c d e", "a b c d e f g h a b c d e x y z w v u t a b c d e", "b " * 7 + "q " * 9 + "b b b b b b", None])], "doc_id long, text string")
     for df in (docs, texts):
         for r in quality.assess(df, []).collect():
             want = _statistics(r["row"]["text"])
             assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
             assert r["base_failed"] == (want[0] < 10 or 100 * want[4] > 20 * want[0]) and r["kept"] != r["base_failed"]
+    found = texts.select(F.split("text", " ").alias("w")).where("w IS NOT NULL")
+    counts = [[r[0] for r in found.select(quality.repeated_words(F.col("w"))).collect()]]
+    bits = quality.PLACE_BITS
+    for few in (60, 2):  # hashes that share their beginning, and more windows than places
+        quality.PLACE_BITS = few
+        counts.append([r[0] for r in found.select(quality.repeated_words(F.col("w"))).collect()])
+    quality.PLACE_BITS = bits
+    assert counts[0] == counts[1] == counts[2] and sum(counts[0]) > 40
     assert quality.assess(empty, []).count() == 0 and quality.keep(docs, []).columns == docs.columns
     x = {k: np.zeros(600) for k in quality.RATIOS}
     x["symbol_ratio"] = np.arange(600) / 600
@@ -525,7 +540,7 @@ def test_sentencepiece(spark, docs, empty, corpus):
     for _ in range(2):
         assert [np.frombuffer(x, "<u4").tolist() for x, _ in own.encode(texts)] == other.encode(texts)
     for df in (docs, corpus):
-        got = sentencepiece.encode(df, PIECES, verify=True)
+        got = sentencepiece.encode(df, PIECES, verify=1)
         assert all(r["round_trip"] and len(r["ids"]) == 4 * r["n_tokens"] for r in got.collect())
     back = Counter((r["doc_id"], r["text"]) for r in sentencepiece.decode(sentencepiece.encode(docs, PIECES), PIECES).collect())
     assert back == Counter((i, t or "") for i, t in ROWS) and sentencepiece.encode(empty, PIECES).count() == 0
