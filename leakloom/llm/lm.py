@@ -42,8 +42,12 @@ from .common import bound_batches, mix, shared_path, text_of, utf8, word_hashes
 ORDER = 3
 STRENGTH = {2: 100.0, 3: 4.0}
 #: Bytes of text in a block, of text that a range of keys stands for, and of text for a partition of ranges or blocks.
-BLOCK_BYTES, RANGE_BYTES, PART_BYTES = 6 << 20, 2 << 20, 24 << 20
-LEAST_RANGES, LEAST_PARTS = 64, 16
+BLOCK_BYTES, RANGE_BYTES, PART_BYTES = 6 << 20, 2 << 20, 8 << 20
+#: From this many ranges on they get larger instead, up to ``LARGE_RANGE`` bytes of text, and from
+#: ``MANY_BLOCKS`` on blocks do, up to ``LARGE_BLOCK``: so a block's rows for a range stay worth their overhead.
+MANY_RANGES, LARGE_RANGE = 4096, 256 << 20
+MANY_BLOCKS, LARGE_BLOCK = 170_000, 64 << 20
+MANY_PARTS = 20_000
 #: Bytes that tell the n-grams of a range apart.
 KEY_BYTES = {1: 8, 2: 5, 3: 5}
 LANE = 256
@@ -208,7 +212,14 @@ def score_block(grams: Grams, counts: dict[int, np.ndarray], total: int, types:
     return {"n_tokens": size, "n_known": known, "train_tokens": np.full(n, total), "base_score": sums(automaton.root_weight), "score": scores}
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list, np.ndarray, np.ndarray]]:
+def layout(size: int) -> tuple[int, int, int, int]:
+    """(ranges, partitions of ranges, bytes of a block, partitions of blocks) for so many bytes of text."""
+    ranges = max(16, min(MANY_RANGES, size // RANGE_BYTES), size // LARGE_RANGE)
+    parts = max(1, min(MANY_PARTS, size // PART_BYTES))
+    return ranges, max(4, min(parts, ranges // 4)), min(LARGE_BLOCK, max(BLOCK_BYTES, size // MANY_BLOCKS)), max(4, parts)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[int, list, list, np.ndarray, np.ndarray]]:
     """(block, ids, held out, text bytes, offsets) of each block of a partition; its first row's number names it."""
     name, ids, held, texts, size = None, [], [], [], 0
     for batch in batches:
@@ -218,7 +229,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list
             held.append(h)
             texts.append(t)
             size += len(t)
-            if size >= BLOCK_BYTES:
+            if size >= block_bytes:
                 yield name, ids, held, *utf8(texts)
                 name, ids, held, texts, size = None, [], [], [], 0
     if ids:
@@ -278,15 +289,15 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     bound_batches(spark)
     size = docs.agg(F.sum(F.octet_length(text_of(text_col)))).first()[0] or 0
-    ranges, parts = max(LEAST_RANGES, size // RANGE_BYTES), max(LEAST_PARTS, size // PART_BYTES)
+    ranges, range_parts, block_bytes, block_parts = layout(size)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), text_of(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, held, data, offsets in _blocks(batches):
+        for block, _, held, data, offsets in _blocks(batches, block_bytes):
             yield from _asked(block, Grams.of(data, offsets), ~np.asarray(held, bool), ranges)
 
     def carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, held, data, offsets in _blocks(batches):
+        for block, ids, held, data, offsets in _blocks(batches, block_bytes):
             one = pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([offsets.tolist()], pa.list_(pa.int64())), pa.array([data.tobytes()], pa.binary())], ["ids", "held", "offsets", "data"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, one.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
@@ -294,7 +305,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([-1], pa.int32()), pa.array([0], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([b""], pa.binary())], ["block", "range", "order", "counts", "large"])
 
     path = shared_path(spark, "lm")
-    answers = rows.mapInArrow(asked, _ASKED).repartition(parts, "range").groupBy("range").applyInPandas(_answered, _ANSWERED)
+    answers = rows.mapInArrow(asked, _ASKED).repartition(range_parts, "range").groupBy("range").applyInPandas(_answered, _ANSWERED)
     answers.write.option("parquet.enable.dictionary", "false").parquet(path)
     answers = spark.read.parquet(path)
     sums = answers.agg(F.sum("total"), F.sum("types")).first()
@@ -313,5 +324,5 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         return pd.DataFrame({"doc_id": pd.array(one["ids"][0].as_py(), "Int64"), "held_out": one["held"][0].as_py(), **found})
 
     texts = rows.mapInArrow(carried, "block long, range int, order int, counts binary, large binary")
-    both = answers.drop("total", "types").unionByName(texts).repartition(parts, "block")
+    both = answers.drop("total", "types").unionByName(texts).repartition(block_parts, "block")
     return both.groupBy("block").applyInPandas(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
