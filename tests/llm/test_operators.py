@@ -16,6 +16,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from leakloom.llm import embeddings, html, lm, minhash, packing, quality, secrets, sentencepiece, toxicity, warc  # noqa: E402
 from leakloom.llm.common import crc_mod, utf8, word_hashes  # noqa: E402
 from leakloom.llm.components import components  # noqa: E402
+from rules import classes, jaccard, statistics, words  # noqa: E402
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 WORDS = "the and of in erth thion anner ingly ouer stant berg und der wald naïve été 日本 x1 idiot".split()
@@ -46,10 +47,6 @@ def corpus(spark):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
 
 
-def words(text):
-    return (text or "").encode().lower().split()
-
-
 def test_words_and_hashes():
     texts = ["Ab c\x0bd", "", None, "é É", "x" * 3000 + " y", " a "]
     h, at = word_hashes(*utf8(texts))
@@ -237,22 +234,11 @@ def test_marginals_are_exact():
     assert np.allclose(f.marginals(at, points, n), (on / total)[at])
 
 
-def _statistics(text):
-    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
-    c = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
-    inside = [False] * len(w)
-    for i in range(len(w) - 4):
-        if c[tuple(w[i : i + 5])] > 1:
-            inside[i : i + 5] = [True] * 5
-    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-    return len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in text or ""), len(lines) - len(set(lines)), sum(inside)
-
-
 def test_quality(spark, docs, empty):
     texts = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c d e a b c d e", "a " * 30, "# | 😀 é\n# | 😀 é\n \n x", "a b c d e f a b c d e", "a b c d e f g h a b c d e x y z w v u t a b c d e", "b " * 7 + "q " * 9 + "b b b b b b", None])], "doc_id long, text string")
     for df in (docs, texts):
         for r in quality.assess(df, []).collect():
-            want = _statistics(r["row"]["text"])
+            want = statistics(r["row"]["text"])
             assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
             assert r["base_failed"] == (want[0] < 10 or 100 * want[4] > 20 * want[0]) and r["kept"] != r["base_failed"]
     found = texts.select(F.split("text", " ").alias("w")).where("w IS NOT NULL")
@@ -398,31 +384,10 @@ def test_warc(spark, tmp_path):
         warc.read(spark, path + "1").collect()
 
 
-def _jaccard(a, b):
-    x, y = (Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter() for w in (words(a), words(b)))
-    return sum((x & y).values()) / max(1, sum((x | y).values()))
-
-
-def _classes(rows):
-    parent = {i: i for i, _ in rows}
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i, a in rows:
-        for j, b in rows:
-            if i < j and words(a) and _jaccard(a, b) >= 0.8:
-                x, y = root(i), root(j)
-                parent[max(x, y)] = min(x, y)
-    return {i: root(i) for i in parent}
-
-
 def test_minhash(spark, docs, empty, corpus):
     rows = [(r["doc_id"], r["text"]) for r in corpus.collect()]
     got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(corpus).collect()}
-    assert got == _classes(rows)
+    assert got == classes(rows)
     own = {r["doc_id"]: (r["class_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect() if r["doc_id"] is not None}
     assert own[1] == (1, True) and own[2] == (2, True) and own[5] == (5, True) and own[6] == (5, False)
     assert minhash.near_duplicates(docs).count() == len(ROWS) and minhash.near_duplicates(empty).count() == 0
@@ -433,10 +398,10 @@ def test_minhash_chain_of_a_bucket(spark, monkeypatch):
     base = [f"w{i}" for i in range(400)]
     rows = [(k, " ".join(f"c{k}x{i}" if k * 12 <= i < k * 12 + 6 * (k > 0) else w for i, w in enumerate(base))) for k in range(25)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df).collect()} == _classes(rows)
+    assert {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df).collect()} == classes(rows)
     monkeypatch.setattr(minhash, "CHUNK", 3)
     monkeypatch.setattr(minhash, "TEXT_CHUNK", 2)
-    assert {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df).collect()} == _classes(rows)
+    assert {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df).collect()} == classes(rows)
 
 
 def test_blocks_hold_every_pair_across_components(spark):
@@ -461,7 +426,7 @@ def test_dart_minhash_estimates():
     a = " ".join(f"w{i}" for i in range(300))
     b = " ".join(f"w{i}" for i in range(30, 330))
     sig, n, _ = minhash.sketch_texts([a, b, "q " * 50, "q " * 60, "x", ""])
-    assert abs((sig[0] == sig[1]).mean() - _jaccard(a, b)) < 0.13 and abs((sig[2] == sig[3]).mean() - 46 / 56) < 0.13
+    assert abs((sig[0] == sig[1]).mean() - jaccard(a, b)) < 0.13 and abs((sig[2] == sig[3]).mean() - 46 / 56) < 0.13
     assert (sig[:5] != 0).all() and (sig[5] == 0).all() and n.tolist() == [296, 296, 46, 56, 1, 0]
 
 
