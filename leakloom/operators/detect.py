@@ -171,6 +171,16 @@ def detect(sources: DataFrame, detectors: tuple[Detector, ...] | None = None, ta
     return rows.mapInArrow(run, SCHEMA)
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A scanned table, its rows dealt out anew where it has fewer partitions than there are cores.
+
+    Matching takes far longer than moving a text, and such a table is small for the cluster; a larger one stays as it is.
+    Some of a scan's partitions may hold no row group, so twice as many as cores count as enough.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(2 * cores) if table.rdd.getNumPartitions() < 2 * cores else table
+
+
 def documents_as_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return docs.select(F.concat(F.lit("documents/"), F.col(id_col).cast("string")).alias("file"), F.lit("").alias("commit"), F.col(text_col).alias("content"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import findings, plausible
 from ..functions.patterns import AFTER, BEFORE, SPACE
 from ..operators import registry, state
-from ..operators.detect import detect, documents_as_sources
+from ..operators.detect import detect, documents_as_sources, spread
 from ..sources import archives, files, hosting, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -549,7 +549,7 @@ def _planted_sql(key: str, table: str, body: str) -> str:
 
 def _scan_planted(spark: SparkSession, sf_dir: str, table: str, key: str, body: str, opened: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
     """All detectors over all texts of a table, each with a secret of some families behind it."""
-    texts = _table(spark, sf_dir, table).select(key, F.concat(F.coalesce(body, F.lit("")), *(F.expr(t.format(h=f"md5(cast({key} as string))")) for _, _, t in PLANTED)).alias("text"))
+    texts = spread(_table(spark, sf_dir, table)).select(key, F.concat(F.coalesce(body, F.lit("")), *(F.expr(t.format(h=f"md5(cast({key} as string))")) for _, _, t in PLANTED)).alias("text"))
     return detect(opened(documents_as_sources(texts, key)))
 
 
