@@ -3,6 +3,11 @@
 Toxic documents go, then those that the quality rules reject, then near copies but one of each group;
 secrets are masked, and what is left is packed. Every stage's result is a Parquet table in the shared
 folder, which the next one reads, so a lost executor costs the tasks of one stage.
+
+Defined cases: a null or empty text, as any of fewer than ten words, fails the quality rules; rows with a null id are
+classes of their own, so none of them is a copy, and rows that repeat an id are one document to the near-duplicates,
+which stay or go together; without labels of both classes nothing is toxic and the base rule alone judges quality; further
+columns, whatever their names, stay up to packing; an empty table gives no pieces.
 """
 
 from __future__ import annotations
