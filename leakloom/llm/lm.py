@@ -14,7 +14,8 @@ megabytes. A block asks for the n-grams that it has, as keys cut at fixed key ra
 adds up the training counts of all blocks and answers each block with the counts of its keys, in its
 order. So a block gets the slice of the automaton that its texts can reach, and its size is bounded by
 the block. A frequent n-gram costs one key per block, not one per occurrence. Ranges and partitions grow
-in number with the corpus, not in size; a block has no row for a range that it has no key in.
+in number with the corpus, not in size; ranges are dealt to partitions in turn, so that none gets more than
+its share; a block has no row for a range that it has no key in.
 Unigrams are told apart by 64 bits, longer n-grams by their range and 40 bits more: of a million
 distinct ones within a range, one in a million shares its count with another.
 
@@ -305,7 +306,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([-1], pa.int32()), pa.array([0], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([b""], pa.binary())], ["block", "range", "order", "counts", "large"])
 
     path = shared_path(spark, "lm")
-    answers = rows.mapInArrow(asked, _ASKED).repartition(range_parts, "range").groupBy("range").applyInPandas(_answered, _ANSWERED)
+    answers = rows.mapInArrow(asked, _ASKED).repartitionById(range_parts, "range").groupBy("range").applyInPandas(_answered, _ANSWERED)
     answers.write.option("parquet.enable.dictionary", "false").parquet(path)
     answers = spark.read.parquet(path)
     sums = answers.agg(F.sum("total"), F.sum("types")).first()
