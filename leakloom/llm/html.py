@@ -7,7 +7,9 @@ are kept, without the menus, notices, adverts, forms and comments inside.
 
 Defined cases: null, empty and text-free pages give an empty text; a page without any scored
 element gives the text of its body; null and repeated ids are kept; an empty table gives no rows;
-other columns are ignored. Memory is that of one page's tree.
+other columns are ignored; elements nested deeper than ``MAX_DEPTH`` become siblings, as in browsers, so no text goes;
+a ``<`` that no ``>`` follows is text; numeric references beyond Unicode become U+FFFD. Memory is that of one
+page's tree, and time is in proportion to the page, whatever it holds.
 """
 
 from __future__ import annotations
@@ -22,7 +24,11 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>""", re.S)
+_OPEN = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([a-zA-Z][^\s/>]*+))")
+_REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+#: Characters of a tag in which a ``>`` inside quotes isn't its end, and open elements around an element.
+MAX_QUOTED, MAX_DEPTH = 1 << 13, 512
+_NUMBER = re.compile(r"&#(?:0*+([0-9]*+)|[xX]0*+([0-9a-fA-F]*+));?")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -45,15 +51,28 @@ BONUS = {"article": 25.0, "main": 15.0, "section": 3.0, "div": 5.0, "pre": 3.0,
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "score", "size", "linked", "commas")
+    __slots__ = ("tag", "attrs", "parent", "children", "depth", "score", "size", "linked", "commas")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None) -> None:
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Node | str] = []
+        self.depth = parent.depth + 1 if parent is not None else 0
         self.score: float | None = None
         self.size = self.linked = self.commas = 0
 
 
+def decoded(text: str) -> str:
+    """A text with its character references decoded, numbers of any length included."""
+
+    def short(m: re.Match[str]) -> str:
+        digits, most = (m[1], 7) if m[2] is None else (m[2], 6)
+        if len(digits) > most:
+            return "\ufffd"
+        return f"&#{'' if m[2] is None else 'x'}{digits or 0};" if len(m[0]) > 12 else m[0]
+
+    return unescape(_NUMBER.sub(short, text) if "&#" in text else text)
+
+
 def parse(html: str) -> Node:
     """The page's tree; text nodes are strings with character references decoded."""
     root = Node("html", "", None)
@@ -61,7 +80,7 @@ def parse(html: str) -> Node:
 
     def text(s: str) -> None:
         if s:
-            node.children.append(unescape(s) if "&" in s else s)
+            node.children.append(decoded(s) if "&" in s else s)
 
     def close(stop_at: frozenset | set, tags: frozenset | set) -> Node:
         """Ends open elements up to the outermost of ``tags`` above the nearest of ``stop_at``."""
@@ -74,16 +93,25 @@ def parse(html: str) -> Node:
 
     scope_p = {"table", "td", "th", "caption", "button", "object", "html"}
     while at < end:
-        m = _TAG.search(html, at)
+        m = _OPEN.search(html, at)
         if m is None:
             text(html[at:])
             break
         text(html[at : m.start()])
         at = m.end()
         if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                text(m[0][9:].removesuffix("]]>"))
+            stop = {"<!--": "-->", "<![CDATA[": "]]>"}.get(m[0], ">")
+            found = html.find(stop, at)
+            if m[0] == "<![CDATA[":
+                text(html[at : found if found >= 0 else end])
+            at = end if found < 0 else found + len(stop)
             continue
+        rest = _REST.match(html, at, min(end, at + MAX_QUOTED))
+        close_at = rest.end() - 1 if rest else html.find(">", at)
+        if close_at < 0:
+            text(html[m.start() :])
+            break
+        attrs, at = html[at:close_at], close_at + 1
         tag = m[2].lower()
         if m[1]:
             up = node
@@ -107,7 +135,10 @@ def parse(html: str) -> Node:
         if tag in SIBLING:
             closed, scope = SIBLING[tag]
             node = close(scope | {"html"}, closed)
-        child = Node(tag, m[3], node)
+        opens = tag not in RAW and (tag not in VOID and not attrs.rstrip().endswith("/") or tag in ("p", "div", "a", "span", "article", "section"))
+        if opens and node.depth >= MAX_DEPTH and node.parent is not None:
+            node = node.parent
+        child = Node(tag, attrs, node)
         node.children.append(child)
         if tag in RAW:
             lower = html.lower() if lower is None else lower
@@ -119,7 +150,7 @@ def parse(html: str) -> Node:
                 stop = end if stop < 0 else stop
             close_at = html.find(">", stop)
             at = end if close_at < 0 else close_at + 1
-        elif tag not in VOID and not m[3].rstrip().endswith("/") or tag in ("p", "div", "a", "span", "article", "section"):
+        elif opens:
             node = child
     return root
 

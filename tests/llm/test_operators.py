@@ -3,8 +3,10 @@ import hashlib
 import io
 import math
 import re
+import time
 import zlib
 from collections import Counter
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -174,6 +176,37 @@ def test_html(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<a" * 200_000, None),
+        ("<p " * 200_000, None),
+        ('<a ">"' * 50_000, None),
+        ("<!--" * 100_000, ""),
+        ("<div>" * 100_000 + "x", "x"),
+        ("<div>" * 20_000 + "</p>" * 20_000 + "x", "x"),
+        ("<article>" + "<header>" * 20_000 + "x", "x"),
+        ("<p><table>" + "<div>" * 20_000 + "x", "x"),
+        ("<div>" * 600 + "a<br>b<b>c</b>d", "a b cd"),
+        ("<p>" + "word, " * 400_000, None),
+        ("&#" + "9" * 5000 + ";", "\ufffd"),
+        ("&#" + "0" * 5000 + "65;&#x" + "0" * 5000 + "42;&#0000067;&#x44", "ABCD"),
+        ("&#x110000;&#x10FFFE;&#;&#x;&# 1 < 2 <", None),
+        ('<p title="a>b">one</p><img alt=">', "one"),
+    ],
+)
+def test_html_takes_time_in_proportion(page, text):
+    start = time.process_time()
+    got = html.main_text(page)
+    assert time.process_time() - start < 20
+    if text is not None:
+        assert " ".join(got.split()) == text
+    elif "&" in page:
+        assert got == " ".join(unescape(page).split())
+    elif ">" not in page or page.startswith("<p>"):
+        assert got == " ".join(page.removeprefix("<p>").split())
+
+
 def test_html_keeps_articles_whole(spark):
     import html as h
 
