@@ -4,7 +4,7 @@ A specification states facts: the family, the anchor words, how far label and se
 words, and the secret's shape in a small notation (``32–64×A-Za-z0-9``, quoted literals, ``≥n``,
 ``0–1×(...)``, ``one of a or b``, ``not chars``). What surrounds a secret may be stated in the same notation,
 with ``<`` and ``>`` for the bounds of a word, ``~`` in a literal for an optional sign, ``L80`` and ``M160`` for
-gaps, ``=`` for an assignment, ``sep`` for separators and ``SECRET`` for the secret's place. Compiled patterns mean the same to Python's ``re`` with
+gaps, ``!chars`` for no such character before, ``=`` for an assignment, ``sep`` for separators and ``SECRET`` for the secret's place. Compiled patterns mean the same to Python's ``re`` with
 ``ASCII`` and to Java: only ASCII word characters bound a word, white space is tab, newline, form feed,
 return and blank, and a dot stops at a newline.
 """
@@ -113,6 +113,8 @@ class _Shape:
             return f"({self.secret})"
         if re.fullmatch(r"[LM]\d+", t):
             return gaps(t)[0]
+        if t.startswith("!") and len(t) > 1:
+            return f"(?<![{alphabet(t[1:])}])"
         if t.startswith('"'):
             return "[_-]?".join(map(re.escape, t[1:-1].split("~")))
         return {"<": BEFORE, ">": AFTER, "=": ASSIGNED, "sep": SEPARATORS, "quote": QUOTE}.get(t)
@@ -122,6 +124,12 @@ def secret_shape(shape: str) -> str:
     return _Shape(shape).sequence()
 
 
+def ending(shape: str) -> str:
+    """What follows the last gap without a bound in a shape, so that every match ends with it; empty where there is none."""
+    parts = re.split(r"≥[01]×(?:any lazy|not \S+) ", shape)
+    return secret_shape(parts[-1]) if len(parts) > 1 else ""
+
+
 def _bounded(words: list[str]) -> str:
     """An alternation between word boundaries, longest first."""
     words = sorted(dict.fromkeys(words), key=lambda w: (-len(w), w))

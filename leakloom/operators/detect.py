@@ -88,7 +88,7 @@ def candidates(detector: Detector, text: str) -> Iterator[tuple[int, int, str]]:
     if detector.find is not None:
         yield from detector.find(text)
         return
-    for m in detector.compiled.finditer(text):
+    for m in detector.matches(text):
         group = detector.group if 0 <= detector.group <= detector.compiled.groups and m.start(detector.group) >= 0 else 0
         start, end = m.span(group)
         secret = text[start:end]

@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
 from functools import cache, cached_property
 from pathlib import Path
@@ -37,7 +37,7 @@ SPECIAL = {
         '1×{ ≥0×not {} 1×\\q "type" 1×\\q ≥0×\\s ":" ≥0×\\s 1×\\q "service_account" 1×\\q ≥0×not {} 1×\\q "private_key" 1×\\q ≥0×\\s ":" ≥0×\\s 1×\\q "-----BEGIN PRIVATE KEY-----" ≥1×not \\q 1×\\q '
         '≥0×not {} 1×\\q "client_email" 1×\\q ≥0×\\s ":" ≥0×\\s 1×\\q ≥1×not \\q "@" ≥1×not \\q ".iam.gserviceaccount.com" 1×\\q ≥0×not {} "auth_provider_x509_cert_url" ≥0×not {} 1×}',
     ),
-    "basic-auth-url": ('1×A-Za-z ≥0×A-Za-z0-9+.- "://" ≥1×not \\s:/@ ":" SECRET "@"', "≥8×not \\s@/?#"),
+    "basic-auth-url": ('!A-Za-z0-9+.- ≥0×0-9+.- 1×A-Za-z ≥0×A-Za-z0-9+.- "://" ≥1×not \\s:/@ ":" SECRET "@"', "≥8×not \\s@/?#"),
     "slack-webhook": ("< SECRET >", '"https://hooks.slack.com/" one of "services/T" ≥1×A-Z0-9 "/B" ≥1×A-Z0-9 "/" 23–25×A-Za-z0-9 or ("workflows/T" ≥1×A-Z0-9 "/A" ≥1×A-Z0-9 "/" 17–19×0-9 "/" 23–25×A-Za-z0-9)'),
     "ftp-credential-url": ("", "one of \"sftp\" or \"ftps\" or \"ftp\" \"://\" 1–120×not :\\s'\\q/@ \":\" 8–120×not @\\s'\\q/ \"@\" ≥1×not \\s'\\q<>"),
     "klaviyo-key": ("< SECRET >", '"pk_" one of 34×0-9a-f or (6×A-Za-z0-9 "_" 34×0-9a-f)'),
@@ -95,13 +95,27 @@ class Detector:
     broad_context: bool = False
     verifiable: bool = False
     custom: bool = False
+    #: Every match ends with this, so none is looked for behind the last place that has it.
+    ending: str = ""
     #: Finds secrets by itself, as (start, end, secret) in code points, instead of by a pattern.
     find: Callable[[str], Iterable[tuple[int, int, str]]] | None = None
     catalog: tuple[tuple[str, int, bool], ...] = field(default=(), compare=False)
 
+    def _compile(self, pattern: str) -> re.Pattern[str]:
+        return re.compile(pattern, re.ASCII | (re.IGNORECASE if self.ignore_case else 0))
+
     @cached_property
     def compiled(self) -> re.Pattern[str]:
-        return re.compile(self.pattern, re.ASCII | (re.IGNORECASE if self.ignore_case else 0))
+        return self._compile(self.pattern)
+
+    @cached_property
+    def _ends(self) -> re.Pattern[str]:
+        return self._compile(self.ending)
+
+    def matches(self, text: str) -> Iterator[re.Match[str]]:
+        """The pattern's matches. Where it has an ending, openings that nothing ends cost nothing."""
+        last = max((m.end() for m in self._ends.finditer(text)), default=0) if self.ending else len(text)
+        return self.compiled.finditer(text, 0, last)
 
     def plain(self) -> Detector:
         """The detector without what was compiled, as it is sent to tasks."""
@@ -135,16 +149,19 @@ def load(table: str | os.PathLike | None = None) -> tuple[Detector, ...]:
             r = _row(line)
             keywords = tuple(k.strip(" ") if k.strip() != "Bot" else "Bot " for k in r["keywords"].split(", ") if k.strip())
             labels = [] if "see line" in r["labels"] else r["labels"].split()
+            ending = ""
             try:
                 if r["id"] in SPECIAL:
-                    pattern = patterns.within(*SPECIAL[r["id"]], "")
+                    context, secret = SPECIAL[r["id"]]
+                    pattern = patterns.within(context, secret, "")
+                    ending = "" if "SECRET" in context else patterns.ending(secret)
                 elif r["id"] in CONTEXTS:
                     pattern = patterns.within(CONTEXTS[r["id"]], r["secret"], r["flags"])
                 else:
                     pattern = patterns.assemble(r["family"], list(keywords), r["gap"], labels, r["secret"], r["flags"])
             except IndexError as e:
                 raise ValueError(f"detector {r['id']}: the shape {r['secret']!r} isn't complete") from e
-            out.append(Detector(r["id"], r["name"], SEVERITIES[r["severity"]], keywords, pattern, 1, "i" in r["flags"] and r["id"] not in _SENSITIVE, "M" in r["gap"], "V" in r["flags"], catalog=_catalog(r["catalog"])))
+            out.append(Detector(r["id"], r["name"], SEVERITIES[r["severity"]], keywords, pattern, 1, "i" in r["flags"] and r["id"] not in _SENSITIVE, "M" in r["gap"], "V" in r["flags"], ending=ending, catalog=_catalog(r["catalog"])))
     if not out:
         raise ValueError(f"{table or DEFAULT_TABLE} holds no detector")
     return tuple(out)

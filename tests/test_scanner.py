@@ -4,7 +4,9 @@ import io
 import json
 import subprocess
 import tarfile
+import time
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,6 +96,32 @@ def test_irregular_contexts(detector, text, secret):
     assert detector not in {d for d, _ in found(f"unrelated = {secret}")}
 
 
+BEGIN, END = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ((BEGIN + "x\n") * 20_000, {}),
+        (("github app " + BEGIN) * 20_000, {}),
+        ("Server=a;" * 5_000 + "User ID=b;" * 5_000, {}),
+        ("a" * 1_000_000 + " x://", {}),
+        ("1" * 1_000_000 + "://user:abcdefgh@host", {}),
+        ("1.a+" + "1" * 1_000_000 + "://user:abcdefgh@host x://u:ijklmnop@h", {"basic-auth-url": 2}),
+        ((BEGIN + "\nabc\n" + END + "\n") * 3 + BEGIN * 20_000, {"private-key": 1, "ssh-private-key": 1}),
+        ("Server=a;User ID=b;Password=abcdefgh;Server=" + "c" * 100_000, {"sqlserver-connection-string": 1}),
+    ],
+    ids=range(8),
+)
+def test_openings_without_an_end(text, found):
+    own = ("private-key", "ssh-private-key", "github-app-private-key", "sqlserver-connection-string", "basic-auth-url", "gcp-service-account-json")
+    plan = Plan(tuple(d for d in registry.load() if d.id in own))
+    start = time.process_time()
+    got = Counter(d.id for d, *_ in scan_text(plan, text))
+    assert time.process_time() - start < 10
+    assert got == found
+
+
 def test_context_and_prefilter():
     assert ("bamboohr-api-key", "a1B2" * 10) not in found("bamboohr.com\n\napi_key=" + "a1B2" * 10)
     assert not found("nothing to see here, 1234567890abcdef")
