@@ -106,8 +106,18 @@ def chunk_rows(planned: DataFrame) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str, min_payload: int = 0) -> None:
-    """Write a WARC record per page to the chunk table at ``path``."""
-    chunk_rows(plan(pages, min_payload)).write.option("compression", "zstd").parquet(path)
+    """Write a WARC record per page to the chunk table at ``path``.
+
+    The shuffle that finds equal payloads is of no use once the table is written, so its files go with the write
+    and don't lie beside those of the reading.
+    """
+    conf, key = pages.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        chunk_rows(plan(pages, min_payload)).write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
 
 
 def parse_header(head: bytes) -> dict[str, str]:
