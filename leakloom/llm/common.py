@@ -193,3 +193,10 @@ def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 409
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share; whoever owns that folder clears it."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a table that this library wrote and needs no more."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

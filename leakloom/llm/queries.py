@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, html, lm, minhash, packing, quality, secrets, sentencepiece, toxicity, warc
+from . import centroids, codes, embeddings, html, lm, minhash, neighbours, packing, quality, secrets, sentencepiece, toxicity, warc
 from .common import crc_mod, shared_path
 
 
@@ -69,8 +69,20 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "round_trip")
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm, op2_packing, op3_html, op4_toxicity, op5_quality, op6_secrets, op7_warc, op8_minhash, op9_embeddings, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_lm, op2_packing, op3_html, op4_toxicity, op5_quality, op6_secrets, op7_warc, op8_minhash, op9_embeddings, op10_sentencepiece, op11_neighbours, op12_codes, op13_centroids)}
 
 
 _WARC_SQL = """
