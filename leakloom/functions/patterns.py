@@ -30,7 +30,7 @@ def alphabet(chars: str) -> str:
     while i < len(chars):
         c = chars[i]
         if c == "\\" and i + 1 < len(chars):
-            out.append({"s": r"\t\n\f\r ", "w": "0-9A-Za-z_", "n": r"\n", "q": '"'}.get(chars[i + 1], re.escape(chars[i + 1])))
+            out.append({"s": r"\t\n\f\r ", "w": "0-9A-Za-z_", "n": r"\n", "r": r"\r", "q": '"'}.get(chars[i + 1], re.escape(chars[i + 1])))
             i += 2
         elif i + 2 < len(chars) and chars[i + 1] == "-" and c.isalnum() and chars[i + 2].isalnum():
             out.append(chars[i : i + 3])
@@ -124,12 +124,6 @@ def secret_shape(shape: str) -> str:
     return _Shape(shape).sequence()
 
 
-def ending(shape: str) -> str:
-    """What follows the last gap without a bound in a shape, so that every match ends with it; empty where there is none."""
-    parts = re.split(r"≥[01]×(?:any lazy|not \S+) ", shape)
-    return secret_shape(parts[-1]) if len(parts) > 1 else ""
-
-
 def _bounded(words: list[str]) -> str:
     """An alternation between word boundaries, longest first."""
     words = sorted(dict.fromkeys(words), key=lambda w: (-len(w), w))
@@ -184,4 +178,4 @@ def assemble(family: str, keywords: list[str], stated_gap: str, labels: list[str
         return anchor(keywords, False) + "".join(space) + BEFORE + secret + end
     if family == "A":
         return anchor(keywords) + ASSIGNED + secret + end
-    return (BEFORE if family == "X" and "b" in flags else "") + secret + end
+    return (BEFORE if family in "XU" and "u" not in flags else "") + secret + end

@@ -1,9 +1,10 @@
 """The detect stage: one Python pass per partition, from contents to findings.
 
-Contents are matched against the lower-case keywords by an automaton; only detectors with a keyword in
-the text run, then their candidates are filtered, located and fingerprinted. The same runs on payloads
-of base64 runs, which are reported where the run is. Duplicates in a file are dropped on the way, so the
-stage is narrow and its output small; only findings are ever shuffled.
+Contents are matched against the lower-case keywords by an automaton; a detector runs on the texts of some MB that
+have one of its keywords, all of them at once, on an engine whose time is linear in the text. Candidates
+are filtered, located and fingerprinted. The same runs on payloads of base64 runs, which are reported
+where the run is. Duplicates in a file are dropped on the way, so the stage is narrow and its output
+small; only findings are ever shuffled.
 """
 
 from __future__ import annotations
@@ -14,22 +15,24 @@ import urllib.request
 import uuid
 from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import findings as shape
-from ..functions import plausible
+from ..functions import examples, linear, patterns, plausible
 from .registry import Detector, load
 
 GENERIC = "generic-assigned-secret"
 #: Base64 runs from 20 characters on, up to this many.
 MAX_ENCODED = 8192
-_ENCODED = re.compile(r"\b[A-Za-z0-9+/_-]{20,}={0,2}\b", re.ASCII)
+_ENCODED = linear.form(patterns.within("< SECRET >", "≥20×A-Za-z0-9+/_- 0–2×=", ""))
 SNIFF = 8000
-BATCH_ROWS = 256
+#: Characters of text that detectors see at once; a single text is never split.
+TOGETHER = 4 << 20
 SCHEMA = "detector_id string, name string, severity string, file string, commit string, line int, column int, secret string, redacted string, verified boolean, fingerprint string, view int, start long"
 
 
@@ -41,18 +44,20 @@ class Plan:
 
     def __post_init__(self) -> None:
         self.always = [i for i, d in enumerate(self.detectors) if not d.usable_keywords]
-        by: dict[str, list[int]] = {}
+        #: Detectors by keyword; a keyword with blanks around it, which the automaton doesn't know, must be there with them.
+        self.by_keyword: dict[str, list[tuple[int, str]]] = {}
         for i, d in enumerate(self.detectors):
-            for k in d.usable_keywords:
-                by.setdefault(k, []).append(i)
-        self.by_keyword, self.automaton = by, None
+            for k in d.keywords:
+                if own := k.strip().lower():
+                    self.by_keyword.setdefault(own, []).append((i, "" if own == k.lower() else k.lower()))
+        self.automaton = None
         try:
             import ahocorasick
         except ImportError:
             return
-        if by:
+        if self.by_keyword:
             self.automaton = ahocorasick.Automaton()
-            for k in by:
+            for k in self.by_keyword:
                 self.automaton.add_word(k, k)
             self.automaton.make_automaton()
 
@@ -62,75 +67,119 @@ class Plan:
             return {k for _, k in self.automaton.iter(low)}
         return {k for k in self.by_keyword if k in low}
 
-    def select(self, text: str) -> list[Detector]:
-        """Detectors to run: those with a keyword in the text, and those without keywords, in registry order.
-
-        The automaton knows keywords without the blanks around them; one with blanks must be there with them too.
-        """
+    def select(self, text: str) -> list[int]:
+        """Numbers of the detectors to run, ascending: those with a keyword in the text, and those without keywords."""
         on, low = set(self.always), text.lower()
         for k in self.keywords_in(low):
-            on.update(i for i in self.by_keyword[k] if any(x.lower() in low for x in self.detectors[i].keywords if x.strip().lower() == k))
-        return [self.detectors[i] for i in sorted(on)]
+            on.update(i for i, padded in self.by_keyword[k] if not padded or padded in low)
+        return sorted(on)
+
+
+@lru_cache(8)
+def _plan(name: str, holder: _Held) -> Plan:
+    return Plan(holder.detectors)
+
+
+class _Held:
+    """Detectors that don't count in a cache's key."""
 
+    def __init__(self, detectors: tuple[Detector, ...]) -> None:
+        self.detectors = detectors
 
-_PLANS: dict[str, Plan] = {}
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, _Held)
+
+    def __hash__(self) -> int:
+        return 0
 
 
 def plan_of(name: str, detectors: tuple[Detector, ...]) -> Plan:
-    """One plan per worker process and set of detectors."""
-    if name not in _PLANS:
-        _PLANS[name] = Plan(detectors)
-    return _PLANS[name]
+    """One plan per worker process and set of detectors; the last few are kept."""
+    return _plan(name, _Held(detectors))
+
+
+def found_in(plan: Plan, texts: list[str]) -> list[list[tuple[Detector, int, int, str]]]:
+    """(detector, start, end, secret) of the plausible matches in each text, by detector and place; offsets in code points."""
+    out: list[list[tuple[Detector, int, int, str]]] = [[] for _ in texts]
+    rows: dict[int, list[int]] = {}
+    for row, text in enumerate(texts):
+        for i in plan.select(text):
+            rows.setdefault(i, []).append(row)
+    column = pa.array([linear.searchable(text) for text in texts], pa.large_string())
+    for i in sorted(rows):
+        d, own = plan.detectors[i], rows[i]
+        if d.find is not None:
+            for row in own:
+                out[row] += [(d, *found) for found in d.find(texts[row])]
+            continue
+        for k, start, end, first in d.spans(column if len(own) == len(texts) else column.take(pa.array(own))):
+            text = texts[own[k]]
+            secret = text[start:end]
+            if d.broad_context and not d.custom and plausible.crosses_blank_line(text[first:start]):
+                continue
+            if plausible.is_plausible(secret) and not (d.id == GENERIC and plausible.is_assigned_reference(text, start)):
+                out[own[k]].append((d, start, end, secret))
+    return out
 
 
 def candidates(detector: Detector, text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, secret) of a detector's plausible matches; offsets in code points."""
-    if detector.find is not None:
-        yield from detector.find(text)
-        return
-    for m in detector.matches(text):
-        group = detector.group if 0 <= detector.group <= detector.compiled.groups and m.start(detector.group) >= 0 else 0
-        start, end = m.span(group)
-        secret = text[start:end]
-        if detector.broad_context and not detector.custom and plausible.crosses_blank_line(text[m.start() : start]):
-            continue
-        if plausible.is_plausible(secret) and not (detector.id == GENERIC and plausible.is_assigned_reference(text, start)):
-            yield start, end, secret
+    """(start, end, secret) of a detector's plausible matches, whatever its keywords; offsets in code points."""
+    for _, *found in found_in(Plan((replace(detector, keywords=()),)), [text])[0]:
+        yield tuple(found)
 
 
 def is_binary(data: bytes) -> bool:
     return b"\0" in data[:SNIFF]
 
 
-def _encoded(text: str) -> Iterator[tuple[int, str]]:
-    """(where the run is, decoded text) of each new base64 payload that is text."""
+def _encoded(texts: list[str]) -> Iterator[tuple[int, int, str]]:
+    """(text, where the run is, decoded text) of each text's new base64 payloads that are text."""
     seen = set()
-    for m in _ENCODED.finditer(text):
-        if m.end() - m.start() > MAX_ENCODED:
+    for row, start, end, _ in linear.spans(pa.array([linear.searchable(text) for text in texts], pa.large_string()), _ENCODED):
+        if end - start > MAX_ENCODED:
             continue
-        data = plausible.decode_base64(m[0])
-        if data is None or len(data) < 8 or is_binary(data) or data in seen:
+        data = plausible.decode_base64(texts[row][start:end])
+        if data is None or len(data) < 8 or is_binary(data) or (row, data) in seen:
             continue
-        seen.add(data)
-        yield m.start(), data.decode("utf-8", "surrogateescape")
-
-
-def scan_text(plan: Plan, text: str) -> Iterator[tuple[Detector, str, int, int]]:
-    """(detector, secret, start, view) of a text's findings: raw text first, each (detector, secret) once."""
-    seen = set()
-    views = [(0, None, text)]
-    views += [(1, at, decoded) for at, decoded in _encoded(text)]
-    for view, at, content in views:
-        found = [(start, d, secret) for d in plan.select(content) for start, _, secret in candidates(d, content)]
-        for start, d, secret in found:
-            if (d.id, secret) not in seen:
-                seen.add((d.id, secret))
-                yield d, secret, start if at is None else at, view
-
-
-def finding_rows(plan: Plan, text: str, file: str, commit: str) -> list[tuple]:
+        seen.add((row, data))
+        yield row, start, data.decode("utf-8", "surrogateescape")
+
+
+def scan_texts(plan: Plan, texts: list[str]) -> Iterator[list[tuple[Detector, str, int, int]]]:
+    """(detector, secret, start, view) of each text's findings: raw text first, each (detector, secret) once."""
+    for lo, hi in together(texts):
+        own = texts[lo:hi]
+        found = [[(d, secret, start, 0) for d, start, _, secret in x] for x in found_in(plan, own)]
+        payloads = list(_encoded(own))
+        decoded = [text for _, _, text in payloads]
+        for a, b in together(decoded):
+            for (row, at, _), x in zip(payloads[a:b], found_in(plan, decoded[a:b])):
+                found[row] += [(d, secret, at, 1) for d, _, _, secret in x]
+        for x in found:
+            yield list({(d.id, secret): (d, secret, start, view) for d, secret, start, view in reversed(x)}.values())[::-1]
+
+
+def together(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Bounds of slices of whole texts, each of at most ``TOGETHER`` characters or one text."""
+    begin = size = 0
+    for i, text in enumerate(texts):
+        if size and size + len(text) > TOGETHER:
+            yield begin, i
+            begin, size = i, 0
+        size += len(text)
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
+def scan_text(plan: Plan, text: str) -> list[tuple[Detector, str, int, int]]:
+    """The findings of one text."""
+    return next(scan_texts(plan, [text]))
+
+
+def finding_rows(found: list[tuple[Detector, str, int, int]], text: str, file: str, commit: str) -> list[tuple]:
+    """Rows of a text's findings, as ``SCHEMA`` has them."""
     out, breaks = [], None
-    for d, secret, start, view in scan_text(plan, text):
+    for d, secret, start, view in found:
         breaks = [m.start() for m in re.finditer("\n", text)] if breaks is None else breaks
         k = bisect_right(breaks, start - 1)
         begin = breaks[k - 1] + 1 if k else 0
@@ -142,9 +191,6 @@ def finding_rows(plan: Plan, text: str, file: str, commit: str) -> list[tuple]:
 
 def detect(sources: DataFrame, detectors: tuple[Detector, ...] | None = None, table: str | None = None) -> DataFrame:
     """Findings of ``sources`` (file, commit, content as text or binary); binary files give none."""
-    spark = sources.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
     rows = sources.select("file", F.coalesce("commit", F.lit("")).alias("commit"), "content")
     own = tuple(d.plain() for d in (detectors if detectors is not None else load(table)))
     name = uuid.uuid4().hex if any(d.find for d in own) else hashlib.sha256(repr(own).encode()).hexdigest()
@@ -154,7 +200,7 @@ def detect(sources: DataFrame, detectors: tuple[Detector, ...] | None = None, ta
         kinds = [pa.string()] * 5 + [pa.int32()] * 2 + [pa.string()] * 2 + [pa.bool_(), pa.string(), pa.int32(), pa.int64()]
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         for batch in batches:
-            out = []
+            out, texts, places = [], [], []
             for file, commit, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if content is None:
                     continue
@@ -164,7 +210,10 @@ def detect(sources: DataFrame, detectors: tuple[Detector, ...] | None = None, ta
                     content = content.decode("utf-8", "surrogateescape")
                 elif "\0" in content[:SNIFF]:
                     continue
-                out += finding_rows(plan, content, file, commit)
+                texts.append(content)
+                places.append((file, commit))
+            for text, place, found in zip(texts, places, scan_texts(plan, texts)):
+                out += finding_rows(found, text, *place)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
@@ -225,3 +274,19 @@ def verify(found: DataFrame, verifiers: dict) -> DataFrame:
 
     answers = asked.mapInArrow(ask, "detector_id string, secret string, __ok boolean")
     return found.join(answers, ["detector_id", "secret"], "left").withColumn("verified", F.coalesce("__ok", F.lit(False))).drop("__ok").select(found.columns)
+
+
+def example(detector: Detector, tries: int = 200) -> tuple[str, str]:
+    """(text, secret): a text made after the detector's pattern in which it finds that secret; always the same one.
+
+    With a keyword in front where the pattern has none. ValueError if none of the tries is found: the detector can't work.
+    """
+    words = "".join(f" {k}" for k in detector.keywords[:1])
+    for k in range(tries):
+        text = examples.example(detector.pattern, re.IGNORECASE if detector.ignore_case else 0, (detector.id, k))
+        if not any(x.lower() in text.lower() for x in detector.keywords):
+            text += words
+        found = found_in(Plan((detector,)), [f" {text} "])[0]
+        if found:
+            return text, found[0][3]
+    raise ValueError(f"no example of detector {detector.id} is found")

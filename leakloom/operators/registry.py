@@ -15,10 +15,11 @@ from dataclasses import dataclass, field, replace
 from functools import cache, cached_property
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import patterns
+from ..functions import linear, patterns
 
 COLUMNS = ("line", "id", "name", "severity", "family", "gap", "group", "flags", "keywords", "labels", "secret", "catalog")
 SEVERITIES = {"c": "critical", "h": "high", "m": "medium"}
@@ -37,15 +38,25 @@ SPECIAL = {
         '1×{ ≥0×not {} 1×\\q "type" 1×\\q ≥0×\\s ":" ≥0×\\s 1×\\q "service_account" 1×\\q ≥0×not {} 1×\\q "private_key" 1×\\q ≥0×\\s ":" ≥0×\\s 1×\\q "-----BEGIN PRIVATE KEY-----" ≥1×not \\q 1×\\q '
         '≥0×not {} 1×\\q "client_email" 1×\\q ≥0×\\s ":" ≥0×\\s 1×\\q ≥1×not \\q "@" ≥1×not \\q ".iam.gserviceaccount.com" 1×\\q ≥0×not {} "auth_provider_x509_cert_url" ≥0×not {} 1×}',
     ),
-    "basic-auth-url": ('!A-Za-z0-9+.- ≥0×0-9+.- 1×A-Za-z ≥0×A-Za-z0-9+.- "://" ≥1×not \\s:/@ ":" SECRET "@"', "≥8×not \\s@/?#"),
+    "basic-auth-url": ('< 1×a-z ≥0×a-z0-9+.- "://" ≥1×not \\s:/?# ":" SECRET "@" ≥1×not \\s', "≥8×not \\s@/?#"),
     "slack-webhook": ("< SECRET >", '"https://hooks.slack.com/" one of "services/T" ≥1×A-Z0-9 "/B" ≥1×A-Z0-9 "/" 23–25×A-Za-z0-9 or ("workflows/T" ≥1×A-Z0-9 "/A" ≥1×A-Z0-9 "/" 17–19×0-9 "/" 23–25×A-Za-z0-9)'),
-    "ftp-credential-url": ("", "one of \"sftp\" or \"ftps\" or \"ftp\" \"://\" 1–120×not :\\s'\\q/@ \":\" 8–120×not @\\s'\\q/ \"@\" ≥1×not \\s'\\q<>"),
+    "ftp-credential-url": ("<", "one of \"sftp\" or \"ftps\" or \"ftp\" \"://\" 1–120×not :\\s'\\q/@ \":\" 8–120×not @\\s'\\q/ \"@\" ≥1×not \\s'\\q<>"),
     "klaviyo-key": ("< SECRET >", '"pk_" one of 34×0-9a-f or (6×A-Za-z0-9 "_" 34×0-9a-f)'),
     "sourcegraph-token": ("< SECRET >", '"sgp_" one of (one of 16×A-Fa-f0-9 or "local" "_" 40×A-Fa-f0-9) or 40×A-Fa-f0-9'),
-    "sqlserver-connection-string": ("", 'one of "Server" or "Data Source" "=" ≥1×not ;?\\n ";" ≥0×not ?\\n one of "User ID" or "UID" "=" ≥1×not ;?\\n ";" ≥0×not ?\\n one of "Password" or "PWD" "=" ≥8×not ;?\\n 0–1×;'),
+    "sqlserver-connection-string": ("<", 'one of "Server" or "Data Source" "=" ≥1×not ;\\r\\n ";" ≥0×not \\r\\n one of "User ID" or "UID" "=" ≥1×not ;\\r\\n ";" ≥0×not \\r\\n one of "Password" or "PWD" "=" ≥8×not ;\\r\\n 0–1×;'),
+    "gcp-application-default-credentials": (
+        "",
+        '1×{ ≥0×not {} 1×\\q "client_id" 1×\\q ≥0×\\s ":" ≥0×\\s 1×\\q ≥1×not \\q ".apps.googleusercontent.com" 1×\\q ≥0×not {} 1×\\q "client_secret" 1×\\q ≥0×\\s ":" ≥0×\\s 1×\\q ≥20×not \\q 1×\\q '
+        '≥0×not {} 1×\\q "refresh_token" 1×\\q ≥0×\\s ":" ≥0×\\s 1×\\q ≥20×not \\q 1×\\q ≥0×not {} 1×}',
+    ),
+    "docker-auth-config": ("", '1×\\q "auths" 1×\\q ≥0×\\s ":" ≥0×\\s "{" ≥1×not } 1×\\q "auth" 1×\\q ≥0×\\s ":" ≥0×\\s 1×\\q ≥20×A-Za-z0-9+/ 0–2×= 1×\\q'),
 }
 #: What surrounds the secret of detectors that need more than an anchor, a gap and a label.
 CONTEXTS = {
+    "front-api-token": '< one of "front~token" > = or (one of "front" > or "frontapp.com" or "api2.frontapp.com" or ("front~api" >) M160 < one of "api~token" or "access~token" or "bearer" or "token" > =)',
+    "twilio-auth-token": '< "AC" 32×0-9a-f > M160 < one of "auth~token" or "token" or "secret" > =',
+    "box-client-secret": '< one of "boxAppSettings" or "api.box.com/oauth2/token" or "box~subject~type" or "box~subject~id" > M500 < one of "clientSecret" or "client~secret" or "box~client~secret" > quote =',
+    "vagrant-cloud-token": '< "vagrant" 0–1×("cloud") > L40 < one of "token" or "api~key" > =',
     "mailjet-basic-auth": '< "mailjet" > M80 <',
     "okta-api-token": '< 1–40×a-z0-9- ".okta" 0–1×(one of "preview" or "-emea") ".com" > M200 <',
     "resend-api-key": '< one of "resend~api~key" or (one of "api.resend.com" or "resend" > L80 < one of "api~key" or "authorization" or "bearer") > =',
@@ -81,6 +92,8 @@ CONTEXTS = {
     "larksuite-app-secret": '< "cli_" 16×A-Za-z0-9 > M160 <',
 }
 _SENSITIVE = frozenset(("private-key", "ssh-private-key", "gcp-service-account-json"))  # matched as written, whatever the table's flags
+#: Detectors of tokens and addresses that may begin inside a word.
+INSIDE_WORDS = ("azure-app-config-connection-string", "azure-storage-connection-string", "azure-cosmosdb-connection-string", "azure-sas-url", "azure-function-key-url", "openvpn-static-key")
 
 
 @dataclass(frozen=True)
@@ -95,27 +108,54 @@ class Detector:
     broad_context: bool = False
     verifiable: bool = False
     custom: bool = False
-    #: Every match ends with this, so none is looked for behind the last place that has it.
-    ending: str = ""
     #: Finds secrets by itself, as (start, end, secret) in code points, instead of by a pattern.
     find: Callable[[str], Iterable[tuple[int, int, str]]] | None = None
     catalog: tuple[tuple[str, int, bool], ...] = field(default=(), compare=False)
 
-    def _compile(self, pattern: str) -> re.Pattern[str]:
-        return re.compile(pattern, re.ASCII | (re.IGNORECASE if self.ignore_case else 0))
-
     @cached_property
     def compiled(self) -> re.Pattern[str]:
-        return self._compile(self.pattern)
+        return re.compile(self.pattern, re.ASCII | (re.IGNORECASE if self.ignore_case else 0))
 
     @cached_property
-    def _ends(self) -> re.Pattern[str]:
-        return self._compile(self.ending)
-
-    def matches(self, text: str) -> Iterator[re.Match[str]]:
-        """The pattern's matches. Where it has an ending, openings that nothing ends cost nothing."""
-        last = max((m.end() for m in self._ends.finditer(text)), default=0) if self.ending else len(text)
-        return self.compiled.finditer(text, 0, last)
+    def linear(self) -> tuple[str | None, str | None]:
+        """The pattern for the linear engine, with the secret as its middle group; the second one gives whole matches only.
+
+        Of a custom detector both may be None: the engine doesn't take the pattern.
+        """
+        flag = "(?i)" if self.ignore_case else ""
+        own, whole = linear.form(self.pattern, self.group), linear.form(self.pattern, 0)
+        if own is None and self.group > max(0, self.compiled.groups):
+            own = whole
+        if self.custom and not linear.compiles(flag + whole):
+            return None, None
+        return (None if own is None else flag + own), flag + whole
+
+    def spans(self, texts: pa.Array) -> Iterator[tuple[int, int, int, int]]:
+        """(text, start and end of the secret, start of the match) of all matches in texts as ``linear.searchable`` gives them.
+
+        A group that may be unset is looked up inside its whole match, on Python's engine; patterns that only that
+        one takes run on it altogether.
+        """
+        own, whole = self.linear
+        if own is not None:
+            yield from linear.spans(texts, own)
+            return
+        if whole is not None:
+            values = {}
+            for row, start, end, _ in linear.spans(texts, whole):
+                text = values[row] if row in values else values.setdefault(row, texts[row].as_py())
+                m = self.compiled.match(text, start, end)
+                yield row, *self._secret(m, start, end), start
+            return
+        for row, text in enumerate(texts.to_pylist()):
+            for m in self.compiled.finditer(text):
+                yield row, *self._secret(m, *m.span()), m.start()
+
+    def _secret(self, m: re.Match[str] | None, start: int, end: int) -> tuple[int, int]:
+        """The group's span, or the match's where the group is unset."""
+        if m and 0 <= self.group <= self.compiled.groups and m.start(self.group) >= 0:
+            return m.span(self.group)
+        return start, end
 
     def plain(self) -> Detector:
         """The detector without what was compiled, as it is sent to tasks."""
@@ -147,21 +187,19 @@ def load(table: str | os.PathLike | None = None) -> tuple[Detector, ...]:
             if not re.match(r"\|\d+\|", line):
                 continue
             r = _row(line)
-            keywords = tuple(k.strip(" ") if k.strip() != "Bot" else "Bot " for k in r["keywords"].split(", ") if k.strip())
+            keywords = tuple(k.strip(" ").replace("\\\"", "\"") if k.strip() != "Bot" else "Bot " for k in r["keywords"].split(", ") if k.strip())
             labels = [] if "see line" in r["labels"] else r["labels"].split()
-            ending = ""
             try:
                 if r["id"] in SPECIAL:
                     context, secret = SPECIAL[r["id"]]
                     pattern = patterns.within(context, secret, "")
-                    ending = "" if "SECRET" in context else patterns.ending(secret)
                 elif r["id"] in CONTEXTS:
                     pattern = patterns.within(CONTEXTS[r["id"]], r["secret"], r["flags"])
                 else:
-                    pattern = patterns.assemble(r["family"], list(keywords), r["gap"], labels, r["secret"], r["flags"])
+                    pattern = patterns.assemble(r["family"], list(keywords), r["gap"], labels, r["secret"], r["flags"] + "u" * (r["id"] in INSIDE_WORDS))
             except IndexError as e:
                 raise ValueError(f"detector {r['id']}: the shape {r['secret']!r} isn't complete") from e
-            out.append(Detector(r["id"], r["name"], SEVERITIES[r["severity"]], keywords, pattern, 1, "i" in r["flags"] and r["id"] not in _SENSITIVE, "M" in r["gap"], "V" in r["flags"], ending=ending, catalog=_catalog(r["catalog"])))
+            out.append(Detector(r["id"], r["name"], SEVERITIES[r["severity"]], keywords, pattern, 1, "i" in r["flags"] and r["id"] not in _SENSITIVE, "M" in r["gap"], "V" in r["flags"], catalog=_catalog(r["catalog"])))
     if not out:
         raise ValueError(f"{table or DEFAULT_TABLE} holds no detector")
     return tuple(out)

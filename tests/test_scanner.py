@@ -57,7 +57,7 @@ JWT = ".".join(["eyJ" + "hbGciOi" * 4, "eyJ" + "zdWIiOi" * 4, "c2lnbmF0" * 4])
     "detector, text, secret",
     [
         ("mailjet-basic-auth", "mailjet: Basic {}", "a1B" * 29 + "="),
-        ("okta-api-token", "https://corp.oktapreview.com SSWS {}", "00" + "aB3-" * 10),
+        ("okta-api-token", "https://corp.oktapreview.com SSWS {}", "00" + "-aB3" * 10),
         ("resend-api-key", "api.resend.com\tauthorization: {}", "re_" + "a1B2" * 8),
         ("clerk-secret-key", "clerk_secret_key='{}'", "sk_test_" + "a1B2" * 8),
         ("workos-api-key", "workos prod secret-key = {}", "sk_live_" + "a1B2" * 8),
@@ -80,8 +80,8 @@ JWT = ".".join(["eyJ" + "hbGciOi" * 4, "eyJ" + "zdWIiOi" * 4, "c2lnbmF0" * 4])
         ("auth0-client-secret", "auth0 tenant\nclient_secret = '{}'", "a1B2" * 14),
         ("onelogin-client-secret", "onelogin:\n client_secret: {}", "a1B2" * 9),
         ("wiz-client-secret", "wiz:\n client_secret: {}", "a1B2" * 9),
-        ("azure-entra-client-secret", "login.microsoftonline.com client_secret: {}", "a1B2~" * 8),
-        ("twitter-bearer-token", "twitter_api bearer-token: {}", "AAAA" + "a1B%" * 25),
+        ("azure-entra-client-secret", "login.microsoftonline.com client_secret: {}", "~a1B2" * 8),
+        ("twitter-bearer-token", "twitter_api bearer-token: {}", "AAAA" + "%a1B" * 25),
         ("twitch-client-secret", "twitch\nclient_secret: {}", "a1B2" * 8),
         ("restpack-htmltopdf-api-key", "restpack html-to-pdf api key: key = {}", "a1B2" * 12),
         ("restpack-screenshot-api-key", "restpack screenshot token: {}", "a1B2" * 12),
