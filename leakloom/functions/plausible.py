@@ -182,6 +182,11 @@ def placeholder(value: Column) -> Column:
     return F.exists(F.regexp_extract_all(value, F.lit(pattern), F.lit(1)), lambda v: reference(cut(v)))
 
 
+def blank_line(between: Column) -> Column:
+    """``crosses_blank_line``."""
+    return between.rlike(r"\n[ \t\r]*\n")
+
+
 def fragment(value: Column) -> Column:
     out = F.lit(False)
     for x in FRAGMENTS:

@@ -14,6 +14,7 @@ import re
 import urllib.request
 import uuid
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache
@@ -29,7 +30,8 @@ from .registry import Detector, load
 GENERIC = "generic-assigned-secret"
 #: Base64 runs from 20 characters on, up to this many.
 MAX_ENCODED = 8192
-_ENCODED = linear.form(patterns.within("< SECRET >", "≥20×A-Za-z0-9+/_- 0–2×=", ""))
+ENCODED = "≥20×A-Za-z0-9+/_- 0–2×="
+_ENCODED = linear.form(patterns.within("< SECRET >", ENCODED, ""))
 SNIFF = 8000
 #: Characters of text that detectors see at once; a single text is never split.
 TOGETHER = 4 << 20
@@ -176,16 +178,21 @@ def scan_text(plan: Plan, text: str) -> list[tuple[Detector, str, int, int]]:
     return next(scan_texts(plan, [text]))
 
 
+def place_of(text: str, start: int, breaks: list[int]) -> tuple[int, int]:
+    """(line, column in bytes) of a place, both from 1; ``breaks`` are the places of the text's line breaks."""
+    k = bisect_right(breaks, start - 1)
+    begin = breaks[k - 1] + 1 if k else 0
+    return k + 1, len(text[begin:start].encode("utf-8", "surrogateescape")) + 1
+
+
 def finding_rows(found: list[tuple[Detector, str, int, int]], text: str, file: str, commit: str) -> list[tuple]:
     """Rows of a text's findings, as ``SCHEMA`` has them."""
     out, breaks = [], None
     for d, secret, start, view in found:
         breaks = [m.start() for m in re.finditer("\n", text)] if breaks is None else breaks
-        k = bisect_right(breaks, start - 1)
-        begin = breaks[k - 1] + 1 if k else 0
-        column = len(text[begin:start].encode("utf-8", "surrogateescape")) + 1
+        line, column = place_of(text, start, breaks)
         clean = secret.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
-        out.append((d.id, d.name, d.severity, file, commit, k + 1, column, clean, shape.redacted_of(secret), False, shape.fingerprint_of(d.id, secret, file, commit), view, start))
+        out.append((d.id, d.name, d.severity, file, commit, line, column, clean, shape.redacted_of(secret), False, shape.fingerprint_of(d.id, secret, file, commit), view, start))
     return out
 
 
@@ -286,7 +293,59 @@ def example(detector: Detector, tries: int = 200) -> tuple[str, str]:
         text = examples.example(detector.pattern, re.IGNORECASE if detector.ignore_case else 0, (detector.id, k))
         if not any(x.lower() in text.lower() for x in detector.keywords):
             text += words
-        found = found_in(Plan((detector,)), [f" {text} "])[0]
+        found = found_in(Plan((detector,)), [f" {text}\n"])[0]
         if found:
             return text, found[0][3]
     raise ValueError(f"no example of detector {detector.id} is found")
+
+
+def matches(texts: DataFrame, detectors: tuple[Detector, ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, detector_id, secret, before, line, column) of every match of the detectors' patterns, plausible or not, repeats included.
+
+    ``before`` is the match up to its secret, whose place is given. The detectors run on every text, whatever their keywords; null texts give nothing.
+    """
+    own = tuple(d.plain() for d in detectors)
+    kind = dict(texts.dtypes)[id_col]
+    rows = texts.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "detector_id", "secret", "before", "line", "column"]
+        for batch in batches:
+            values = batch.column(1).to_pylist()
+            for lo, hi in together(values):
+                column, breaks = pa.array([linear.searchable(text) for text in values[lo:hi]], pa.large_string()), {}
+                for d in own:
+                    out = []
+                    for row, start, end, first in d.spans(column):
+                        text = values[lo + row]
+                        if row not in breaks:
+                            breaks[row] = [m.start() for m in re.finditer("\n", text)]
+                        out.append((lo + row, d.id, text[start:end], text[first:start], *place_of(text, start, breaks[row])))
+                    if out:
+                        at, *columns = zip(*out)
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *(pa.array(c, k) for c, k in zip(columns, [pa.string()] * 3 + [pa.int64()] * 2))], names)
+
+    return rows.mapInArrow(run, f"id {kind}, detector_id string, secret string, before string, line long, column long").withColumnRenamed("id", id_col)
+
+
+def encoded_runs(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, run) of every base64 run that may hold a payload, by the rules of the re-scan."""
+    run = Detector("base64", "Base64 run", "low", (), patterns.within("< SECRET >", ENCODED, ""))
+    rows = matches(texts, (run,), id_col, text_col).select(id_col, F.col("secret").alias("run"))
+    body = F.rtrim(F.col("run"), F.lit("="))
+    return rows.where((F.length("run") <= MAX_ENCODED) & (F.length(body) % 4 != 1) & ~(F.col("run").rlike("[-_]") & F.col("run").rlike("[+/]")))
+
+
+def keyword_documents(texts: DataFrame, detectors: tuple[Detector, ...], text_col: str = "text") -> DataFrame:
+    """(keyword, documents): in how many texts the prefilter sees each keyword of the detectors."""
+    own = tuple(d.plain() for d in detectors)
+    name = hashlib.sha256(repr(own).encode()).hexdigest()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan, seen = plan_of(name, own), Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                seen.update(plan.keywords_in(text or ""))
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["keyword", "n"])
+
+    return texts.select(F.col(text_col).cast("string")).mapInArrow(run, "keyword string, n long").groupBy("keyword").agg(F.sum("n").alias("documents"))

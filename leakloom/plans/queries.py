@@ -11,9 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import findings, plausible
-from ..functions.patterns import AFTER, BEFORE, SPACE
 from ..operators import registry, state
-from ..operators.detect import detect, documents_as_sources, spread
+from ..operators.detect import detect, documents_as_sources, encoded_runs, example, keyword_documents, matches, spread
 from ..sources import archives, files, hosting, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,29 +33,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pattern(body: str) -> str:
-    """A pattern whose ``<`` and ``>`` bound a word and ``~`` is white space, for Spark."""
-    return body.replace("<", BEFORE).replace(">", AFTER).replace("~", SPACE)
+def _rule(detector_id: str) -> registry.Detector:
+    return next(d for d in registry.load() if d.id == detector_id)
 
 
-def _sql_pattern(body: str) -> str:
-    """The same for RE2, as the inside of a SQL string."""
-    return body.replace("<", r"\b").replace(">", r"\b").replace("~", r"[\t\n\f\r ]").replace("'", "''")
+def _matches(texts: DataFrame, detector_id: str) -> DataFrame:
+    """(doc_id, secret) of all matches of a detector of the registry."""
+    return matches(texts, (_rule(detector_id),)).select("doc_id", "secret")
 
 
-ASSIGNED = r"(?i)<(?:password|passwd|secret|token|api[_-]?key|client[_-]?secret)>~*[:=]~*['\x22]?([A-Za-z0-9_./+=-]{16,})"
-TOKEN = r"<(gh[pousr]_[A-Za-z0-9_]{36,255})>"
-URI = r"(postgres(?:ql)?://[^\t\n\f\r '\x22]+:[^\t\n\f\r '\x22]+@[^\t\n\f\r '\x22]+)"
-PEM = r"(-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]+?-----END [A-Z ]*PRIVATE KEY-----)"
-LINE = r"(?i)<datadog[^\n]{0,20}['\x22\t\n\f\r :=]+([a-f0-9]{32})>"
-BROAD = r"(?i)<bamboohr>[\s\S]{0,160}?<(?:api[_-]?key|token)>~*[:=]~*['\x22]?([A-Za-z0-9._-]{32,256})>"
-ENCODED = r"<([A-Za-z0-9+/_-]{20,})>"
+def _sql_pattern(detector_id: str) -> str:
+    """A detector's pattern as the inside of a SQL string; group 1 is what precedes the secret, group 2 the secret."""
+    return _rule(detector_id).linear[0].replace("'", "''")
 
 
-def _matches(texts: DataFrame, body: str, group: int = 1) -> DataFrame:
-    """(doc_id, secret) of all matches. A text without one costs one test."""
-    pattern = F.lit(_pattern(body))
-    return texts.where(F.regexp_like("text", pattern)).select("doc_id", F.explode(F.regexp_extract_all("text", pattern, F.lit(group))).alias("secret"))
+def _from(text: str, detector_id: str) -> str:
+    return f"SELECT doc_id, unnest(regexp_extract_all({text}, '{_sql_pattern(detector_id)}', 2)) AS secret FROM documents"
+
+
+ASSIGNED, TOKEN, URI, PEM, LINE, BROAD = "generic-assigned-secret", "github-token", "postgres-uri", "private-key", "datadog-api-key", "bamboohr-api-key"
 
 
 def _with(docs: DataFrame, *parts: Column | str) -> DataFrame:
@@ -67,10 +62,6 @@ def _id(mod: int | None = None) -> Column:
     return F.md5((F.col("doc_id") % mod if mod else F.col("doc_id")).cast("string"))
 
 
-def _from(text: str, body: str) -> str:
-    return f"SELECT doc_id, unnest(regexp_extract_all({text}, '{_sql_pattern(body)}', 1)) AS secret FROM documents"
-
-
 _TOKEN_SQL = _from("text || ' ghp_' || md5((doc_id % 97)::VARCHAR) || 'abcd '", TOKEN)
 
 
@@ -99,79 +90,65 @@ def detect_line_context(spark, sf_dir):
     return _matches(_with(_table(spark, sf_dir, "documents"), ' datadog_key = "', _id(), '" '), LINE)
 
 
-_BROAD_TEXT = "text || ' bamboohr ' || CASE WHEN doc_id % 2 = 0 THEN chr(10) || ' ' || chr(10) ELSE chr(10) END || 'api_key: ' || md5(doc_id::VARCHAR) || ' '"
+_BROAD_TEXT = "text || ' bamboohr.com ' || CASE WHEN doc_id % 2 = 0 THEN chr(10) || ' ' || chr(10) ELSE chr(10) END || 'api_key: ' || md5(doc_id::VARCHAR) || ' '"
 
 
-@query(f"SELECT doc_id, secret FROM (SELECT doc_id, unnest(regexp_extract_all({_BROAD_TEXT}, '{_sql_pattern(BROAD)}', 0)) AS hit, unnest(regexp_extract_all({_BROAD_TEXT}, '{_sql_pattern(BROAD)}', 1)) AS secret FROM documents) WHERE NOT regexp_matches(hit, '\\n[ \\t\\r]*\\n')")
+@query(f"SELECT doc_id, secret FROM (SELECT doc_id, unnest(regexp_extract_all({_BROAD_TEXT}, '{_sql_pattern(BROAD)}', 1)) AS before, unnest(regexp_extract_all({_BROAD_TEXT}, '{_sql_pattern(BROAD)}', 2)) AS secret FROM documents) WHERE NOT regexp_matches(before, '\\n[ \\t\\r]*\\n')")
 def detect_broad_context(spark, sf_dir):
     gap = F.when(F.col("doc_id") % 2 == 0, F.lit("\n \n")).otherwise(F.lit("\n"))
-    texts = _with(_table(spark, sf_dir, "documents"), " bamboohr ", gap, "api_key: ", _id(), " ")
-    pattern = F.lit(_pattern(BROAD))
-    both = F.explode(F.arrays_zip(F.regexp_extract_all("text", pattern, F.lit(0)).alias("hit"), F.regexp_extract_all("text", pattern, F.lit(1)).alias("secret")))
-    return texts.select("doc_id", both.alias("m")).where(~F.col("m.hit").rlike(r"\n[ \t\r]*\n")).select("doc_id", "m.secret")
+    texts = _with(_table(spark, sf_dir, "documents"), " bamboohr.com ", gap, "api_key: ", _id(), " ")
+    found = detect(documents_as_sources(texts), (_rule(BROAD),))
+    return found.select(F.substring_index("file", "/", -1).cast("long").alias("doc_id"), "secret")
+
 
+_PIECES_SQL = "SELECT doc_id, unnest(regexp_extract_all(text || chr(10) || CASE doc_id % 3 WHEN 0 THEN '  ' || chr(10) WHEN 1 THEN 'x' || chr(10) ELSE '' END || 'end.', '[^.]{1,400}[.]', 0)) AS piece FROM documents"
 
-@query("SELECT doc_id, length(hit) AS hit_chars FROM (SELECT doc_id, unnest(regexp_extract_all('bamboohr' || chr(10) || CASE doc_id % 3 WHEN 0 THEN '  ' || chr(10) WHEN 1 THEN 'x' || chr(10) ELSE '' END || 'token=' || md5(doc_id::VARCHAR), '(?i)bamboohr[\\s\\S]{0,160}?token', 0)) AS hit FROM documents) WHERE NOT regexp_matches(hit, '\\n[ \\t\\r]*\\n')")
+
+@query(f"SELECT doc_id, length(piece) AS chars FROM ({_PIECES_SQL}) WHERE NOT regexp_matches(piece, '\\n[ \\t\\r]*\\n')")
 def blank_line_guard(spark, sf_dir):
+    """The pieces between the points of every text that no blank line crosses, as the guard of wide contexts has it."""
     kind = F.col("doc_id") % 3
-    text = F.concat(F.lit("bamboohr\n"), F.when(kind == 0, "  \n").when(kind == 1, "x\n").otherwise(""), F.lit("token="), _id())
-    hits = _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(text, F.lit(r"(?i)bamboohr[\s\S]{0,160}?token"), F.lit(0))).alias("hit"))
-    return hits.where(~F.col("hit").rlike(r"\n[ \t\r]*\n")).select("doc_id", F.length("hit").cast("long").alias("hit_chars"))
+    texts = _with(_table(spark, sf_dir, "documents"), "\n", F.when(kind == 0, "  \n").when(kind == 1, "x\n").otherwise(""), "end.")
+    pieces = texts.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[^.]{1,400}[.]"), F.lit(0))).alias("piece"))
+    return pieces.where(~plausible.blank_line(F.col("piece"))).select("doc_id", F.length("piece").cast("long").alias("chars"))
+
+
+def _registered(f: Callable[[], str]):
+    """Registers a query whose SQL is made from the table of detectors; without the table it has none."""
+    return query(f() if registry.DEFAULT_TABLE.exists() else None)
 
 
-KEYWORDS = ("token", "secret", "password", "api_key", "akia", "the", "und", "private key", "://", "@mail")
+def _keywords_sql() -> str:
+    words = sorted({k for d in registry.load() for k in d.usable_keywords})
+    return "SELECT keyword, count(*) AS documents FROM documents, (SELECT unnest([" + ", ".join("'" + k.replace("'", "''") + "'" for k in words) + "]) AS keyword) WHERE contains(lower(text), keyword) GROUP BY keyword"
 
 
-@query(f"SELECT keyword, count(*) AS documents FROM documents, (SELECT unnest([{', '.join(repr(k) for k in KEYWORDS)}]) AS keyword) WHERE contains(lower(text), keyword) GROUP BY keyword")
+@_registered(_keywords_sql)
 def keyword_prefilter(spark, sf_dir):
-    low = F.lower("text")
-    found = F.filter(F.array(*map(F.lit, KEYWORDS)), lambda k: F.contains(F.col("low"), k))
-    return _table(spark, sf_dir, "documents").select(low.alias("low")).select(F.explode(found).alias("keyword")).groupBy("keyword").agg(F.count("*").alias("documents"))
+    """How many documents the prefilter passes on for each keyword of the registry."""
+    return keyword_documents(_table(spark, sf_dir, "documents"), registry.load())
 
 
-_GAPS_SQL = f"""SELECT doc_id, generate_subscripts(whole, 1) AS k, gaps, whole FROM (
-  SELECT doc_id, regexp_extract_all(text, '{_sql_pattern(ASSIGNED)}', 0) AS whole, regexp_split_to_array(text, '{_sql_pattern(ASSIGNED)}') AS gaps FROM documents WHERE regexp_matches(text, '{_sql_pattern(ASSIGNED)}'))"""
+_GAPS_SQL = f"""SELECT doc_id, generate_subscripts(whole, 1) AS k, gaps, whole, head FROM (
+  SELECT doc_id, regexp_extract_all(text, '{_sql_pattern(ASSIGNED)}', 0) AS whole, regexp_extract_all(text, '{_sql_pattern(ASSIGNED)}', 1) AS head, regexp_split_to_array(text, '{_sql_pattern(ASSIGNED)}') AS gaps FROM documents WHERE regexp_matches(text, '{_sql_pattern(ASSIGNED)}'))"""
 
 
-@query(f"""WITH before AS (SELECT doc_id, gaps[1] || array_to_string(list_transform(range(2, k + 1), lambda i: whole[i - 1] || gaps[i]), '') AS b FROM ({_GAPS_SQL}))
+@query(f"""WITH before AS (SELECT doc_id, gaps[1] || array_to_string(list_transform(range(2, k + 1), lambda i: whole[i - 1] || gaps[i]), '') || head[k] AS b FROM ({_GAPS_SQL}))
 SELECT doc_id, 1 + strlen(b) - strlen(replace(b, chr(10), '')) AS line, strlen(split_part(b, chr(10), -1)) + 1 AS column FROM before""")
 def finding_location(spark, sf_dir):
-    """Line and column of every match."""
-    pattern = F.lit(_pattern(ASSIGNED))
-    docs = _table(spark, sf_dir, "documents").where(F.regexp_like("text", pattern))
-    parts = docs.select("doc_id", F.split("text", pattern, -1).alias("gaps"), F.regexp_extract_all("text", pattern, F.lit(0)).alias("whole"))
-
-    def past(at: Column, part: Column) -> list[Column]:
-        """Line and column behind a part of the text that starts at ``at``."""
-        on = findings.line(part).cast("long") - 1
-        behind = findings.column(part).cast("long")
-        return [(at["line"] + on).alias("line"), F.when(on > 0, behind).otherwise(at["column"] + behind - 1).alias("column")]
-
-    def step(acc: Column, i: Column) -> Column:
-        start = F.struct(*past(acc["at"], F.get("gaps", i)))
-        return F.struct(F.struct(*past(start, F.get("whole", i))).alias("at"), F.concat(acc["out"], F.array(start)).alias("out"))
-
-    kind = "struct<line:bigint,column:bigint>"
-    first = F.struct(F.struct(F.lit(1).cast("long").alias("line"), F.lit(1).cast("long").alias("column")).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
-    places = F.aggregate(F.sequence(F.lit(0), F.size("whole") - 1), first, step, lambda acc: acc["out"])
-    return parts.select("doc_id", F.inline(places))
+    """Line and column of every match's secret."""
+    return matches(_table(spark, sf_dir, "documents"), (_rule(ASSIGNED),)).select("doc_id", "line", "column")
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of derived tokens and of assigned secrets."""
     docs = _table(spark, sf_dir, "documents")
     tokens = detect_prefix_tokens(spark, sf_dir).withColumn("detector_id", F.lit("github-token")).withColumn("severity", F.lit("critical"))
-    assigned = _matches(docs, ASSIGNED).withColumn("detector_id", F.lit(registry_generic())).withColumn("severity", F.lit("medium"))
+    assigned = _matches(docs, ASSIGNED).withColumn("detector_id", F.lit(ASSIGNED)).withColumn("severity", F.lit("medium"))
     rows = tokens.unionByName(assigned).withColumn("file", F.concat(F.lit("documents/"), (F.col("doc_id") % 50).cast("string"))).withColumn("commit", F.lit(""))
     return rows.withColumn("fingerprint", findings.fingerprint(F.col("detector_id"), F.col("secret"), F.col("file"), F.col("commit")))
 
 
-def registry_generic() -> str:
-    from ..operators.detect import GENERIC
-
-    return GENERIC
-
-
 _FOUND_SQL = f"""found AS (
   SELECT *, sha256(detector_id || chr(0) || secret || chr(0) || file || chr(0) || "commit") AS fingerprint FROM (
     SELECT doc_id, secret, 'github-token' AS detector_id, 'critical' AS severity, 'documents/' || (doc_id % 50) AS file, '' AS "commit" FROM ({_TOKEN_SQL})
@@ -193,13 +170,20 @@ def redacted(spark, sf_dir):
 CASES = ("${DB_PASSWORD}", "$DB_PASSWORD", "{{ vault_token }}", "$(get-secret)", "%API_KEY%", "!API_KEY!", "os.getenv('TOKEN')", "process.env.SECRET", "vault://kv/app", "ENC[AES256,abc]", "config.api_key", "settings.secret_token", "API_KEY", "my_secret", "mySecretValue", "other.api_key", "A1b2C3d4E5f6G7h8", "xxxxxxxxxxxx", "00000000", "short", "[^a-z]secret", "(?:token)abcd", "ref+vault://x/y", "$[secret]", "secret_aaaaaaaaaaaaaaaaaaaaaaaaa")
 
 
+#: What the filters are asked about in the texts: words with a sign of a reference.
+_WORDS = r"[A-Za-z0-9_.$%!{}()-]*[_$%!{][A-Za-z0-9_.$%!{}()-]+"
+
+
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, value): such words of all texts, and for each document one of ``CASES`` or a hash."""
+    docs = _table(spark, sf_dir, "documents")
     own = F.element_at(F.array(*map(F.lit, CASES)), (F.col("doc_id") % len(CASES) + 1).cast("int"))
-    return _table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, _id()).otherwise(own).alias("value"))
+    planted = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, _id()).otherwise(own).alias("value"))
+    return planted.unionByName(docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_WORDS), F.lit(0))).alias("value")))
 
 
 _LIST = ", ".join("'" + c.replace("'", "''") + "'" for c in CASES)
-_CASES_SQL = f"cases AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN md5(doc_id::VARCHAR) ELSE list_extract([{_LIST}], (doc_id % {len(CASES)} + 1)::INT) END AS value FROM documents)"
+_CASES_SQL = f"cases AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN md5(doc_id::VARCHAR) ELSE list_extract([{_LIST}], (doc_id % {len(CASES)} + 1)::INT) END AS value FROM documents UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '{_WORDS}', 0)) FROM documents)"
 _NAME = r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*"
 _ACCESS = "|".join(a.replace(".", r"\.") for a in plausible.ACCESSORS)
 _WRAPPED_SQL = rf"^(?:\$\{{[\s\S]*\}}|%\{{[\s\S]*\}}|\{{\{{[\s\S]*\}}\}}|\$\([\s\S]*\)|\$\[[\s\S]*\]|%{_NAME}%|!{_NAME}!|(?i:enc)\[[\s\S]*\]|(?i:(?:ref\+)?vault)://[\s\S]*|\${_NAME}|(?i:{_ACCESS})[\t\n\f\r ]*[.\[(][\s\S]*)$"
@@ -234,33 +218,51 @@ def placeholder_filter(spark, sf_dir):
 
 
 _B64_TEXT = "'blob=' || rtrim(to_base64(encode('token = \"' || md5(doc_id::VARCHAR) || '\"')), '=') || ' ' || text"
-_B64_OK = "length(run) % 4 <> 1 AND length(run) <= 8192 AND NOT (regexp_matches(run, '[-_]') AND regexp_matches(run, '[+/]'))"
+_B64_OK = "length(rtrim(run, '=')) % 4 <> 1 AND length(run) <= 8192 AND NOT (regexp_matches(run, '[-_]') AND regexp_matches(run, '[+/]'))"
 
 
-def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _encoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = F.regexp_replace(F.base64(F.encode(F.concat(F.lit('token = "'), _id(), F.lit('"')), "UTF-8")), r"[\r\n=]", "")
-    texts = _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("blob="), payload, F.lit(" "), "text").alias("text"))
-    rows = _matches(texts, ENCODED).withColumnRenamed("secret", "run")
-    return rows.where((F.length("run") % 4 != 1) & (F.length("run") <= 8192) & ~(F.col("run").rlike("[-_]") & F.col("run").rlike("[+/]")))
-
+    return _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("blob="), payload, F.lit(" "), "text").alias("text"))
 
-_RUNS_SQL = f"runs AS (SELECT doc_id, run FROM (SELECT doc_id, unnest(regexp_extract_all({_B64_TEXT}, '{_sql_pattern(ENCODED)}', 1)) AS run FROM documents) WHERE {_B64_OK})"
 
-
-@query(f"WITH {_RUNS_SQL} SELECT doc_id, run FROM runs")
+@query(f"SELECT doc_id, run FROM (SELECT doc_id, unnest(regexp_extract_all({_B64_TEXT}, '\\b([A-Za-z0-9+/_-]{{20,}}={{0,2}})\\b', 1)) AS run FROM documents) WHERE {_B64_OK}")
 def base64_candidates(spark, sf_dir):
-    return _runs(spark, sf_dir)
+    return encoded_runs(_encoded_texts(spark, sf_dir))
 
 
-@query(f"WITH {_RUNS_SQL} SELECT doc_id, regexp_extract(decode(from_base64(run || repeat('=', (4 - length(run) % 4) % 4))), '{_sql_pattern(ASSIGNED)}', 1) AS secret FROM runs WHERE starts_with(run, 'dG9rZW4gPSAi') AND length(run) = 56")
+@query()
 def base64_decoded_findings(spark, sf_dir):
-    """All matches in the payloads of all runs; payloads under 8 bytes or with a NUL up front are no text. The SQL sees planted runs only."""
-    runs = _runs(spark, sf_dir)
-    padded = F.concat(F.translate("run", "-_", "+/"), F.expr("repeat('=', (4 - length(run) % 4) % 4)"))
-    payloads = runs.select("doc_id", F.try_to_binary(padded, F.lit("base64")).alias("payload"))
-    texts = payloads.where((F.octet_length("payload") >= 8) & ~files.is_binary(F.col("payload")))
-    # a byte is a character: the pattern is ASCII, and a payload needn't be UTF-8
-    return _matches(texts.select("doc_id", F.decode("payload", "ISO-8859-1").alias("text")), ASSIGNED)
+    """What the whole registry finds in the payloads of all base64 runs of all documents, and where. Tested against plain Python."""
+    found = detect(documents_as_sources(_encoded_texts(spark, sf_dir))).where("view = 1")
+    return found.select(F.substring_index("file", "/", -1).cast("long").alias("doc_id"), "detector_id", "secret", "line", "column")
+
+
+def _examples() -> list[tuple[str, str, str]]:
+    """(detector, text, secret): an example of each detector's own shape."""
+    return [(d.id, *example(d)) for d in registry.load()]
+
+
+def _quoted(value: str) -> str:
+    return " || chr(10) || ".join("'" + part.replace("'", "''") + "'" for part in value.split("\n"))
+
+
+def _every_sql() -> str:
+    rows = ", ".join(f"({k}, '{i}', {_quoted(secret)})" for k, (i, _, secret) in enumerate(_examples()))
+    n = len(registry.load())
+    return f"WITH e(k, detector_id, secret) AS (VALUES {rows}) SELECT doc_id, detector_id, secret FROM documents JOIN e ON k IN ((2 * doc_id) % {n}, (2 * doc_id + 1) % {n})"
+
+
+@_registered(_every_sql)
+def detect_every_detector(spark, sf_dir):
+    """Each document twice, with an example of another detector behind it, through the whole registry: those must be found."""
+    own = _examples()
+    table = spark.createDataFrame([(k, i, text, secret) for k, (i, text, secret) in enumerate(own)], "k long, detector_id string, example string, secret string")
+    docs = spread(_table(spark, sf_dir, "documents")).select("doc_id", "text", F.explode(F.array(*((2 * F.col("doc_id") + j) % len(own) for j in (0, 1)))).alias("k"))
+    planted = docs.join(F.broadcast(table), "k").select(F.concat_ws("/", "doc_id", "k").alias("id"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n\n "), "example").alias("text"))
+    parts = F.split("file", "/")
+    found = detect(documents_as_sources(planted, "id")).select(parts[1].cast("long").alias("doc_id"), parts[2].cast("long").alias("k"), "detector_id", "secret")
+    return found.join(F.broadcast(table), ["k", "detector_id", "secret"]).select("doc_id", "detector_id", "secret")
 
 
 @query(f'WITH {_FOUND_SQL} SELECT detector_id, secret, file, min(doc_id) AS start FROM found GROUP BY detector_id, secret, file, "commit"')
@@ -494,11 +496,6 @@ def _registry_sql() -> str:
     return "SELECT * FROM (VALUES " + ", ".join(rows) + ") AS r(detector_id, name, severity, keywords, verifiable)"
 
 
-def _registered(f: Callable[[], str]):
-    """Registers a query whose SQL is made from the table of detectors; without the table it has none."""
-    return query(f() if registry.DEFAULT_TABLE.exists() else None)
-
-
 @_registered(lambda: f"WITH {_catalog_sql()} SELECT status, count(*) AS mappings, count(DISTINCT catalog_id) AS catalog_ids, count(DISTINCT detector_id) AS detectors FROM m GROUP BY status")
 def parity_status_counts(spark, sf_dir):
     return state.parity_counts(registry.mappings(spark))
@@ -544,7 +541,7 @@ PLANTED = (
 
 def _planted_sql(key: str, table: str, body: str) -> str:
     own = " UNION ALL ".join(f"SELECT {key}, '{d}' AS detector_id, {secret.format(h=f'md5({key}::VARCHAR)')} AS secret FROM {table}" for d, secret, _ in PLANTED)
-    return f"SELECT DISTINCT {key}, detector_id, secret FROM ({own} UNION ALL SELECT {key}, 'generic-assigned-secret', unnest(regexp_extract_all({body}, '{_sql_pattern(ASSIGNED)}', 1)) FROM {table})"
+    return f"SELECT DISTINCT {key}, detector_id, secret FROM ({own} UNION ALL SELECT {key}, 'generic-assigned-secret', unnest(regexp_extract_all({body}, '{_sql_pattern(ASSIGNED)}', 2)) FROM {table})"
 
 
 def _scan_planted(spark: SparkSession, sf_dir: str, table: str, key: str, body: str, opened: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
@@ -569,7 +566,7 @@ def registry_scan_pages(spark, sf_dir):
 @query(f"WITH {_FOUND_SQL} SELECT DISTINCT doc_id, detector_id, secret FROM found")
 def registry_scan_tokens(spark, sf_dir):
     """The two detectors of ``_found`` through the whole detect stage, base64 runs included; documents as they are."""
-    own = tuple(d for d in registry.load() if d.id in ("github-token", registry_generic()))
+    own = tuple(d for d in registry.load() if d.id in (TOKEN, ASSIGNED))
     texts = _with(_table(spark, sf_dir, "documents"), " ghp_", _id(97), "abcd ")
     found = detect(documents_as_sources(texts), own)
     return found.select(F.substring_index("file", "/", -1).cast("long").alias("doc_id"), "detector_id", "secret")
