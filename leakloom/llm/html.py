@@ -8,7 +8,7 @@ are kept, without the menus, notices, adverts, forms and comments inside.
 Defined cases: null, empty and text-free pages give an empty text; a page without any scored
 element gives the text of its body; null and repeated ids are kept; an empty table gives no rows;
 other columns are ignored; elements nested deeper than ``MAX_DEPTH`` become siblings, as in browsers, so no text goes;
-a ``<`` that no ``>`` follows is text; numeric references beyond Unicode become U+FFFD. Memory is that of one
+a tag ends at the first ``>`` outside quotes, however long it is, and at the first one at all where a quote is never closed; a ``<`` that no ``>`` follows is text; numeric references beyond Unicode become U+FFFD. Memory is that of one
 page's tree, and time is in proportion to the page, whatever it holds.
 """
 
@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from .common import bound_batches
 
 _OPEN = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([a-zA-Z][^\s/>]*+))")
-_REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
-#: Characters of a tag in which a ``>`` inside quotes isn't its end, and open elements around an element.
-MAX_QUOTED, MAX_DEPTH = 1 << 13, 512
+_SIGN = re.compile("[>\"']")
+#: Open elements around an element.
+MAX_DEPTH = 512
 _NUMBER = re.compile(r"&#(?:0*+([0-9]*+)|[xX]0*+([0-9a-fA-F]*+));?")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
@@ -73,10 +73,32 @@ def decoded(text: str) -> str:
     return unescape(_NUMBER.sub(short, text) if "&#" in text else text)
 
 
+def tag_end(html: str, at: int, dead: set[int]) -> int:
+    """The place of the first ``>`` outside quotes from ``at`` on, or -1.
+
+    ``dead`` keeps the quotes that searches without an end opened; a later search that comes to one of them
+    has no end either. At a place a search is outside quotes or inside one of two kinds, so a page is searched three times at most.
+    """
+    opened = []
+    while (m := _SIGN.search(html, at)) is not None:
+        if m[0] == ">":
+            return m.start()
+        if m.start() in dead:
+            break
+        opened.append(m.start())
+        close = html.find(m[0], m.end())
+        if close < 0:
+            break
+        at = close + 1
+    dead.update(opened)
+    return -1
+
+
 def parse(html: str) -> Node:
     """The page's tree; text nodes are strings with character references decoded."""
     root = Node("html", "", None)
     at, node, end, lower = 0, root, len(html), None
+    dead: set[int] = set()
 
     def text(s: str) -> None:
         if s:
@@ -106,8 +128,9 @@ def parse(html: str) -> Node:
                 text(html[at : found if found >= 0 else end])
             at = end if found < 0 else found + len(stop)
             continue
-        rest = _REST.match(html, at, min(end, at + MAX_QUOTED))
-        close_at = rest.end() - 1 if rest else html.find(">", at)
+        close_at = tag_end(html, at, dead)
+        if close_at < 0:
+            close_at = html.find(">", at)
         if close_at < 0:
             text(html[m.start() :])
             break

@@ -258,10 +258,9 @@ def _candidates(nodes: DataFrame, queries: DataFrame) -> DataFrame:
 def search(vectors: DataFrame, is_query: Column | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest found of each query; by default, ids that 50 divides are queries."""
     is_query = F.col("vec_id") % 50 == 0 if is_query is None else is_query
-    prepared = _prepared(vectors)
-    nodes = checkpointed(_nodes(prepared))
+    nodes = checkpointed(_nodes(_prepared(vectors)))
     sized = nodes.join(nodes.groupBy("dim").agg(F.count("*").alias("n")), "dim")
-    asking = prepared.where(is_query & F.col("vec_id").isNotNull()).select("vec_id", "dim", "key")
+    asking = _prepared(vectors.where(is_query & F.col("vec_id").isNotNull())).select("vec_id", "dim", "key")
     queries = sized.join(asking.select("dim", "key").distinct(), ["dim", "key"], "left_semi")
     # A pair is met once for each table that finds it.
     met = _candidates(sized, queries).groupBy("dim", "key", "node").agg(F.max("score").alias("score"))

@@ -2,7 +2,7 @@
 
 Sequential covering on the driver, over the statistics of a bounded sample of labelled documents
 (``max_rows`` whose id has the smallest hash; numbers only, no texts): a rule grows by the threshold
-with the best information gain, is pruned on rows that it wasn't grown on, and joins the list while
+with the best information gain until it covers no clean row, is pruned on rows that it wasn't grown on, and joins the list while
 it is precise enough; then the rows it covers go. The list becomes one Spark CASE expression, read
 from the top, that keeps what no rule rejects. Statistics, rules and verdicts are SQL functions.
 
@@ -138,7 +138,7 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
     """Add the term with the best information gain until no clean row is covered."""
     terms: list[tuple[str, str, float]] = []
     inside = np.ones(len(bad), bool)
-    while len(terms) < 4 and (~bad[inside]).any() and bad[inside].any():
+    while (~bad[inside]).any() and bad[inside].any():
         p0, n0 = bad[inside].sum(), inside.sum()
         best = (0.0, None)
         for name, values in x.items():

@@ -1,7 +1,8 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Training is on the driver, over a bounded sample of labelled documents: at most ``max_per_class``
-of each class, and whole documents of ``max_bytes`` in all of each, those whose id has the smallest hash. Words and word beginnings that a share of the
+of each class, those whose id has the smallest hash, and of these whole documents of ``max_bytes`` in all of each: one that
+doesn't fit any more is skipped and the next is looked at. Words and word beginnings that a share of the
 toxic documents has and (almost) no clean one label the tokens; the field (clean and toxic states,
 transitions, one weight for each such feature) is fitted to windows of labelled tokens by gradient
 ascent. Forward-backward marginals of a whole document give its offending spans, and their maximum
@@ -12,13 +13,14 @@ marginals at the others are exact, and a text costs one dictionary look-up per t
 
 Defined cases: null, empty and word-free texts get the score of a text without any feature; null
 labels are skipped, of a document's labels the largest counts; without labels of both classes every
-score is some 2e-9; null and repeated ids are kept, each row is scored by itself; an empty table gives no
+score is some 2e-9, and a warning says so where a class has labelled texts but none of ``max_bytes`` or less; null and repeated ids are kept, each row is scored by itself; an empty table gives no
 rows; other columns (and labels, language, source and id) are never inputs of a score.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,10 +28,10 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, text_of
+from .common import bound_batches, checkpointed, text_of
 
 _WORD = re.compile(r"[^\W_]+")
 #: Labelled documents of each class that training takes at most.
@@ -265,11 +267,19 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, max_per_class: i
     picked = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class) for c in (0, 1)]
     sample = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * max_per_class rows at most
     texts = docs.select("doc_id", text_of().alias("text")).join(sample, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
-    # 2 * max_per_class rows at most
-    before = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    held = texts.withColumn("__bytes", F.sum(F.octet_length("text")).over(before)).where(F.col("__bytes") <= max_bytes)
+    # 2 * max_per_class rows at most, read twice: their sizes first, then the texts that fit.
+    texts = checkpointed(texts.where(F.octet_length("text") <= max_bytes))
+    left, fits = {0: max_bytes, 1: max_bytes}, []
+    for doc_id, toxic, size in texts.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "toxic", F.octet_length("text")).collect():
+        if size <= left.get(toxic, -1):
+            left[toxic] -= size
+            fits.append((doc_id,))
+    held = texts.join(F.broadcast(docs.sparkSession.createDataFrame(fits, texts.select("doc_id").schema)), "doc_id")
     rows = held.select("doc_id", "toxic", "text").orderBy("doc_id").collect()
     by = {c: [r["text"] for r in rows if r["toxic"] == c] for c in (0, 1)}
+    for c in (0, 1):
+        if counts.get(c) and not by[c]:
+            warnings.warn(f"toxicity: none of the {counts[c]} documents labelled {c} can be learnt from: not there, or above {max_bytes} bytes", stacklevel=2)
     return fit(by[1], by[0], tuple(counts.get(c, 0) / max(len(by[c]), 1) for c in (1, 0)))
 
 

@@ -4,7 +4,7 @@ A record is one or more rows (record_no, chunk_no, data, payload_digest, last):
 record's header with the HTTP header of its block, the others hold up to ``CHUNK`` bytes of the
 payload. Each row carries the digest of the payload up to its own end, made incrementally, so a
 reader checks every chunk as it streams and never holds a whole record. The rows of a record
-joined, in order, and CR LF CR LF are its WARC/1.1 bytes (``record_bytes``, ``iter_records``).
+joined, in order, and CR LF CR LF are its WARC/1.1 bytes (``write_file``, ``iter_records``).
 
 Of records with equal payloads that with the smallest page id is the response; the others are
 revisit records that name it and carry no payload. Only a key and a minimum cross the grouping, so

@@ -192,6 +192,8 @@ def test_html(spark):
         ("&#" + "9" * 5000 + ";", "\ufffd"),
         ("&#" + "0" * 5000 + "65;&#x" + "0" * 5000 + "42;&#0000067;&#x44", "ABCD"),
         ("&#x110000;&#x10FFFE;&#;&#x;&# 1 < 2 <", None),
+        ("<p '>\"" * 50_000, None),
+        ("<p \"><p '>" * 40_000 + '"', None),
         ('<p title="a>b">one</p><img alt=">', "one"),
     ],
 )
@@ -216,6 +218,47 @@ def test_html_keeps_articles_whole(spark):
         assert r["text"].split() == article.split()
 
 
+def test_html_blocks_of_all_pages(spark):
+    """Block by block, against another reading of the article: its block elements' texts."""
+    import html as h
+
+    edge = re.compile(r"</?(?:p|h[1-6]|ul|ol|li|dl|dt|dd|div|section|blockquote|pre|table|tbody|thead|tr|td|th|figure|figcaption|header|footer|article|hr)\b[^>]*>|<br\b[^>]*>", re.I)
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url", "html")
+    found = html.extract(pages).join(pages.select("page_id", "html"), "page_id").collect()
+    assert len(found) == 2500
+    for r in found:
+        article = re.search("<article>(.*?)</article>", r["html"], re.S)[1]
+        blocks = [" ".join(h.unescape(re.sub("<[^>]*>", "", b)).split()) for b in edge.split(article)]
+        assert r["text"].split("\n\n") == [b for b in blocks if b]
+
+
+@pytest.mark.parametrize("size", [10, 7000, 9000, 200_000])
+def test_html_tags_end_outside_quotes_whatever_their_length(size):
+    picture = "<svg><text>" + "x" * size + "</text></svg>"
+    page = f"<article><p>One, two, three, a paragraph of some length.<img alt='\"' src=\"data:image/svg+xml,{picture}\"> More.</p><p title='{picture}'>Last one, really.</p></article>"
+    assert html.main_text(page) == "One, two, three, a paragraph of some length. More.\n\nLast one, really."
+
+
+def test_html_ends_of_tags():
+    def plain(page, at):
+        inside = ""
+        for k in range(at, len(page)):
+            if inside:
+                inside = "" if page[k] == inside else inside
+            elif page[k] in "\"'":
+                inside = page[k]
+            elif page[k] == ">":
+                return k
+        return -1
+
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        page = "".join(rng.choice(list("<a>\"' "), 40, p=[0.2, 0.3, 0.05, 0.2, 0.2, 0.05]))
+        dead = set()
+        for at in range(len(page)):
+            assert html.tag_end(page, at, dead) == plain(page, at)
+
+
 def test_html_keeps_lists_of_links():
     text = "<p>One, two, three, and a paragraph that is long enough to be the article of this page.</p>" * 3
     links = "<ol><li><a href=/a>First source</a><li><a href=/b>Second</a></ol><table><tr><td><a href=/c>Name</a></table>"
@@ -246,6 +289,33 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.train(texts, marks, F.lit(False), max_bytes=0).weights == {} and few.weights != again.weights
 
 
+def test_toxicity_skips_texts_that_do_not_fit(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join([*rng.choice(WORDS[:14], 20), *(["idiot"] if i < 60 else [])]), int(i < 60)) for i in range(260)]
+    # The toxic text that comes first by the hash of its id is the oversized one.
+    ids = spark.range(60).orderBy(F.xxhash64("id")).collect()
+    first = ids[0][0]
+    rows[first] = (first, "idiot " + "word " * 20_000, 1)
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    fitted = toxicity.train(docs, labels, F.lit(False), max_bytes=90_000)
+    assert fitted.weights == toxicity.fit([t for i, t, y in rows if y and i != first], [t for _, t, y in rows if not y], (60 / 59, 1.0)).weights
+    assert toxicity.Scorer(fitted)("you idiot there")[0] > 0.9 > 0.1 > toxicity.Scorer(fitted)("you there")[0]
+    with pytest.warns(UserWarning, match="labelled 1"):
+        assert toxicity.train(docs, labels.where("toxic = 0 OR doc_id = " + str(first)), F.lit(False), max_bytes=90_000).weights == {}
+
+
+def test_toxicity_of_held_out_labels(spark):
+    """Scores of every text against the marginals' plain forms, and how often the held-out label is met, at sf0.01."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    fitted = toxicity.train(docs, labels, F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
+    scores = {r["doc_id"]: (r["score"], r["predicted"]) for r in toxicity.score(docs, fitted).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    scorer = toxicity.Scorer(fitted)
+    assert all(scorer(texts[i])[0] == s and p == (s >= 0.3) for i, (s, p) in scores.items())
+    held = [(scores[r["doc_id"]][1], r["toxic"]) for r in labels.where("toxic IS NOT NULL").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    assert len(held) > 50 and sum(a == b for a, b in held) >= 0.9 * len(held)
+
+
 def test_toxicity_windows_reach_the_end_of_a_text():
     text = " ".join(["bad", *["word"] * 20] * 80)
     for label in (0, 1):
@@ -290,10 +360,37 @@ def test_quality(spark, docs, empty):
     rules = quality.learn_list(x, bad)
     assert len(rules) == 1 and rules[0].terms[0][:2] == ("symbol_ratio", ">") and abs(rules[0].terms[0][2] - 0.8) < 0.01
     assert quality.learn_list(x, np.arange(600) % 2 == 0) == []
+    # Bad is what five terms together say; fewer always leave clean rows.
+    rng = np.random.default_rng(3)
+    five = {k: rng.random(60_000) for k in quality.RATIOS}
+    bad = np.all([five[k] > 0.5 for k in quality.RATIOS[:5]], 0)
+    rules = quality.learn_list(five, bad)
+    assert len(rules[0].terms) >= 5 and all(any(t[0] == k and t[1] == ">" for t in rules[0].terms) for k in quality.RATIOS[:5])
     judged = quality.assess(spark.createDataFrame([(1, "w# " * 3 + "a b c d e f g h i j"), (2, "a b c d e f g h i j k")], "doc_id long, text string"), [quality.Rule((("symbol_ratio", ">", 0.1),))])
     assert {r["row"]["doc_id"]: r["kept"] for r in judged.collect()} == {1: False, 2: True}
 
 
+def test_quality_of_labelled_documents(spark):
+    """The rules learnt from labels of both classes, and every verdict, against plain Python."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(400):
+        words = [str(w) for w in rng.choice(WORDS, 30)] + [f"w{i}x{j}" for j in range(10)]
+        poor = i % 4 == 0
+        rows.append((i, " ".join(w + "#%" * poor for w in words), 0 if poor else 1))
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    learnt = quality.train(docs, labels)
+    assert learnt and all(t[0] in quality.RATIOS for rule in learnt for t in rule.terms)
+    kept = {r["row"]["doc_id"]: r["kept"] for r in quality.assess(docs, learnt).collect()}
+    for i, text, q in rows:
+        n, chars, symbols, dup, repeat = statistics(text)
+        upper, digits = sum(c.isupper() for c in text), sum(c.isdigit() for c in text)
+        x = {"n_words": n, "word_length": chars / n, "symbol_ratio": symbols / chars, "dup_line_ratio": dup, "repeat_ratio": repeat / n, "upper_ratio": upper / chars, "digit_ratio": digits / chars, "mark_ratio": None}
+        hit = any(all(x[name] <= t if op == "<=" else x[name] > t for name, op, t in rule.terms) for rule in learnt if all(x[name] is not None for name, *_ in rule.terms))
+        assert kept[i] == (not hit and n >= 10 and 100 * repeat <= 20 * n)
+    assert sum(kept[i] == bool(q) for i, _, q in rows) > 390
+
+
 def _entropy(text):
     return -sum(n / len(text) * math.log2(n / len(text)) for n in Counter(text).values())
 
