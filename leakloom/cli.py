@@ -51,7 +51,7 @@ def parser() -> argparse.ArgumentParser:
     add("--baseline")
     add("--write-baseline")
     add("--format", default="human", choices=sinks.FORMATS)
-    add("--output")
+    add("--output", nargs="?", const="", help="file of the findings; without a name, findings with the format's ending")
     add("--flush-findings", type=int, default=25, help="findings after which a JSON lines output is made durable")
     add("--resume-output", default="append", choices=("append", "overwrite", "new"))
     add("--summary", help="file for the summary")
@@ -152,6 +152,8 @@ def run(args: argparse.Namespace, clones: str, spark: SparkSession | None, trans
         raise SystemExit("--resume and --retry-failed exclude each other")
     if args.repo_list and (args.orgs or args.enterprise or args.accessible):
         raise SystemExit("--repo-list and discovery exclude each other")
+    if args.output == "":
+        args.output = sinks.default_path(args.format)
     if args.output and args.resume_output == "append" and (args.resume or args.retry_failed) and args.format != "jsonl":
         raise SystemExit("only --format jsonl can be appended to; choose --resume-output overwrite or new")
     detectors = registry.load(args.registry) + (registry.load_custom(args.detectors) if args.detectors else ())
@@ -166,6 +168,8 @@ def run(args: argparse.Namespace, clones: str, spark: SparkSession | None, trans
     found_targets, discovery, tokens = discover(args, spark, transport)
     listed = [r[0] for r in files.read_targets(spark, args.repo_list).toLocalIterator()] if args.repo_list else []
     targets = list(dict.fromkeys([*args.target, *listed, *found_targets])) or ["."]
+    if not args.clones and any(map(hosting.is_remote, targets)) and not spark.sparkContext.master.startswith("local"):
+        raise SystemExit("on a cluster --clones must name a folder that the driver and all executors share")
     if args.summary_only:
         text = json.dumps(sinks.summary({}, discovery, known=targets), indent=2)
         sinks.write_private(args.summary, text + "\n") if args.summary else print(text)

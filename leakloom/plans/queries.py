@@ -588,23 +588,27 @@ def archive_entries(spark, sf_dir):
     return archives.opened(archives.zipped(lines)).select("file", F.octet_length("content").cast("long").alias("bytes"))
 
 
-@query("SELECT DISTINCT 'c' || l_orderkey AS \"commit\", 'dir/' || l_partkey || chr(10) || 'x' AS path FROM lineitem")
+@query("SELECT DISTINCT 'c' || l_orderkey AS \"commit\", 'dir/' || l_partkey || chr(10) || 'x' AS path, md5(l_partkey::VARCHAR) AS oid FROM lineitem WHERE l_partkey % 11 <> 0")
 def history_records(spark, sf_dir):
-    """The changes of commits, written as a log's records, and parsed again; paths hold line breaks."""
+    """The changes of commits, written as a raw log's records, and parsed again; paths hold line breaks, some are renamed from others, some are links."""
     import pyarrow as pa
 
     from ..sources import git
 
-    path = F.concat(F.lit("dir/"), F.col("l_partkey").cast("string"), F.lit("\nx"))
-    logs = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set(path)).alias("paths"))
-    record = F.concat(F.lit("commit:c"), F.col("l_orderkey").cast("string"), F.lit("\x00\n"), F.array_join("paths", "\x00"), F.lit("\x00"))
+    key = F.col("l_partkey").cast("string")
+    path = F.concat(F.lit("dir/"), key, F.lit("\nx"))
+    mode = F.when(F.col("l_partkey") % 11 == 0, "120000").otherwise("100644")
+    how = F.when(F.col("l_partkey") % 5 == 0, F.concat(F.lit("R090\x00old "), path)).otherwise(F.lit("A"))
+    change = F.concat(F.lit(":000000 "), mode, F.lit(" 0000000 "), F.md5(key), F.lit(" "), how, F.lit("\x00"), path, F.lit("\x00"))
+    logs = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set(change)).alias("changes"))
+    record = F.concat(F.lit("commit:c"), F.col("l_orderkey").cast("string"), F.lit("\x00\n"), F.array_join("changes", ""))
 
     def parsed(batches):
         for batch in batches:
-            rows = [r for log in batch.column(0).to_pylist() for r in git.parse(git.records(log.encode()))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["commit", "path"])
+            rows = [r for log in batch.column(0).to_pylist() for r in git.parse_raw(git.records(log.encode()))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], ["commit", "path", "oid"])
 
-    return logs.select(record.alias("log")).mapInArrow(parsed, "commit string, path string")
+    return logs.select(record.alias("log")).mapInArrow(parsed, "commit string, path string, oid string")
 
 
 @query("""SELECT 'https://github.com/' || source || '/r' || doc_id AS target, source AS owner FROM documents""")

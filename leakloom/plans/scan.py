@@ -10,7 +10,7 @@ from ..functions import findings
 from ..operators.detect import detect, verify
 from ..operators.registry import Detector
 from ..operators.state import without_baseline
-from ..sources import archives, files, git
+from ..sources import archives, files, git, tables
 
 
 def of_sources(sources: DataFrame, detectors: tuple[Detector, ...] | None = None, baseline: DataFrame | None = None, limits: archives.Limits | None = None, verifiers: dict | None = None) -> DataFrame:
@@ -31,8 +31,9 @@ def of_history(spark: SparkSession, repo: str, detectors: tuple[Detector, ...] |
     """Findings of every distinct object, at every (commit, path) that has it."""
     from pyspark.sql import functions as F
 
-    places = git.places(spark, repo)
-    places = places.where(files.allowed(F.col("path"), list(include), list(exclude), bool(limits)))
+    allowed = files.allowed(F.col("path"), list(include), list(exclude), bool(limits))
+    # Used twice, for the objects and for where they are, so it is written once.
+    places = tables.written(git.places(spark, repo).where(allowed), "places")
     rows = git.objects(spark, repo, places, max_file)
     sources = rows.select(F.concat("oid", F.lit("/"), "file").alias("file"), "commit", "content")
     found = detect(archives.opened(sources, limits) if limits else sources, detectors).drop("view", "start")

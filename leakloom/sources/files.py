@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +57,20 @@ def allowed(path: Column, include: list[str] = (), exclude: list[str] = (), arch
     return out & matches(path, include) if any(g.strip() for g in include) else out
 
 
+def path_filter(include: list[str] = (), exclude: list[str] = (), archives: bool = False) -> Callable[[str], bool]:
+    """``allowed`` for single paths."""
+
+    def any_of(globs: list[str]) -> re.Pattern[str] | None:
+        own = [p for g in globs if g.strip() and (p := glob_pattern(g.strip())) is not None]
+        return re.compile(f"(?s:{'|'.join(own)})") if own else None
+
+    def hit(pattern: re.Pattern[str] | None, path: str) -> bool:
+        return pattern is not None and bool(pattern.fullmatch(path) or pattern.fullmatch(path.rsplit("/", 1)[-1]))
+
+    out, only, all_in = any_of([*BINARY, *(() if archives else PACKED), *exclude]), any_of(list(include)), not any(g.strip() for g in include)
+    return lambda path: not hit(out, path) and (all_in or hit(only, path))
+
+
 def is_binary(content: Column) -> Column:
     """A NUL byte in the first 8000 bytes."""
     return F.instr(F.decode(F.substring(content, 1, SNIFF), "ISO-8859-1"), "\x00") > 0

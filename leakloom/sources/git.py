@@ -1,7 +1,8 @@
 """Git history: the changed files of all commits, and their objects, read once each.
 
-The driver streams the log (commits, paths and object names, no contents) into a table; objects are read
-by the executors, one git process a partition, so the clone must be at a path that they share.
+The driver asks for the number of commits alone. Executors take ranges of them, list each range's changes (commits,
+paths and object names, no contents) and later read the objects, one git process at a time, so the clone must be at a path that
+they share.
 """
 
 from __future__ import annotations
@@ -94,19 +95,46 @@ def blobs(repo: str, oids: Iterable[str], max_bytes: int) -> Iterator[tuple[str,
         p.stdin.close()
 
 
-def places(spark: SparkSession, repo: str, together: int = 200_000) -> DataFrame:
-    """(commit, path, oid) of a local clone; the driver runs the log and holds some rows of it at a time."""
-    schema, out, rows = "commit string, path string, oid string", None, []
+def commit_count(repo: str) -> int:
+    """How many commits all references reach."""
+    done = subprocess.run(["git", "-C", repo, "rev-list", "--all", "--count"], capture_output=True, text=True)
+    if done.returncode:
+        raise RuntimeError(f"git rev-list of {repo} failed: {done.stderr.strip()}")
+    return int(done.stdout)
 
-    def spread() -> DataFrame:
-        part = spark.createDataFrame(rows, schema)
-        return part if out is None else out.unionByName(part)
 
-    for commit, path, oid in changes(repo):
-        rows.append((commit, path.encode("utf-8", "surrogateescape").decode("utf-8", "replace"), oid))
-        if len(rows) >= together:
-            out, rows = spread(), []
-    return spread().dropDuplicates(["commit", "path"])
+def changes_of(repo: str, first: int, many: int) -> Iterator[tuple[str, str, str]]:
+    """(commit, path, oid), as ``changes`` has them, of some commits: ``many`` from the ``first`` on in the order of the list."""
+    commits = ["git", "-C", repo, "rev-list", "--all", f"--skip={first}", f"--max-count={many}"]
+    diffs = ["git", "-C", repo, "diff-tree", "--stdin", "--root", "-r", "-M", "--diff-filter=AMR", "--raw", "--no-abbrev", "-z", "--format=commit:%H"]
+    with subprocess.Popen(commits, stdout=subprocess.PIPE) as listed, subprocess.Popen(diffs, stdin=listed.stdout, stdout=subprocess.PIPE, stderr=subprocess.PIPE) as p:
+        listed.stdout.close()
+        yield from parse_raw(x.decode("utf-8", "surrogateescape") for x in _records(p.stdout))
+        p.stdout.close()
+        message = p.stderr.read()
+        if p.wait() or listed.wait():
+            raise RuntimeError(f"git diff-tree of {repo} failed: {message.decode('utf-8', 'replace').strip()}")
+
+
+def places(spark: SparkSession, repo: str, together: int = 2000) -> DataFrame:
+    """(commit, path, oid) of a local clone, each (commit, path) once; a task lists the changes of ``together`` commits."""
+    n = commit_count(repo)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in batch.column(0).to_pylist():
+                rows: list[tuple[str, str, str]] = []
+                # A commit is in one range only, and has a path once.
+                for commit, path, oid in changes_of(repo, first, together):
+                    rows.append((commit, path.encode("utf-8", "surrogateescape").decode("utf-8", "replace"), oid))
+                    if len(rows) >= 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["commit", "path", "oid"])
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["commit", "path", "oid"])
+
+    ranges = spark.range(0, n, together, max(1, -(-n // together)))
+    return ranges.mapInArrow(run, "commit string, path string, oid string")
 
 
 def objects(spark: SparkSession, repo: str, where: DataFrame, max_bytes: int = 25 << 20) -> DataFrame:

@@ -17,14 +17,16 @@ def read_files(spark: SparkSession, folder: str, schema: str = "path string, mod
 
 
 def scan(sources: DataFrame, path: str, checkpoint: str, baseline: DataFrame | None = None, raw: bool = False, available_now: bool = True) -> StreamingQuery:
-    """Append findings as JSON lines; the checkpoint makes a restarted scan go on where it was.
+    """Append new findings as JSON lines; the checkpoint makes a restarted scan go on where it was.
 
-    The stage is narrow, so it runs as it is on a stream; a batch gives each finding once, and a
-    fingerprint that a later batch repeats is another row (its file was read again).
+    Fingerprints that were given are kept in the query's keyed state, by its own shuffle partitions, so a batch, or a restarted
+    query, gives only what no batch before had. The state grows with the distinct findings, some
+    hundred bytes each; with the RocksDB state store it needn't fit in memory. Findings of the baseline never enter it.
     """
     from ..sources.sinks import shown
 
     found = detect(sources)
-    out = shown(found if baseline is None else without_baseline(found, baseline), raw)
+    new = (found if baseline is None else without_baseline(found, baseline)).dropDuplicates(["fingerprint"])
+    out = shown(new, raw)
     writer = out.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()
