@@ -48,6 +48,7 @@ def parser() -> argparse.ArgumentParser:
     add("--detectors", help="JSON file of custom detectors")
     add("--registry", help="table of detector specifications")
     add("--verify", action="store_true", help="ask the providers whether secrets are live")
+    add("--verify-store", help="folder where live secrets are kept under a hash, so that later runs needn't ask again")
     add("--baseline")
     add("--write-baseline")
     add("--format", default="human", choices=sinks.FORMATS)
@@ -244,7 +245,7 @@ def run(args: argparse.Namespace, clones: str, spark: SparkSession | None, trans
                 if args.verify:
                     from .operators.detect import verify
 
-                    new = verify(new, verifiers(detectors)).cache()
+                    new = verify(new, verifiers(detectors), args.verify_store).cache()
                 after += new.count() if baseline is not None else count
                 for org in discovery.get("orgs", ()):
                     org["findings"] += count if org["name"] == hosting.owner(target) else 0

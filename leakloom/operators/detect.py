@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions import findings as shape
 from ..functions import examples, linear, patterns, plausible
+from ..sources import tables
 from .registry import Detector, load
 
 GENERIC = "generic-assigned-secret"
@@ -268,18 +269,36 @@ def verifiers(detectors: tuple[Detector, ...]) -> dict[str, Callable[[str], bool
     return {i: bearer_check(url) for url, ids in VERIFIED_AT.items() for i in ids if i in marked}
 
 
-def verify(found: DataFrame, verifiers: dict) -> DataFrame:
-    """``verified`` by callables per detector id; each distinct (detector, secret) is asked once."""
+def verify(found: DataFrame, verifiers: dict, store: str | None = None, max_age: str = "30 days", lanes: int = 4) -> DataFrame:
+    """``verified`` by callables per detector id; each distinct (detector, secret) is asked once.
+
+    At most ``lanes`` tasks ask for a detector at a time, each one secret after the other. With a ``store``, a folder that runs share,
+    secrets found live are kept there under a hash, and aren't asked for again until ``max_age`` has gone by; others are never kept, so
+    they are asked for again. The questions are then asked at once, before the result is used.
+    """
     if not verifiers:
         return found
-    asked = found.where(F.col("detector_id").isin(*verifiers)).select("detector_id", "secret").distinct()
+    spark, key = found.sparkSession, F.sha2(F.concat_ws("\0", "detector_id", "secret"), 256)
+    asked = found.where(F.col("detector_id").isin(*verifiers)).select("detector_id", "secret").where("secret IS NOT NULL").distinct()
+    kept = None
+    if store is not None:
+        known = "key string, asked_at timestamp"
+        kept = spark.createDataFrame([], known) if not tables.exists(spark, store) else spark.read.schema(known).parquet(store)
+        kept = kept.where(F.col("asked_at") > F.current_timestamp() - F.expr(f"INTERVAL {max_age}")).select(F.col("key").alias("__key")).distinct()
+        asked = tables.written(asked.withColumn("__key", key).join(kept.withColumn("__kept", F.lit(True)), "__key", "left").drop("__key"), "asked")
+    questions = asked.where("__kept IS NULL") if store is not None else asked
+    dealt = questions.select("detector_id", "secret").repartition("detector_id", F.pmod(F.xxhash64("secret"), F.lit(lanes)))
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, secrets = (c.to_pylist() for c in batch.columns)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([bool(verifiers[i](s)) for i, s in zip(ids, secrets)], pa.bool_())], ["detector_id", "secret", "__ok"])
 
-    answers = asked.mapInArrow(ask, "detector_id string, secret string, __ok boolean")
+    answers = dealt.mapInArrow(ask, "detector_id string, secret string, __ok boolean")
+    if store is not None:
+        answers = tables.written(answers, "answers")
+        answers.where("__ok").select(key.alias("key"), F.current_timestamp().alias("asked_at")).write.mode("append").parquet(store)
+        answers = answers.unionByName(asked.where("__kept").select("detector_id", "secret", F.lit(True).alias("__ok")))
     return found.join(answers, ["detector_id", "secret"], "left").withColumn("verified", F.coalesce("__ok", F.lit(False))).drop("__ok").select(found.columns)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def written(rows: DataFrame, name: str) -> DataFrame:
@@ -22,3 +22,9 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at a path, in whatever store it is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)

@@ -6,6 +6,7 @@ import subprocess
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from leakloom.operators import registry
 from leakloom.plans import scan, targets
@@ -137,3 +138,26 @@ def test_output_without_a_name(spark, tmp_path, monkeypatch):
     monkeypatch.chdir(tmp_path)
     assert cli.main(["--target", str(tmp_path / "src"), "--format", "sarif", "--output", "--quiet"], spark) == 0
     assert TOKEN[:4] in (tmp_path / "findings.sarif").read_text()
+
+
+def test_a_secret_is_asked_for_once_over_runs(spark, tmp_path):
+    from leakloom.operators.detect import verify
+
+    log, store = str(tmp_path / "asked"), str(tmp_path / "store")
+
+    def check(secret):
+        with open(log, "a") as f:
+            f.write(secret + "\n")
+        return secret.startswith("live")
+
+    rows = [("d", f"live{k % 5}", k) for k in range(40)] + [("d", "dead", 1), ("e", "live0", 2), ("d", None, 3)]
+    found = spark.createDataFrame(rows, "detector_id string, secret string, n int").withColumn("verified", F.lit(False)).repartition(5)
+    for run_ in range(2):
+        got = {(r["detector_id"], r["secret"], r["n"]): r["verified"] for r in verify(found, {"d": check}, store).collect()}
+        assert len(got) == 43 and all(v == (i == "d" and str(s).startswith("live")) for (i, s, _), v in got.items())
+        asked = sorted(Path(log).read_text().split())
+        # What isn't live is asked for in every run.
+        assert asked == sorted([f"live{k}" for k in range(5)] + ["dead"] * (run_ + 1))
+    verify(found, {"d": check}, store, max_age="0 seconds").collect()
+    assert len(Path(log).read_text().split()) == 7 + 6
+    assert not any("live" in r["key"] for r in spark.read.parquet(store).collect())
