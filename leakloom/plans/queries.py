@@ -491,7 +491,7 @@ def _registry_sql() -> str:
     for line in registry.DEFAULT_TABLE.read_text(encoding="utf-8").splitlines():
         if line.startswith("|") and line[1:2].isdigit():
             cells = line.split("|")[1:-1]
-            words = [w.strip().lower() for w in cells[8].split(",") if w.strip()]
+            words = [w.strip().lower().replace('\\"', '"') for w in cells[8].split(",") if w.strip()]  # the table escapes quotes
             rows.append("('" + "', '".join((cells[1], cells[2].replace("'", "''"), severities[cells[3]])) + f"', [{', '.join("'" + w.replace("'", "''") + "'" for w in words)}], {str('V' in cells[7]).lower()})")
     return "SELECT * FROM (VALUES " + ", ".join(rows) + ") AS r(detector_id, name, severity, keywords, verifiable)"
 
