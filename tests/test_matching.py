@@ -22,7 +22,7 @@ def found(text):
 
 def test_every_detector_finds_an_example_of_its_own_among_all_others():
     assert len(EXAMPLES) == 1098
-    texts = [f"x = 1\n {text} \n" for text, _ in EXAMPLES.values()]
+    texts = [f"x = 1\n {text}\n" for text, _ in EXAMPLES.values()]
     for (i, (_, secret)), got in zip(EXAMPLES.items(), scan_texts(Plan(EVERY), texts)):
         assert secret in {s for d, s, _, _ in got if d.id == i}, i
 
