@@ -265,12 +265,11 @@ def run(args: argparse.Namespace, clones: str, spark: SparkSession | None, trans
     if args.write_baseline:
         sinks.write_baseline(every, args.write_baseline)
     if not writer:
-        lines = sinks.render(every, args.format, {"targets": targets}, args.raw_secrets)
         if written:
-            with open(written, "w", encoding="utf-8") as f:
-                f.writelines(x + "\n" for x in lines)
+            with open(written, "wb") as f:
+                f.writelines(sinks.report(every, args.format, {"targets": targets}, args.raw_secrets))
         else:
-            for x in lines:
+            for x in sinks.render(every, args.format, {"targets": targets}, args.raw_secrets):
                 print(x)
     return 2 if args.fail_on_findings and not every.isEmpty() else 0
 

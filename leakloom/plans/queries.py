@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import findings, plausible
 from ..operators import registry, state
 from ..operators.detect import detect, documents_as_sources, encoded_runs, example, keyword_documents, matches, spread
-from ..sources import archives, files, hosting, sinks
+from ..sources import archives, files, hosting, ranges, sinks, stores, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -478,6 +478,19 @@ def jsonl_report(spark, sf_dir):
     return sinks.json_lines(_reported(spark, sf_dir).withColumn("verified", F.lit(False)))
 
 
+@query(f"""WITH {_FOUND_SQL} SELECT detector_id, upper(detector_id) AS name, severity, file, {_SHOWN_SQL} AS redacted, fingerprint FROM found""")
+def json_report(spark, sf_dir):
+    """A whole report in JSON, joined from the tasks' parts, and read again."""
+    from pyspark.sql.types import ArrayType, StructType
+
+    found = _reported(spark, sf_dir).withColumn("verified", F.lit(False))
+    path = tables.fresh(spark, "json-report")
+    stores.write(path, sinks.report(found, "json"))
+    fields = found.select("detector_id", "name", "severity", "file", "redacted", "fingerprint").schema
+    whole = spark.read.json(path, multiLine=True, schema=StructType().add("findings", ArrayType(fields)))
+    return whole.select(F.explode("findings").alias("f")).select("f.*")
+
+
 def _catalog_sql() -> str:
     rows = [(c, d.id, "partial" if partial else "implemented") for d in registry.load() for c, _, partial in d.catalog]
     rows += [(c, None, "planned") for c in registry.PLANNED]
@@ -579,13 +592,28 @@ def archive_scan(spark, sf_dir):
     return found.select(F.regexp_extract("file", r"^documents/(\d+)\.gz!/\d+$", 1).cast("long").alias("doc_id"), "detector_id", "secret")
 
 
-@query("SELECT 'supplier' || l_suppkey || '.zip!/line/' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '.txt' AS file, strlen(l_returnflag || l_linestatus || l_partkey)::BIGINT AS bytes FROM lineitem WHERE l_linenumber % 7 <> 0")
-def archive_entries(spark, sf_dir):
-    """Zip archives, one a supplier, opened again: virtual paths and sizes; names that leave the archive go."""
+_ENTRIES_SQL = "SELECT 'supplier' || l_suppkey || '.zip!/line/' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '.txt' AS file, strlen(l_returnflag || l_linestatus || l_partkey)::BIGINT AS bytes FROM lineitem WHERE l_linenumber % 7 <> 0"
+
+
+def _zips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zip archives, one a supplier; some names leave the archive."""
     name = F.when(F.col("l_linenumber") % 7 == 0, F.concat(F.lit("../line/"), F.col("l_partkey").cast("string"))).otherwise(F.concat(F.lit("line/"), F.concat_ws("-", "l_orderkey", "l_linenumber"), F.lit("-"), F.col("l_partkey").cast("string"), F.lit(".txt")))
     content = F.concat("l_returnflag", "l_linestatus", F.col("l_partkey").cast("string")).cast("binary")
     lines = _table(spark, sf_dir, "lineitem").select(F.concat(F.lit("supplier"), F.col("l_suppkey").cast("string"), F.lit(".zip")).alias("archive"), name.alias("name"), content.alias("content"))
-    return archives.opened(archives.zipped(lines)).select("file", F.octet_length("content").cast("long").alias("bytes"))
+    return archives.zipped(lines)
+
+
+@query(_ENTRIES_SQL)
+def archive_entries(spark, sf_dir):
+    """The archives opened again: virtual paths and sizes; names that leave the archive go."""
+    return archives.opened(_zips(spark, sf_dir)).select("file", F.octet_length("content").cast("long").alias("bytes"))
+
+
+@query(_ENTRIES_SQL)
+def archive_ranges(spark, sf_dir):
+    """The archives as files, opened where they lie by ranges of their directories, small enough here that an archive has several."""
+    files_of = ranges.write_files(_zips(spark, sf_dir), tables.fresh(spark, "archives"))
+    return ranges.opened(tables.written(files_of, "archive-files"), size=1024).select("file", F.octet_length("content").cast("long").alias("bytes"))
 
 
 @query("SELECT DISTINCT 'c' || l_orderkey AS \"commit\", 'dir/' || l_partkey || chr(10) || 'x' AS path, md5(l_partkey::VARCHAR) AS oid FROM lineitem WHERE l_partkey % 11 <> 0")

@@ -10,7 +10,7 @@ from ..functions import findings
 from ..operators.detect import detect, verify
 from ..operators.registry import Detector
 from ..operators.state import without_baseline
-from ..sources import archives, files, git, tables
+from ..sources import archives, files, git, ranges, tables
 
 
 def of_sources(sources: DataFrame, detectors: tuple[Detector, ...] | None = None, baseline: DataFrame | None = None, limits: archives.Limits | None = None, verifiers: dict | None = None) -> DataFrame:
@@ -23,7 +23,11 @@ def of_sources(sources: DataFrame, detectors: tuple[Detector, ...] | None = None
 
 def of_folder(spark: SparkSession, root: str, detectors: tuple[Detector, ...] | None = None, **options) -> DataFrame:
     own = {k: options.pop(k) for k in ("include", "exclude", "max_file") if k in options}
-    rows = files.read_file(spark, root) if os.path.isfile(root) else files.read_folder(spark, root, archives=bool(options.get("limits")), **own)
+    limits = options.pop("limits", None)
+    if limits:
+        rows = ranges.read_folder(spark, root, limits, **own)
+    else:
+        rows = files.read_file(spark, root) if os.path.isfile(root) else files.read_folder(spark, root, **own)
     return of_sources(rows, detectors, **options)
 
 

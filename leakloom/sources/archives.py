@@ -10,8 +10,9 @@ import struct
 import tarfile
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,8 +49,11 @@ def safe_path(name: str) -> str | None:
     return None if p in (".", "..") or p.startswith("../") else p
 
 
-def _members(data: bytes, how: str, limits: Limits) -> Iterator[tuple[str, bytes]]:
-    """(path, content) of accepted entries; one beyond the bytes ends the archive, as does a damaged one."""
+def members(source: BinaryIO, how: str, limits: Limits, first: int = 0, last: int | None = None) -> Iterator[tuple[str, bytes]]:
+    """(path, content) of accepted entries; one beyond the bytes ends the archive, as does a damaged one.
+
+    ``source`` is read as a stream, or by seeking for a zip, of which places ``first`` to ``last`` of its directory are taken; one entry is held at a time.
+    """
     count = total = 0
 
     def fits(content: bytes) -> bool:
@@ -61,8 +65,8 @@ def _members(data: bytes, how: str, limits: Limits) -> Iterator[tuple[str, bytes
 
     try:
         if how == "zip":
-            with zipfile.ZipFile(io.BytesIO(data)) as z:
-                for info in z.infolist():
+            with zipfile.ZipFile(source) as z:
+                for info in z.infolist()[first:last]:
                     path = safe_path(info.filename)
                     if info.is_dir() or path is None or info.file_size > limits.entry:
                         continue
@@ -77,8 +81,9 @@ def _members(data: bytes, how: str, limits: Limits) -> Iterator[tuple[str, bytes
                         return
                     yield path, content
         else:
-            with tarfile.open(fileobj=io.BytesIO(data), mode="r|gz" if how == "targz" else "r|") as t:
+            with tarfile.open(fileobj=source, mode="r|gz" if how == "targz" else "r|") as t:
                 for info in t:
+                    t.members = []  # a stream of any length keeps no list of what it passed
                     path = safe_path(info.name)
                     if not info.isreg() or path is None or info.size > limits.entry:
                         continue
@@ -91,14 +96,12 @@ def _members(data: bytes, how: str, limits: Limits) -> Iterator[tuple[str, bytes
         return
 
 
-def expand(file: str, content: bytes, limits: Limits = Limits(), depth: int = 0) -> Iterator[tuple[str, bytes]]:
-    """(virtual path, content) of what a file holds; a file that isn't opened is itself."""
-    how = kind(file) if depth <= limits.depth else ""
-    if not how:
-        yield file, content
-    elif how == "gz":
+def expand_from(file: str, source: BinaryIO, limits: Limits = Limits(), depth: int = 0, first: int = 0, last: int | None = None) -> Iterator[tuple[str, bytes]]:
+    """(virtual path, content) of what an archive that is read from ``source`` holds."""
+    how = kind(file)
+    if how == "gz":
         try:
-            with gzip.open(io.BytesIO(content)) as f:
+            with gzip.open(source) as f:
                 inner = f.read(limits.entry + 1)
         except DAMAGED:
             return
@@ -107,30 +110,46 @@ def expand(file: str, content: bytes, limits: Limits = Limits(), depth: int = 0)
         if len(inner) <= limits.entry:
             yield from expand(f"{file}!/{name}", inner, limits, depth + 1)
     else:
-        for path, inner in _members(content, how, limits):
+        for path, inner in members(source, how, limits, first, last):
             yield from expand(f"{file}!/{path}", inner, limits, depth + 1)
 
 
+def expand(file: str, content: bytes, limits: Limits = Limits(), depth: int = 0) -> Iterator[tuple[str, bytes]]:
+    """(virtual path, content) of what a file holds; a file that isn't opened is itself."""
+    if depth <= limits.depth and kind(file):
+        yield from expand_from(file, io.BytesIO(content), limits, depth)
+    else:
+        yield file, content
+
+
+def in_batches(rows: Iterable[tuple[str, str | None, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Rows (file, commit, content) in batches of bounded rows and bytes."""
+    held: list[tuple[str, str | None, bytes]] = []
+    size = 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.string()), pa.array([r[1] for r in held], pa.string()), pa.array([r[2] for r in held], pa.binary())], ["file", "commit", "content"])
+
+    for file, commit, content in rows:
+        held.append((file.encode("utf-8", "replace").decode(), commit, content))
+        size += len(content)
+        if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
 def opened(sources: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """``sources`` (file, commit, content) with archives replaced by their entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[str, str | None, bytes]] = []
-        size = 0
-
-        def batch_of() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.string()), pa.array([r[1] for r in held], pa.string()), pa.array([r[2] for r in held], pa.binary())], ["file", "commit", "content"])
-
-        for batch in batches:
-            for file, commit, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for path, inner in expand(file, content or b"", limits):
-                    held.append((path.encode("utf-8", "replace").decode(), commit, inner))
-                    size += len(inner)
-                    if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
-                        yield batch_of()
-                        held, size = [], 0
-        if held:
-            yield batch_of()
+        return in_batches(
+            (path, commit, inner)
+            for batch in batches
+            for file, commit, content in zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            for path, inner in expand(file, content or b"", limits)
+        )
 
     return sources.select("file", "commit", "content").mapInArrow(run, "file string, commit string, content binary")
 

@@ -81,14 +81,20 @@ def archive_kind(path: Column) -> Column:
     return F.when(p.endswith(".zip"), "zip").when(p.endswith(".tar.gz") | p.endswith(".tgz"), "targz").when(p.endswith(".tar"), "tar").when(p.endswith(".gz"), "gz").otherwise("")
 
 
-def read_folder(spark: SparkSession, root: str, include: list[str] = (), exclude: list[str] = (), max_file: int = MAX_FILE, archives: bool = False) -> DataFrame:
-    """(file, commit, content) of the files below a folder; path and size are filtered before contents are read."""
+def listed(spark: SparkSession, root: str, include: list[str] = (), exclude: list[str] = (), max_file: int = MAX_FILE, archives: bool = False) -> DataFrame:
+    """(path, file, commit, length, content) of the files below a folder; what is filtered by path and size is never read, nor is any content that isn't used."""
     base = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true").load(root)
     prefix = root.split("://", 1)[-1].removeprefix("file:").rstrip("/") + "/"
     rel = F.expr(f"substring(path, instr(path, {_sql(prefix)}) + {len(prefix)})")
     folders = "|".join(map(re.escape, SKIPPED_FOLDERS))
     rows = base.where(F.col("length") <= max_file).withColumn("file", rel)
-    return rows.where(allowed(F.col("file"), list(include), list(exclude), archives) & ~F.col("file").rlike(rf"(?:^|/)(?:{folders})/")).select("file", F.lit("").alias("commit"), "content")
+    rows = rows.where(allowed(F.col("file"), list(include), list(exclude), archives) & ~F.col("file").rlike(rf"(?:^|/)(?:{folders})/"))
+    return rows.select("path", "file", F.lit("").alias("commit"), "length", "content")
+
+
+def read_folder(spark: SparkSession, root: str, include: list[str] = (), exclude: list[str] = (), max_file: int = MAX_FILE, archives: bool = False) -> DataFrame:
+    """(file, commit, content) of the files below a folder."""
+    return listed(spark, root, include, exclude, max_file, archives).select("file", "commit", "content")
 
 
 def read_file(spark: SparkSession, path: str) -> DataFrame:

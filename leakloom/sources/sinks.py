@@ -7,13 +7,14 @@ import os
 import re
 import tempfile
 import time
-from collections.abc import Iterable
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.findings import sarif_level
+from . import stores, tables
 from .hosting import is_remote, owner
 
 FIELDS = ("detector_id", "name", "severity", "file", "commit", "line", "column", "secret", "redacted", "verified", "fingerprint")
@@ -40,41 +41,52 @@ def sarif_results(found: DataFrame) -> DataFrame:
     return found.select(F.col("detector_id").alias("rule_id"), sarif_level(F.col("severity")).alias("level"), F.concat("name", F.lit(" "), "redacted").alias("message"), F.col("file").alias("uri"), F.col("line").alias("start_line"), F.col("column").alias("start_column"), "fingerprint")
 
 
-def _plain(row) -> dict:
-    return {k: v for k, v in row.asDict().items() if k != "commit" or v}
+def _report_lines(found: DataFrame, how: str, raw: bool) -> DataFrame:
+    """A line (``value``) for each finding; in a list of JSON each begins with the comma that parts it from the one before."""
+    if how == "human":
+        return human_lines(found, raw).select(F.replace("value", F.lit("\n"), F.lit("\\n")).alias("value"))
+    if how == "sarif":
+        place = F.struct(F.struct(F.col("uri")).alias("artifactLocation"), F.struct(F.col("start_line").alias("startLine"), F.col("start_column").alias("startColumn")).alias("region"))
+        shape = F.struct(F.col("rule_id").alias("ruleId"), "level", F.struct(F.col("message").alias("text")).alias("message"), F.array(F.struct(place.alias("physicalLocation"))).alias("locations"))
+        return sarif_results(found).select(F.concat(F.lit(","), F.to_json(shape)).alias("value"))
+    text = lambda names: F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+    line = F.when(F.coalesce("commit", F.lit("")) == "", text([f for f in FIELDS if f != "commit"])).otherwise(text(FIELDS))
+    return shown(found, raw).select(F.concat(F.lit("," if how == "json" else ""), line).alias("value"))
 
 
-def render(found: DataFrame, how: str, meta: dict | None = None, raw: bool = False) -> Iterable[str]:
-    """Lines of a report. JSON lines, text and results stream; the driver never holds all findings."""
+def report(found: DataFrame, how: str, meta: dict | None = None, raw: bool = False) -> Iterator[bytes]:
+    """A report in blocks of bytes. Tasks write its lines as numbered parts to the shared folder; the driver copies them in order, a block at a time.
+
+    Findings keep the order of their rows, but in SARIF, whose results are read from a table again.
+    """
     check_format(how)
-    rows = shown(found, raw)
-    if how == "jsonl":
-        yield from (json.dumps(_plain(r)) for r in rows.toLocalIterator())
-    elif how == "human":
-        count = 0
-        for r in rows.toLocalIterator():
-            count += 1
-            yield f"[{r['severity']}] {r['name']} {r['file']}:{r['line']}:{r['column']} {r['secret'] or r['redacted']}"
-        yield f"{count} findings"
-    elif how == "json":
-        yield '{"meta": ' + json.dumps(meta or {}) + ', "findings": ['
-        last = None
-        for r in rows.toLocalIterator():
-            if last is not None:
-                yield last + ","
-            last = json.dumps(_plain(r))
-        yield from ([last] if last is not None else [])
-        yield "]}"
-    else:
-        rules = [{"id": r["detector_id"], "name": r["name"], "shortDescription": {"text": r["name"]}} for r in sarif_rules(rows).orderBy("detector_id").toLocalIterator()]
-        yield '{"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": "leakloom", "rules": ' + json.dumps(rules) + '}}, "results": ['
-        last = None
-        for r in sarif_results(rows).toLocalIterator():
-            if last is not None:
-                yield last + ","
-            last = json.dumps({"ruleId": r["rule_id"], "level": r["level"], "message": {"text": r["message"]}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": r["uri"]}, "region": {"startLine": r["start_line"], "startColumn": r["start_column"]}}}]})
-        yield from ([last] if last is not None else [])
-        yield "]}]}"
+    spark = found.sparkSession
+    head, tail = b"", b""
+    if how == "json":
+        head, tail = f'{{"meta": {json.dumps(meta or {})}, "findings": [\n'.encode(), b"]}\n"
+    elif how == "sarif":
+        # Used twice, for the results and for their rules, so it is written once.
+        found = tables.written(found.select("detector_id", "name", "severity", "file", "line", "column", "redacted", "fingerprint"), "findings")
+        rules = [{"id": r["detector_id"], "name": r["name"], "shortDescription": {"text": r["name"]}} for r in sarif_rules(found).orderBy("detector_id").toLocalIterator()]
+        tool = json.dumps({"driver": {"name": "leakloom", "rules": rules}})
+        head, tail = f'{{"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{{"tool": {tool}, "results": [\n'.encode(), b"]}]}\n"
+    folder = tables.fresh(spark, "report")
+    _report_lines(found, how, raw).write.option("lineSep", "\n").text(folder)
+    yield head
+    count, first = 0, how in ("json", "sarif")
+    for block in stores.blocks(folder):
+        count += block.count(b"\n")
+        yield block[1:] if first else block
+        first = False
+    yield f"{count} findings\n".encode() if how == "human" else tail
+
+
+def render(found: DataFrame, how: str, meta: dict | None = None, raw: bool = False) -> Iterator[str]:
+    """The lines of a report."""
+    rest = b""
+    for block in report(found, how, meta, raw):
+        *lines, rest = (rest + block).split(b"\n")
+        yield from (x.decode() for x in lines)
 
 
 def write_lines(found: DataFrame, path: str, raw: bool = False, mode: str = "overwrite") -> None:
@@ -103,8 +115,8 @@ class LineWriter:
 
     def write(self, found: DataFrame) -> int:
         before = self.count
-        for r in shown(found, self.raw).toLocalIterator():
-            self.file.write(json.dumps(_plain(r)) + "\n")
+        for line in render(found, "jsonl", raw=self.raw):
+            self.file.write(line + "\n")
             self.count += 1
             if self.count % self.every == 0:
                 self.flush()

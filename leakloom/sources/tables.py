@@ -8,20 +8,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def written(rows: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table below ``spark.checkpoint.dir``, whose owner clears it.
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new path below ``spark.checkpoint.dir``, whose owner clears it.
 
     Only where that is unset and Spark runs on this machine alone, as in tests, a temporary folder is used; on a cluster its lack is an error.
     """
-    spark = rows.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="leakloom-tables-")
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table at a ``fresh`` path."""
+    path = fresh(rows.sparkSession, name)
     rows.write.parquet(path)
-    return spark.read.parquet(path)
+    return rows.sparkSession.read.parquet(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
