@@ -17,7 +17,7 @@ from . import __version__
 from .operators import registry, state
 from .operators.detect import verifiers
 from .plans import scan
-from .sources import archives, files, git, hosting, sinks
+from .sources import archives, files, git, hosting, joblog, sinks
 
 
 def parser() -> argparse.ArgumentParser:
@@ -62,6 +62,7 @@ def parser() -> argparse.ArgumentParser:
     add("--quiet", action="store_true")
     add("--no-color", action="store_true")
     add("--state", help="job state file; kept where this, a job id or a resumed job is given")
+    add("--job-log", help="folder where the states of jobs are kept as a log, which several drivers may write at a time")
     add("--job-id")
     add("--resume", help="id of a job: scan what isn't completed")
     add("--retry-failed", help="id of a job: scan what failed")
@@ -176,9 +177,11 @@ def run(args: argparse.Namespace, clones: str, spark: SparkSession | None, trans
         sinks.write_private(args.summary, text + "\n") if args.summary else print(text)
         return 0
     job = args.resume or args.retry_failed or args.job_id or sinks.job_id(sinks.job_scope(targets[0], args.repo_list or "", split(args.orgs), args.enterprise or "", args.accessible), time.time())
-    keeps = bool(args.state or args.job_id or args.resume or args.retry_failed)
+    keeps = bool(args.state or not args.job_log and (args.job_id or args.resume or args.retry_failed))
     state_path = args.state or f".leakloom/{job}.json"
-    jobs = sinks.read_job(state_path, job) if args.resume or args.retry_failed else {}
+    jobs = {}
+    if args.resume or args.retry_failed:
+        jobs = joblog.read(spark, args.job_log, job) if args.job_log else sinks.read_job(state_path, job)
     every_target = list(targets)
     if args.retry_failed:
         targets = [t for t in targets if jobs.get(t, {}).get("status") == "failed"]
@@ -193,7 +196,13 @@ def run(args: argparse.Namespace, clones: str, spark: SparkSession | None, trans
         if args.format == "jsonl":
             writer = sinks.LineWriter(written, args.flush_findings, args.raw_secrets, mode)
 
+    logged: dict[str, tuple] = {}
+
     def save() -> None:
+        if args.job_log:
+            changed = {t: (x["status"], x.get("attempts", 0)) for t, x in jobs.items() if t in targets and (x["status"], x.get("attempts", 0)) != logged.get(t)}
+            joblog.append(args.job_log, job, [(t, s, jobs[t].get("error"), None) for t, (s, _) in changed.items()])
+            logged.update(changed)
         if keeps:
             sinks.write_job(state_path, job, jobs)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import findings, plausible
 from ..operators import registry, state
 from ..operators.detect import detect, documents_as_sources, encoded_runs, example, keyword_documents, matches, spread
-from ..sources import archives, files, hosting, ranges, sinks, stores, tables
+from ..sources import archives, files, hosting, joblog, ranges, sinks, stores, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -347,6 +347,16 @@ def job_latest_state(spark, sf_dir):
     return state.latest(_transitions(spark, sf_dir)).select("target", "status", "attempts")
 
 
+@query("WITH t AS (SELECT user_id AS target, ts, CASE event_type WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'pending' END AS status FROM events) SELECT target, arg_max(status, (ts, status)) AS status, count(*) FILTER (status = 'running') AS attempts FROM t GROUP BY target")
+def job_log(spark, sf_dir):
+    """The same states of a log: tasks append the transitions as files, which are compacted, and read beside the snapshot that holds them."""
+    folder = tables.fresh(spark, "job-log")
+    rows = _transitions(spark, sf_dir).select(F.col("target").cast("string").alias("target"), "status", "error", F.unix_micros(F.col("at.ts").cast("timestamp")).alias("at"))
+    tables.written(joblog.append_frame(rows.repartition(4), folder, "job"), "job-log-written")
+    joblog.compact(spark, folder)
+    return joblog.states(spark, folder, "job").select(F.col("target").cast("long").alias("target"), "status", "attempts")
+
+
 _TARGETS = "targets AS (SELECT c_custkey AS target FROM customer)"
 
 
