@@ -14,7 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 
 from . import __version__
-from .operators import registry, state
+from .operators import accepted, registry, state
 from .operators.detect import verifiers
 from .plans import scan
 from .sources import archives, files, git, hosting, joblog, sinks
@@ -51,6 +51,8 @@ def parser() -> argparse.ArgumentParser:
     add("--verify-store", help="folder where live secrets are kept under a hash, so that later runs needn't ask again")
     add("--baseline")
     add("--write-baseline")
+    add("--baseline-index", help="folder of an index of accepted fingerprints, for baselines of any size")
+    add("--write-baseline-index", help="new folder for an index of the findings' fingerprints")
     add("--format", default="human", choices=sinks.FORMATS)
     add("--output", nargs="?", const="", help="file of the findings; without a name, findings with the format's ending")
     add("--flush-findings", type=int, default=25, help="findings after which a JSON lines output is made durable")
@@ -142,14 +144,17 @@ def discover(args: argparse.Namespace, spark: SparkSession, transport=hosting.ur
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, transport=hosting.urllib_transport, clone=git.clone) -> int:
     args = parser().parse_args(argv)
     clones = args.clones or tempfile.mkdtemp(prefix="leakloom-clones-")
+    held: list[DataFrame] = []
     try:
-        return run(args, clones, spark, transport, clone)
+        return run(args, clones, spark, transport, clone, held)
     finally:  # not before: what is computed again after a loss reads the clones again
+        for found in held:  # a later run in this session must not be given what a folder held now
+            found.unpersist()
         if not args.clones:
             shutil.rmtree(clones, ignore_errors=True)
 
 
-def run(args: argparse.Namespace, clones: str, spark: SparkSession | None, transport, clone) -> int:
+def run(args: argparse.Namespace, clones: str, spark: SparkSession | None, transport, clone, held: list[DataFrame]) -> int:
     if args.resume and args.retry_failed:
         raise SystemExit("--resume and --retry-failed exclude each other")
     if args.repo_list and (args.orgs or args.enterprise or args.accessible):
@@ -188,7 +193,9 @@ def run(args: argparse.Namespace, clones: str, spark: SparkSession | None, trans
     elif args.resume:
         targets = [t for t in targets if jobs.get(t, {}).get("status") != "completed"]
     limits = archives.Limits(args.archive_depth, args.archive_max_entries, args.archive_max_bytes, args.archive_max_entry or args.max_file_size) if args.archives else None
-    baseline = sinks.read_baseline(spark, args.baseline) if args.baseline else None
+    if args.baseline and args.baseline_index:
+        raise SystemExit("--baseline and --baseline-index exclude each other")
+    baseline = accepted.load(args.baseline_index) if args.baseline_index else sinks.read_baseline(spark, args.baseline) if args.baseline else None
     options = {"include": split(args.include), "exclude": split(args.exclude), "max_file": args.max_file_size}
     writer, written = None, ""
     if args.output:
@@ -210,7 +217,8 @@ def run(args: argparse.Namespace, clones: str, spark: SparkSession | None, trans
         found = scan.of_folder(spark, place, detectors, limits=limits, **options)
         if args.history and os.path.isdir(os.path.join(place, ".git")):
             found = found.unionByName(scan.of_history(spark, place, detectors, options["include"], options["exclude"], limits, args.max_file_size)).dropDuplicates(["fingerprint"])
-        return found.cache()
+        held.append(found.cache())
+        return found
 
     def one(target: str) -> tuple[str, DataFrame | None, str, int]:
         """(target, findings, error, count); what fails for a repository's address is recorded, and the scan goes on."""
@@ -250,11 +258,12 @@ def run(args: argparse.Namespace, clones: str, spark: SparkSession | None, trans
                     continue
                 jobs[target].update(status="completed", findings=count)
                 before += count
-                new = state.without_baseline(found, baseline) if baseline is not None else found
+                new = scan.without(found, baseline)
                 if args.verify:
                     from .operators.detect import verify
 
                     new = verify(new, verifiers(detectors), args.verify_store).cache()
+                    held.append(new)
                 after += new.count() if baseline is not None else count
                 for org in discovery.get("orgs", ()):
                     org["findings"] += count if org["name"] == hosting.owner(target) else 0
@@ -273,6 +282,8 @@ def run(args: argparse.Namespace, clones: str, spark: SparkSession | None, trans
         return 0
     if args.write_baseline:
         sinks.write_baseline(every, args.write_baseline)
+    if args.write_baseline_index:
+        accepted.write(every, args.write_baseline_index)
     if not writer:
         if written:
             with open(written, "wb") as f:

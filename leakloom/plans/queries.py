@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import findings, plausible
-from ..operators import registry, state
+from ..operators import accepted, registry, state
 from ..operators.detect import detect, documents_as_sources, encoded_runs, example, keyword_documents, matches, spread
 from ..sources import archives, files, hosting, joblog, ranges, sinks, stores, tables
 
@@ -282,6 +282,15 @@ def baseline_filter(spark, sf_dir):
     return state.without_baseline(found, found.where("doc_id % 3 = 0"))
 
 
+@query(f"WITH {_FOUND_SQL} SELECT doc_id, fingerprint FROM found WHERE fingerprint NOT IN (SELECT fingerprint FROM found WHERE doc_id % 3 = 0)")
+def baseline_index(spark, sf_dir):
+    """The same by an index that is written and loaded: blocks of bits first, then the bucketed table."""
+    found = _found(spark, sf_dir).select("doc_id", "fingerprint")
+    folder = tables.fresh(spark, "accepted-index")
+    accepted.write(found.where("doc_id % 3 = 0"), folder)
+    return accepted.without(found, accepted.load(folder))
+
+
 @query(f"WITH {_FOUND_SQL} SELECT DISTINCT fingerprint FROM found WHERE fingerprint <> '' ORDER BY 1")
 def baseline_fingerprints(spark, sf_dir):
     return state.baseline_of(_found(spark, sf_dir))

@@ -7,18 +7,25 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import findings
+from ..operators import accepted
 from ..operators.detect import detect, verify
 from ..operators.registry import Detector
 from ..operators.state import without_baseline
 from ..sources import archives, files, git, ranges, tables
 
 
-def of_sources(sources: DataFrame, detectors: tuple[Detector, ...] | None = None, baseline: DataFrame | None = None, limits: archives.Limits | None = None, verifiers: dict | None = None) -> DataFrame:
+def of_sources(sources: DataFrame, detectors: tuple[Detector, ...] | None = None, baseline: DataFrame | accepted.Index | None = None, limits: archives.Limits | None = None, verifiers: dict | None = None) -> DataFrame:
     """Distinct findings: narrow detection, one shuffle by fingerprint, one anti-join."""
     rows = archives.opened(sources, limits) if limits else sources
     found = findings.distinct(detect(rows, detectors).drop("view", "start"))
-    found = without_baseline(found, baseline) if baseline is not None else found
-    return verify(found, verifiers or {})
+    return verify(without(found, baseline), verifiers or {})
+
+
+def without(found: DataFrame, baseline: DataFrame | accepted.Index | None) -> DataFrame:
+    """Findings that aren't accepted, by a table of fingerprints or by their index."""
+    if isinstance(baseline, accepted.Index):
+        return accepted.without(found, baseline)
+    return found if baseline is None else without_baseline(found, baseline)
 
 
 def of_folder(spark: SparkSession, root: str, detectors: tuple[Detector, ...] | None = None, **options) -> DataFrame:
