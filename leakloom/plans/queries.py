@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import findings, plausible
-from ..operators import accepted, registry, state
+from ..operators import accepted, grams, registry, state
 from ..operators.detect import detect, documents_as_sources, encoded_runs, example, keyword_documents, matches, spread
 from ..sources import archives, files, hosting, joblog, ranges, sinks, stores, tables
 
@@ -75,6 +75,15 @@ def detect_prefix_tokens(spark, sf_dir):
     return _matches(_with(_table(spark, sf_dir, "documents"), " ghp_", _id(97), "abcd "), TOKEN)
 
 
+@query("SELECT doc_id, secret FROM (" + _from("text || CASE WHEN doc_id % 3 = 0 THEN ' ghp_' || md5((doc_id % 97)::VARCHAR) || 'abcd ' ELSE '' END", TOKEN) + ")")
+def gram_rescan(spark, sf_dir):
+    """A detector run on the candidates of the corpus's index of grams alone."""
+    docs = _with(_table(spark, sf_dir, "documents"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" ghp_"), _id(97), F.lit("abcd "))).otherwise(""))
+    sources = spread(documents_as_sources(docs))
+    found = grams.rescan(sources, tables.written(grams.index(sources), "grams"), (_rule(TOKEN),))
+    return found.select(F.substring_index("file", "/", -1).cast("long").alias("doc_id"), "secret")
+
+
 @query(_from("text || ' postgres://app:' || md5(doc_id::VARCHAR) || '@db.example.com/x '", URI))
 def detect_uri_credentials(spark, sf_dir):
     return _matches(_with(_table(spark, sf_dir, "documents"), " postgres://app:", _id(), "@db.example.com/x "), URI)
