@@ -4,9 +4,12 @@ A vector is rotated and cut into blocks; each block has a small random code of u
 every tuple of code words is a filter direction. List decoding finds all directions whose inner
 product with the vector exceeds a threshold, block by block, dropping tuples that can't reach it.
 Vectors of a label are compared inside each filter that two of them share; every candidate is checked
-by its cosine in double precision. There are three independent codes; with the defaults a vector is in
-some 16 of the 4096 filters of each. Of pairs of 64 components at a cosine of exactly 0.93, one code
-finds 90 %, two 99.0 % and three 99.9 % (measured in the tests; closer pairs more often).
+by its cosine in double precision. There are three independent codes, each with a threshold that is
+measured: of sampled pairs at a cosine of exactly 0.93 it brings 90 % together, so all three bring 99.9 %
+(held in the tests; closer pairs more often). Codes grow with the label: words are counted so that a filter has
+some ``MEMBERS`` of its vectors, 64 words a block (4096 filters) up to 131,072 vectors, twice the words for up to four
+times as many, and so on. A vector is in some 18 filters of a code of 4096, 27 of 65,536 and 33 of a million,
+so rows and comparisons grow with the vectors, not with pairs.
 
 Equal vectors of a label are one node with a count. A filter's members are split into chunks of at
 most ``CHUNK`` and compared chunk by chunk, so no task holds more than two chunks of a group at a time,
@@ -39,9 +42,12 @@ from .components import components
 LEAST = 0.93
 #: Independent codes; two vectors must share a filter in one of them.
 TABLES = 3
+#: Blocks of a code, and the least code words of a block.
 BLOCKS, WORDS = 2, 64
-#: Filters of each code that a random vector is in, on average.
-LIST = 16.0
+#: Of pairs at a cosine of LEAST, those that one code brings together, and the pairs that this is measured on.
+CAUGHT, PROBES = 0.9, 1000
+#: Members of a filter that codes are made for; a random vector is in some LIST filters of a code.
+MEMBERS, LIST = 512, 16
 #: Neighbouring filters that one task call compares, each by itself.
 TOGETHER = 8
 CHUNK = 1024
@@ -49,49 +55,68 @@ SEED = 7
 
 
 @cache
-def code(dim: int, table: int = 0, blocks: int = BLOCKS, words: int = WORDS, wanted: float = LIST) -> tuple[np.ndarray, tuple[np.ndarray, ...], float]:
-    """The rotation, each block's code words (scaled so that tuples are unit vectors), and the threshold."""
-    rng = np.random.default_rng([SEED, dim, table])
+def code(dim: int, table: int = 0, words: int = WORDS) -> tuple[np.ndarray, tuple[np.ndarray, ...], float]:
+    """The rotation, each block's code words (scaled so that tuples are unit vectors), and the threshold.
+
+    The threshold is measured on pairs at a cosine of ``LEAST``: the best filter of a pair is looked for among tuples of
+    the 128 words of each block that suit it most, so it is never set too high.
+    """
+    rng = np.random.default_rng([SEED, dim, table, words])
     rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-    blocks = min(blocks, dim)
+    blocks = np.array_split(np.arange(dim), min(BLOCKS, dim))
     parts = []
-    for own in np.array_split(np.arange(dim), blocks):
+    for own in blocks:
         c = rng.standard_normal((words, len(own)))
-        parts.append(c / np.linalg.norm(c, axis=1, keepdims=True) / np.sqrt(blocks))
-    probe = rng.standard_normal((400, dim))
-    probe /= np.linalg.norm(probe, axis=1, keepdims=True)
-    sums = np.zeros((400, 1))
-    for own, c in zip(np.array_split(np.arange(dim), blocks), parts):
-        sums = (sums[:, :, None] + (probe[:, own] @ c.T)[:, None, :]).reshape(400, -1)
-    return rotation, tuple(parts), float(np.quantile(sums, 1 - min(0.5, wanted / sums.shape[1])))
-
-
-def decode(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        parts.append(c / np.linalg.norm(c, axis=1, keepdims=True) / np.sqrt(len(blocks)))
+    best = []
+    for _ in range(0, PROBES, 50):
+        x, z = rng.standard_normal((2, 50, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        z -= (z * x).sum(1, keepdims=True) * x
+        y = LEAST * x + np.sqrt(1 - LEAST**2) * z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+        both = np.zeros((2, 50, 1))
+        for own, c in zip(blocks, parts):
+            scores = np.stack([x[:, own] @ c.T, y[:, own] @ c.T])
+            top = np.argpartition(-scores.sum(0), min(128, words) - 1, 1)[:, :128]
+            scores = np.take_along_axis(scores, top[None], 2)
+            both = (both[:, :, :, None] + scores[:, :, None, :]).reshape(2, 50, -1)
+        best.append(both.min(0).max(1))
+    return rotation, tuple(parts), float(np.quantile(np.concatenate(best), 1 - CAUGHT)) - 1e-12
+
+
+def decode(unit: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(row, filter) of all codes, by row and filter; the filters of a code follow those of the code before."""
-    found = [_decode(unit, t) for t in range(TABLES)]
+    found = [_decode(unit, t, words) for t in range(TABLES)]
     row = np.concatenate([r for r, _ in found])
-    own = np.concatenate([f + t * WORDS**BLOCKS for t, (_, f) in enumerate(found)])
+    own = np.concatenate([f + t * words**BLOCKS for t, (_, f) in enumerate(found)])
     order = np.lexsort((own, row))
     return row[order], own[order]
 
 
-def _decode(unit: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
+def _decode(unit: np.ndarray, table: int, words: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, filter) for every filter direction that exceeds the threshold; rows are unit vectors.
 
-    A vector that none exceeds is in its best filter, so each is in one at least.
+    A vector that none exceeds is in its best filter, so each is in one at least. Some million sums are held at a time.
     """
     n, dim = unit.shape
-    rotation, parts, least = code(dim, table)
+    rotation, parts, least = code(dim, table, words)
     x = unit @ rotation.T
     scores = [x[:, own] @ c.T for own, c in zip(np.array_split(np.arange(dim), len(parts)), parts)]
     best = [s.max(1) for s in scores]
     least = np.minimum(least, sum(best) - 1e-12)
     row, tuple_, total = np.arange(n), np.zeros(n, np.int64), np.zeros(n)
+    step = max(1, (1 << 20) // words)
     for k, s in enumerate(scores):
-        rest = sum(best[k + 1 :], np.zeros(n))
-        reach = total[:, None] + s[row]
-        i, j = np.nonzero(reach >= (least - rest)[row][:, None])
-        row, tuple_, total = row[i], tuple_[i] * s.shape[1] + j, reach[i, j]
+        rest = least - sum(best[k + 1 :], np.zeros(n))
+        found = []
+        for lo in range(0, len(row), step):
+            own = row[lo : lo + step]
+            reach = total[lo : lo + step, None] + s[own]
+            i, j = np.nonzero(reach >= rest[own][:, None])
+            found.append((own[i], tuple_[lo + i] * words + j, reach[i, j]))
+        if found:
+            row, tuple_, total = (np.concatenate(c) for c in zip(*found))
     return row, tuple_
 
 
@@ -133,38 +158,67 @@ def _prepared(vectors: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "vec_id long, label string, dim int, key binary, data binary")
 
 
+def _number(words: int) -> str:
+    """How the filters of such codes are written."""
+    return "<u2" if TABLES * words**BLOCKS <= 1 << 16 else "<u8"
+
+
+def _sized(nodes: DataFrame) -> DataFrame:
+    """The nodes with the ``words`` of their label's codes.
+
+    Labels of more than WORDS^2 * MEMBERS / LIST nodes alone have more than the least: one row of twelve bytes for each
+    131,072 nodes of the table at most, which is what is broadcast.
+    """
+    own = F.xxhash64("label", "dim")  # labels that share a hash share a size of codes, which changes no result
+    grown = F.ceil(F.log2(F.sqrt(F.col("count") * F.lit(LIST / MEMBERS)) / WORDS))
+    large = nodes.groupBy("label", "dim").count().where(F.col("count") > WORDS**BLOCKS * MEMBERS // LIST)
+    large = large.groupBy(own.alias("own")).agg(F.max(F.lit(WORDS) * F.pow(F.lit(2), grown)).cast("int").alias("words"))
+    return nodes.withColumn("own", own).join(F.broadcast(large), "own", "left").withColumn("words", F.coalesce("words", F.lit(WORDS)))
+
+
 def _filtered(nodes: DataFrame) -> DataFrame:
-    """A row (node, label, dim, copies, data, filters, filter) for each filter that a node is in; ``filters`` has them all."""
+    """A row (node, label, dim, words, copies, data, filters, filter) for each filter that a node is in; ``filters`` has them all."""
     bound_batches(nodes.sparkSession, 1024)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims = np.asarray(batch.column(2).to_pylist(), int)
-            data = batch.column(4).to_pylist()
-            for dim in np.unique(dims):
-                at = np.flatnonzero(dims == dim)
+            kinds = np.array([batch.column(k).to_pylist() for k in (2, 3)], int).T
+            data = batch.column(5).to_pylist()
+            for dim, words in np.unique(kinds, axis=0).tolist():
+                at = np.flatnonzero((kinds == (dim, words)).all(1))
                 x = _unpacked([data[i] for i in at], dim)
-                row, own = decode(x / np.linalg.norm(x, axis=1, keepdims=True))
+                row, own = decode(x / np.linalg.norm(x, axis=1, keepdims=True), words)
                 cuts = np.searchsorted(row, np.arange(len(at) + 1))
-                lists = pa.array([own[a:b].astype("<u2").tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())
+                lists = pa.array([own[a:b].astype(_number(words)).tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())
                 for lo in range(0, len(row), 4096):
                     part = row[lo : lo + 4096]
-                    yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at[part])).columns, lists.take(pa.array(part)), pa.array(own[lo : lo + 4096], pa.int32())], ["node", "label", "dim", "copies", "data", "filters", "filter"])
+                    yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at[part])).columns, lists.take(pa.array(part)), pa.array(own[lo : lo + 4096], pa.int64())], ["node", "label", "dim", "words", "copies", "data", "filters", "filter"])
+
+    return nodes.select("node", "label", "dim", "words", "copies", "data").mapInArrow(run, "node long, label string, dim int, words int, copies long, data binary, filters binary, filter long")
 
-    return nodes.select("node", "label", "dim", "copies", "data").mapInArrow(run, "node long, label string, dim int, copies long, data binary, filters binary, filter int")
 
+def _first_common(row: np.ndarray, ids: np.ndarray, n: int, a: np.ndarray, b: np.ndarray, own: int) -> np.ndarray:
+    """Of pairs (a, b) of ``n`` rows that share the filter ``own``, those that share none before it; row ``row[k]`` is in ``ids[k]``.
 
-def _first_common(bits: np.ndarray, a: np.ndarray, b: np.ndarray, own: int) -> np.ndarray:
-    """Of pairs of rows that share the filter ``own``, those that share none before it; ``bits`` has the rows' filters."""
+    Filters that two of the pairs' rows are in become bits, the commonest first.
+    """
     here = np.arange(len(a))
-    for lo in range(0, own // 64 + 1, 4):
-        words = np.arange(lo, min(lo + 4, own // 64 + 1))
-        mask = np.where(words < own // 64, np.uint64(2**64 - 1), np.uint64((1 << own % 64) - 1))
+    asked = np.zeros(n, bool)
+    asked[a] = asked[b] = True
+    before = asked[row] & (ids < own)
+    row, (ids, at, counts) = row[before], np.unique(ids[before], return_inverse=True, return_counts=True)
+    place = np.empty(len(ids), np.int64)
+    place[np.argsort(-counts, kind="stable")] = np.arange(len(ids))
+    width = -(-int((counts > 1).sum()) // 64)
+    shared = counts[at] > 1
+    row, bit = row[shared], place[at[shared]]
+    bits = np.zeros((n, width), np.uint64)
+    np.bitwise_or.at(bits, (row, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    for lo in range(0, width, 4):
         apart = []
         for k in range(0, len(here), 1 << 16):
             part = here[k : k + (1 << 16)]
-            common = bits[a[part][:, None], words] & bits[b[part][:, None], words] & mask
-            apart.append(part[~common.any(1)])
+            apart.append(part[~(bits[a[part], lo : lo + 4] & bits[b[part], lo : lo + 4]).any(1)])
         here = np.concatenate(apart) if apart else here
         if not len(here):
             break
@@ -196,10 +250,9 @@ def _within(block: pd.DataFrame) -> pd.DataFrame:
     x = _unpacked(block["data"].tolist(), int(block["dim"].iloc[0]))
     norm = np.sqrt((x * x).sum(1))
     node, chunk, own, copies = (block[c].to_numpy() for c in ("node", "chunk", "filter", "copies"))
-    sizes = np.array([len(f) // 2 for f in block["filters"]])
-    lists = np.frombuffer(b"".join(block["filters"]), "<u2").astype(np.int64)
-    bits = np.zeros((len(block), -(-TABLES * WORDS**BLOCKS // 64)), np.uint64)
-    np.bitwise_or.at(bits, (np.repeat(np.arange(len(block)), sizes), lists >> 6), np.uint64(1) << (lists & 63).astype(np.uint64))
+    kind = np.dtype(_number(int(block["words"].iloc[0])))
+    starts = np.concatenate([[0], np.cumsum([len(f) // kind.itemsize for f in block["filters"]])])
+    lists = np.frombuffer(b"".join(block["filters"]), kind).astype(np.int64)
     i, j = block["i"].iloc[0], block["j"].iloc[0]
     cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
     found = []
@@ -208,25 +261,28 @@ def _within(block: pd.DataFrame) -> pd.DataFrame:
         cosine = (x[left] @ x[right].T) / norm[left][:, None] / norm[right][None, :]
         near = cosine >= LEAST
         a, b = np.nonzero(np.triu(near, 1) if i == j else near)
-        a, b = left[a], right[b]
-        first = _first_common(bits, a, b, int(own[lo]))
-        a, b = a[first] - lo, b[first] - lo
+        if not len(a):
+            continue
+        a, b = left[a] - lo, right[b] - lo
+        row = np.repeat(np.arange(hi - lo), np.diff(starts[lo : hi + 1]))
+        first = _first_common(row, lists[starts[lo] : starts[hi]], hi - lo, a, b, int(own[lo]))
+        a, b = a[first], b[first]
         weight = copies[lo:hi].astype(float)
         more = np.bincount(a, weight[b], hi - lo) + np.bincount(b, weight[a], hi - lo)
         on = np.flatnonzero(more)
         low = _reached(hi - lo, a, b)
         found.append(np.stack([node[lo + on], more[on].astype(np.int64), node[lo + low[on]]]))
-    return pd.DataFrame(np.concatenate(found, 1).T, columns=["node", "more", "low"])
+    return pd.DataFrame(np.concatenate(found, 1).T if found else np.zeros((0, 3), np.int64), columns=["node", "more", "low"])
 
 
 def links(nodes: DataFrame) -> DataFrame:
     """(node, more, low) of the members of all blocks, see ``_within``."""
-    rows = _filtered(nodes)
+    rows = _filtered(_sized(nodes))
     group = ["label", "dim", "filter"]
     sizes = rows.groupBy(*group).agg(F.count("*").alias("size")).where("size > 1")
     chunked = rows.join(sizes, group).withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
     chunked = chunked.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    columns = [*group, "node", "copies", "data", "filters", "chunk"]
+    columns = [*group, "words", "node", "copies", "data", "filters", "chunk"]
     blocks = chunked.select(*columns, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     blocks = blocks.select(*columns, F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
     return blocks.groupBy("label", "dim", F.floor(F.col("filter") / TOGETHER).alias("few"), "i", "j").applyInPandas(_within, "node long, more long, low long")

@@ -614,16 +614,42 @@ def test_embeddings_of_a_hot_group(spark, monkeypatch):
     assert blocks <= 120 * 60 * 24  # rows of members, not of pairs
 
 
-def test_spherical_caps_recall():
+@pytest.mark.parametrize("words, n", [(64, 3000), (256, 2000), (1024, 600)])
+def test_spherical_caps_recall(words, n):
     rng = np.random.default_rng(8)
-    x = rng.standard_normal((3000, 64))
+    x = rng.standard_normal((n, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    z = rng.standard_normal((3000, 64))
+    z = rng.standard_normal((n, 64))
     z -= (z * x).sum(1, keepdims=True) * x
     z /= np.linalg.norm(z, axis=1, keepdims=True)
     y = 0.93 * x + math.sqrt(1 - 0.93**2) * z
-    a, b = (set(zip(*(v.tolist() for v in embeddings.decode(u)))) for u in (x, y))
-    assert len({row for row, _ in a & b}) / 3000 >= 0.995 and 24 <= len(a) / 3000 <= 96
+    a, b = (set(zip(*(v.tolist() for v in embeddings.decode(u, words)))) for u in (x, y))
+    assert len({row for row, _ in a & b}) / n >= 0.995 and 24 <= len(a) / n <= 120
+
+
+def test_codes_grow_with_the_label(spark, monkeypatch):
+    """A label ten times larger has more filters, a row for few more of them, and members as few; results are those of plain comparison."""
+    rng = np.random.default_rng(21)
+    unit = rng.standard_normal((4400, 32)).astype(np.float32)
+    unit[4000:4200] = unit[:200] + rng.standard_normal((200, 32)).astype(np.float32) * 0.15
+    unit[4200:] = unit[:200]
+    label = np.where(np.arange(4400) % 11 == 0, 0, 1)
+    label[4000:] = [*label[:200], *label[:200]]
+    df = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(unit, label))], "vec_id long, embedding array<float>, label int")
+    monkeypatch.setattr(embeddings, "WORDS", 16)
+    monkeypatch.setattr(embeddings, "MEMBERS", 32)
+    u = unit.astype(np.float64) / np.linalg.norm(unit.astype(np.float64), axis=1, keepdims=True)
+    near = (u @ u.T >= 0.93) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(df).collect()}
+    assert near.sum() > 400 and sum(got.values()) >= 0.98 * near.sum() and all(got[i] <= m for i, m in enumerate(near.sum(1)))
+    nodes = df.select(F.col("vec_id").alias("node"), F.col("label").cast("string").alias("label"), F.lit(32).alias("dim"), F.lit(1).cast("long").alias("copies"), "embedding")
+    packed = spark.createDataFrame([(r["node"], r["label"], r["dim"], r["copies"], embeddings._packed(np.array(r["embedding"]))) for r in nodes.collect()], "node long, label string, dim int, copies long, data binary")
+    rows = embeddings._filtered(embeddings._sized(packed))
+    stats = {r["label"]: r for r in rows.groupBy("label").agg(F.max("words").alias("words"), F.countDistinct("node").alias("n"), F.count("*").alias("rows"), F.countDistinct("filter").alias("filters")).collect()}
+    small, large = stats["0"], stats["1"]
+    assert large["n"] > 9 * small["n"] and (small["words"], large["words"]) == (16, 64)
+    assert large["rows"] / large["n"] < 2 * small["rows"] / small["n"] and large["rows"] / large["filters"] < 2 * small["rows"] / small["filters"]
 
 
 def test_sentencepiece(spark, docs, empty, corpus):
