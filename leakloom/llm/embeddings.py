@@ -7,9 +7,9 @@ Vectors of a label are compared inside each filter that two of them share; every
 by its cosine in double precision. There are three independent codes, each with a threshold that is
 measured: of sampled pairs at a cosine of exactly 0.93 it brings 90 % together, so all three bring 99.9 %
 (held in the tests; closer pairs more often). Codes grow with the label: words are counted so that a filter has
-some ``MEMBERS`` of its vectors, 64 words a block (4096 filters) up to 131,072 vectors, twice the words for up to four
-times as many, and so on. A vector is in some 18 filters of a code of 4096, 27 of 65,536 and 33 of a million,
-so rows and comparisons grow with the vectors, not with pairs.
+some ``MEMBERS`` of its vectors, 64 words a block (4096 filters) for 131,072 vectors, twice the words for up to four
+times as many, and so on; smaller labels share the codes that the largest of them needs. A vector is in some 12 filters
+of a code of 256, 18 of 4096, 27 of 65,536 and 33 of a million, so rows and comparisons grow with the vectors, not with pairs.
 
 Equal vectors of a label are one node with a count. A filter's members are split into chunks of at
 most ``CHUNK`` and compared chunk by chunk, so no task holds more than two chunks of a group at a time,
@@ -42,8 +42,8 @@ from .components import components
 LEAST = 0.93
 #: Independent codes; two vectors must share a filter in one of them.
 TABLES = 3
-#: Blocks of a code, and the least code words of a block.
-BLOCKS, WORDS = 2, 64
+#: Blocks of a code, the least code words of a block, and the most that labels share.
+BLOCKS, WORDS, SHARED = 2, 8, 64
 #: Of pairs at a cosine of LEAST, those that one code brings together, and the pairs that this is measured on.
 CAUGHT, PROBES = 0.9, 1000
 #: Members of a filter that codes are made for; a random vector is in some LIST filters of a code.
@@ -166,14 +166,16 @@ def _number(words: int) -> str:
 def _sized(nodes: DataFrame) -> DataFrame:
     """The nodes with the ``words`` of their label's codes.
 
-    Labels of more than WORDS^2 * MEMBERS / LIST nodes alone have more than the least: one row of twelve bytes for each
-    131,072 nodes of the table at most, which is what is broadcast.
+    Labels that need more than ``SHARED`` words are broadcast, a row of twelve bytes for each 131,072 nodes of the table
+    at most; all others have the words that the largest of them needs, one number.
     """
     own = F.xxhash64("label", "dim")  # labels that share a hash share a size of codes, which changes no result
     grown = F.ceil(F.log2(F.sqrt(F.col("count") * F.lit(LIST / MEMBERS)) / WORDS))
-    large = nodes.groupBy("label", "dim").count().where(F.col("count") > WORDS**BLOCKS * MEMBERS // LIST)
-    large = large.groupBy(own.alias("own")).agg(F.max(F.lit(WORDS) * F.pow(F.lit(2), grown)).cast("int").alias("words"))
-    return nodes.withColumn("own", own).join(F.broadcast(large), "own", "left").withColumn("words", F.coalesce("words", F.lit(WORDS)))
+    sizes = nodes.groupBy("label", "dim").count()
+    sizes = sizes.select(own.alias("own"), F.greatest(F.lit(WORDS), F.lit(WORDS) * F.pow(F.lit(2), grown)).cast("int").alias("words"))
+    shared = sizes.where(F.col("words") <= SHARED).agg(F.max("words")).first()[0] or WORDS
+    large = sizes.where(F.col("words") > SHARED).groupBy("own").agg(F.max("words").alias("words"))
+    return nodes.withColumn("own", own).join(F.broadcast(large), "own", "left").withColumn("words", F.coalesce("words", F.lit(shared)))
 
 
 def _filtered(nodes: DataFrame) -> DataFrame:
