@@ -171,11 +171,13 @@ def write_files(rows: DataFrame, folder: str) -> DataFrame:
         store.create_dir(base, recursive=True)
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for name, content in zip(names, batch.column(1).to_pylist(), strict=True):
+            for name, content in zip(names, batch.column(1), strict=True):
                 draft = f"{base}/.{name}-{os.urandom(8).hex()}"
                 with store.open_output_stream(draft) as out:
-                    out.write(content or b"")
+                    if content.is_valid:
+                        out.write(content.as_buffer())  # the batch's own bytes, never a second time in memory
                 store.move(draft, f"{base}/{name}")
-            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{n}" for n in names], pa.string()), batch.column(0)], ["path", "file"])
+            batch = content = None
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{n}" for n in names], pa.string()), pa.array(names, pa.string())], ["path", "file"])
 
     return rows.select("file", "content").mapInArrow(run, "path string, file string")

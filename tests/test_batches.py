@@ -8,6 +8,7 @@ import zipfile
 
 import pyarrow as pa
 
+from leakloom.operators import detect
 from leakloom.sources import archives
 
 
@@ -24,6 +25,12 @@ def _batch(*texts):
     return pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["id", "text"])
 
 
+def test_large_batches_are_cut_by_bytes():
+    texts = ["x" * 1000, None, "é" * 600, "", "y" * 5000, "z"]
+    cut = [b.column(1).to_pylist() for b in detect.cut([_batch(*texts)], 1, 2500)]
+    assert cut == [texts[:4], texts[4:5], texts[5:]]
+
+
 def test_a_task_holds_one_batch():
     seen = []
     rows = list(archives.rows_of(_watched((_batch("a" * k, None) for k in range(4)), seen)))
