@@ -8,7 +8,7 @@ import zipfile
 
 import pyarrow as pa
 
-from leakloom.operators import detect
+from leakloom.operators import detect, registry
 from leakloom.sources import archives
 
 
@@ -25,6 +25,21 @@ def _batch(*texts):
     return pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["id", "text"])
 
 
+def test_detectors_see_many_texts_at_once(monkeypatch):
+    plan, calls, found_in = detect.plan_of("one", tuple(d for d in registry.load() if d.id == "github-token")), [], detect.found_in
+    monkeypatch.setattr(detect, "found_in", lambda plan, texts: calls.append(len(texts)) or found_in(plan, texts))
+    texts = [("lorem ipsum\n" * 80_000) + f" ghp_{k:036d} " for k in range(12)]  # 11 MB: three times what one or two detectors see
+    assert [[secret for _, secret, _, _ in x] for x in detect.scan_texts(plan, texts)] == [[f"ghp_{k:036d}"] for k in range(12)]
+    assert calls == [12, 12]  # the texts, and what their base64 runs hold
+
+
+def test_small_batches_are_put_together_for_a_scan():
+    batches = [_batch(*(f"{b} {k}" for k in range(100)), None) for b in range(50)]
+    (whole,) = detect.gathered(iter(batches), 1)
+    assert whole.column(1).to_pylist() == [x for b in batches for x in b.column(1).to_pylist()]
+    assert [b.num_rows for b in detect.gathered(iter(batches), 1, 4000)] != [whole.num_rows] and list(detect.gathered(iter([]), 1)) == []
+
+
 def test_large_batches_are_cut_by_bytes():
     texts = ["x" * 1000, None, "é" * 600, "", "y" * 5000, "z"]
     cut = [b.column(1).to_pylist() for b in detect.cut([_batch(*texts)], 1, 2500)]
