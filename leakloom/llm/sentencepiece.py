@@ -250,7 +250,7 @@ def encode(docs: DataFrame, model: str, threads: int = 2, verify: int = 0, id_co
             found = own.encode(texts)
             if verify:
                 picked = [k for k, x in enumerate(texts) if crc32(x.encode("utf-8", "surrogatepass")) % verify == 0]
-                if [array("I", x).tobytes() for x in other.encode([texts[k] for k in picked])] != [found[k][0] for k in picked]:
+                if [array("I", x).tobytes() for x in other.encode([texts[k] for k in picked], num_threads=threads)] != [found[k][0] for k in picked]:
                     raise ValueError("the tokenizers backend and the sentencepiece library differ")
                 back = own.tokenizer.decode_batch([np.frombuffer(found[k][0], "<u4").tolist() for k in picked], skip_special_tokens=False)
                 if any((text == texts[k]) != found[k][1] for k, text in zip(picked, back)):
