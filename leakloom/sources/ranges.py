@@ -25,6 +25,10 @@ from .archives import Limits
 
 #: Bytes of entries in a range, and in a task.
 RANGE_BYTES, TASK_BYTES = 64 << 20, 128 << 20
+#: Ranges of a batch.
+BATCH_RANGES = 4096
+#: Bytes of an archive that is packed which are written at a time.
+WRITE_BYTES = 1 << 20
 
 
 class ReadFailed(Exception):
@@ -108,45 +112,71 @@ def ranges(listed: DataFrame, limits: Limits = Limits(), size: int = RANGE_BYTES
     """(path, file, first, last, bytes): the ranges of archives (path, file). Files that are gone have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for path, file in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                try:
-                    source = open_file(path)
-                except FileNotFoundError:
-                    continue
-                with source:
-                    out += [(path, file, *r) for r in _ranges(file, source, limits, size)]
-            yield pa.RecordBatch.from_pylist([dict(zip(SCHEMA.names, r)) for r in out], SCHEMA)
+        out = []
+        for path, file in _rows(batches):
+            try:
+                source = open_file(path)
+            except FileNotFoundError:
+                continue
+            with source:
+                for r in _ranges(file, source, limits, size):
+                    out.append((path, file, *r))
+                    if len(out) == BATCH_RANGES:
+                        yield _batch(out)
+                        out = []
+        if out:
+            yield _batch(out)
 
     return listed.select("path", "file").mapInArrow(run, "path string, file string, first long, last long, bytes long")
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    return (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SCHEMA)], schema=SCHEMA)
+
+
 SCHEMA = pa.schema([("path", pa.string()), ("file", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("bytes", pa.int64())])
 
 
+def joined(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Ranges (path, file, first, last) with those that follow one another in an archive as one, so that its directory is read once."""
+    held = None
+    for path, file, first, last in rows:
+        if held and held[:2] == (path, file) and last is not None and held[3] == first:
+            held = (*held[:3], last)
+            continue
+        if held:
+            yield held
+        held = path, file, first, last
+    if held:
+        yield held
+
+
 def entries(of: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(file, commit, content) of what the ranges hold, nested archives opened."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, bytes]]:
-        for batch in batches:
-            for path, file, first, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                try:
-                    source = open_file(path)
-                except FileNotFoundError:
-                    continue
-                with source:
-                    for inner, content in archives.expand_from(file, source, limits, 0, first, last):
-                        yield inner, "", content
+        for path, file, first, last in joined(_rows(batches)):
+            try:
+                source = open_file(path)
+            except FileNotFoundError:
+                continue
+            with source:
+                for inner, content in archives.expand_from(file, source, limits, 0, first, last):
+                    yield inner, "", content
 
     return of.select("path", "file", "first", "last").mapInArrow(lambda batches: archives.in_batches(rows(batches)), "file string, commit string, content binary")
 
 
 def opened(listed: DataFrame, limits: Limits = Limits(), size: int = RANGE_BYTES) -> DataFrame:
-    """Entries of archives (path, file). The ranges are written once, and dealt to as many tasks as their bytes need."""
+    """Entries of archives (path, file). The ranges are written once, and dealt to as many tasks as their bytes need, neighbours to the same one."""
     planned = tables.written(ranges(listed, limits, size), "ranges")
     total = planned.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    return entries(planned.repartition(max(1, math.ceil(total / TASK_BYTES), min(planned.sparkSession.sparkContext.defaultParallelism, planned.count()))), limits)
+    tasks = max(1, math.ceil(total / TASK_BYTES), min(planned.sparkSession.sparkContext.defaultParallelism, planned.count()))
+    return entries(planned.repartitionByRange(tasks, "path", "first").sortWithinPartitions("path", "first"), limits)
 
 
 def read_folder(spark: SparkSession, root: str, limits: Limits, include: list[str] = (), exclude: list[str] = (), max_file: int = files.MAX_FILE) -> DataFrame:
@@ -160,24 +190,20 @@ def read_folder(spark: SparkSession, root: str, limits: Limits, include: list[st
     return kept.where(~packed).select("file", "commit", "content").unionByName(opened(kept.where(packed), limits))
 
 
-def write_files(rows: DataFrame, folder: str) -> DataFrame:
-    """(path, file) of rows (file, content) written as files below a folder that all executors share.
+def zip_files(entries: DataFrame, folder: str) -> DataFrame:
+    """(path, file) of the zips that ``archives.zipped`` makes of the entries (archive, name, content), packed into files below a folder that all executors share.
 
-    A file is moved to its name when it is whole, so a task that runs again writes the same. Names must be unique plain file names.
+    An archive is written as its rows come: a task holds its directory, never its bytes. Names must be unique plain file names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = stores.of(folder)
         store.create_dir(base, recursive=True)
-        for batch in batches:
-            names = batch.column(0).to_pylist()
-            for name, content in zip(names, batch.column(1), strict=True):
-                draft = f"{base}/.{name}-{os.urandom(8).hex()}"
-                with store.open_output_stream(draft) as out:
-                    if content.is_valid:
-                        out.write(content.as_buffer())  # the batch's own bytes, never a second time in memory
-                store.move(draft, f"{base}/{name}")
-            batch = content = None
-            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{n}" for n in names], pa.string()), pa.array(names, pa.string())], ["path", "file"])
-
-    return rows.select("file", "content").mapInArrow(run, "path string, file string")
+        for name, own in archives.by_archive(batches):
+            draft = f"{base}/.{name}-{os.urandom(8).hex()}"
+            with store.open_output_stream(draft, buffer_size=WRITE_BYTES) as out:
+                archives.pack(out, own)
+            store.move(draft, f"{base}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([name])], ["path", "file"])
+
+    return archives.sorted_entries(entries).mapInArrow(run, "path string, file string")

@@ -146,3 +146,25 @@ def test_parts_in_order(tmp_path):
         (tmp_path / f"part-{k:05d}-x-c000.txt").write_text(f"{k}\n")
     (tmp_path / "_SUCCESS").write_text("")
     assert b"".join(stores.blocks(str(tmp_path), 3)) == b"2\n10\n99999\n100000\n"
+
+
+def test_ranges_that_follow_one_another_read_a_directory_once():
+    rows = [("a", "a.zip", 0, 2), ("a", "a.zip", 2, 5), ("a", "a.zip", 7, 9), ("b", "b.zip", 9, 10), ("c", "c.tar", 0, None), ("c", "c.tar", 0, None)]
+    assert list(ranges.joined(iter(rows))) == [("a", "a.zip", 0, 5), *rows[2:]] and list(ranges.joined(iter([]))) == []
+
+
+def test_zips_are_packed_into_files_as_their_rows_come(spark, tmp_path, monkeypatch):
+    """The bytes of an archive are in no column; its file has what ``zipped`` has, and only whole files are there."""
+    entries = spark.createDataFrame([(f"a{k % 3}.zip", f"{k:04d}.txt", b"x%d" % k * (k % 40)) for k in range(900)], "archive string, name string, content binary").repartition(4)
+    monkeypatch.setattr(ranges, "BATCH_RANGES", 2)
+    rows = ranges.zip_files(entries, str(tmp_path / "new"))
+    assert "content" not in rows.columns
+    listed = sorted((r["path"], r["file"]) for r in rows.collect())
+    assert listed == [(str(tmp_path / "new" / n), n) for n in sorted(os.listdir(tmp_path / "new"))] and len(listed) == 3
+    read = lambda data: [(i.filename, z.read(i)) for z in [zipfile.ZipFile(io.BytesIO(data))] for i in z.infolist()]
+    packed = {r["file"]: bytes(r["content"]) for r in archives.zipped(entries).collect()}
+    for path, name in listed:
+        with open(path, "rb") as f:
+            assert read(f.read()) == read(packed[name])
+    planned = ranges.ranges(spark.createDataFrame(listed, "path string, file string").coalesce(1), size=1024)
+    assert planned.count() > 6 and ranges.opened(planned.select("path", "file").distinct(), size=1024).count() == 900
