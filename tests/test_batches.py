@@ -65,3 +65,28 @@ def test_zips_are_packed_from_sorted_rows(spark):
             assert {i.compress_type for i in z.infolist() if i.file_size > 64} == {zipfile.ZIP_DEFLATED}
             assert {i.compress_type for i in z.infolist() if i.file_size <= 64} == {zipfile.ZIP_STORED}
     assert "Group" not in archives.zipped(frame)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_what_arrow_holds_of_a_batch_goes_back_before_the_next_one(monkeypatch):
+    """Idle workers keep Arrow's pool: a batch of 64 MB stayed with each of them."""
+    gone, pool = [], detect.pa.default_memory_pool()
+
+    class Pool:
+        def release_unused(self):
+            gone.append(len(seen))
+            pool.release_unused()
+
+    seen: list = []
+    monkeypatch.setattr(detect.pa, "default_memory_pool", Pool)
+    for batch in detect.cut([_batch("a", "b"), _batch("c")], 1):
+        seen.append(batch)
+    assert gone == [1, 2]
+
+
+def test_spark_sends_small_batches_to_one_or_two_detectors(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        detect.matches(spark.createDataFrame([(1, "x")], "doc_id long, text string"), registry.load()[:1])
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == detect.SENT
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
