@@ -29,6 +29,15 @@ def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches one by one; what Arrow holds of an earlier one goes back to the system, as the worker outlives its task."""
+    for batch in batches:
+        yield batch
+        batch = None
+        pa.default_memory_pool().release_unused()
+    pa.default_memory_pool().release_unused()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
 

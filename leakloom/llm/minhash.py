@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, checkpointed, mix, runs_of, shingle_hashes, slices, text_of, utf8, word_hashes
+from .common import bound_batches, checkpointed, mix, released, runs_of, shingle_hashes, slices, text_of, utf8, word_hashes
 from .components import components
 
 BANDS, ROWS = 32, 5
@@ -121,7 +121,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = np.arange(BANDS, dtype=np.uint64)
-        for batch in batches:
+        for batch in released(batches):
             sig, n, keys = sketch_texts(batch.column(1).to_pylist())
             bands = np.tile(salt, (len(sig), 1))
             for k in range(ROWS):
@@ -160,7 +160,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             s = jaccard(batch.column(2).to_pylist(), batch.column(3).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64())], ["a", "b", "similarity"])
 
@@ -246,7 +246,7 @@ def _by_block(rows: DataFrame, run, schema: str) -> DataFrame:
     """``run(rows, cuts)`` of whole blocks, many small ones at a time."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, cuts in runs_of(batches, _BLOCK):
+        for block, cuts in runs_of(released(batches), _BLOCK):
             yield from run(block, cuts).to_batches()
 
     return rows.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(each, schema)

@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, text_of
+from .common import bound_batches, released, text_of
 
-#: Distinct words, and parts between blanks, whose ids a worker remembers (some 200 bytes each):
+#: Distinct words and parts between blanks, in all, whose ids a worker remembers (some 140 bytes each):
 #: the first ones it meets; further ones are encoded each time.
-MEMO_WORDS = 1 << 19
+MEMO_WORDS = 3 << 18
 
 
 class WordTokenizer:
@@ -34,7 +34,8 @@ class WordTokenizer:
 
     The file's pre-tokenizer cuts a text into words that its model encodes independently; the
     public pattern of the file finds them. It always cuts before a blank that stands alone, so the
-    parts between such blanks are remembered too, and the pattern only looks into new parts.
+    parts between such blanks are remembered too, and the pattern only looks into new parts. A word that
+    begins with a blank is the part behind that blank, so both are remembered once.
     A text that holds one of the file's special tokens is encoded whole by the library.
     """
 
@@ -60,16 +61,20 @@ class WordTokenizer:
         return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.stand_in))]).tobytes()
 
     def by_word(self, text: str) -> bytes:
-        out, memo = [], self.words
+        out = []
         for w in self.find(text):
-            ids = memo.get(w)
+            memo, key = (self.parts, w[1:]) if w[0] == " " and " " not in w[1:] else (self.words, w)
+            ids = memo.get(key)
             if ids is None:
                 ids = self.word(w)
-                if len(memo) < MEMO_WORDS and len(w) < 64:
-                    memo[w] = ids
+                self.remember(memo, key, ids)
             out.append(ids)
         return b"".join(out)
 
+    def remember(self, memo: dict[str, bytes], key: str, ids: bytes) -> None:
+        if len(self.words) + len(self.parts) < MEMO_WORDS and len(key) < 64:
+            memo[key] = ids
+
     def __call__(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
         if any(s in text for s in self.special):
@@ -83,8 +88,7 @@ class WordTokenizer:
         for _ in range(found.count(None)):
             i = found.index(None, i + 1)
             ids = found[i] = self.by_word(" " + rest[i])
-            if len(memo) < MEMO_WORDS and len(rest[i]) < 64:
-                memo[rest[i]] = ids
+            self.remember(memo, rest[i], ids)
         return self.by_word(first) + b"".join(found)
 
 
@@ -111,7 +115,7 @@ def pack(docs: DataFrame, tokenizer: str, pattern: str, seq_len: int = 2048, end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_tokenizer(tokenizer, pattern)
-        for batch in batches:
+        for batch in released(batches):
             at, start, length, ids, total = [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 data = encode(text) + end

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, checkpointed, text_of
+from .common import bound_batches, checkpointed, released, text_of
 
 _WORD = re.compile(r"[^\W_]+")
 #: Labelled documents of each class that training takes at most.
@@ -293,7 +293,7 @@ def score(docs: DataFrame, fitted: Field, threshold: float = PREDICT_AT, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(fitted)
-        for batch in batches:
+        for batch in released(batches):
             found = [scorer(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array([int(s >= threshold) for s, _ in found], pa.int32()), pa.array([x for _, x in found], span)], ["doc_id", "score", "predicted", "spans"])
 

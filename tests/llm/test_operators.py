@@ -683,3 +683,29 @@ def test_unigram_backend(spark):
     own = sentencepiece.backend(sentencepiece.Model.parse(data))
     for text in ("a", "ab ab", "b a", "aab  b"):
         assert own.encode(text, add_special_tokens=False).ids == other.encode(text)
+
+
+def test_a_packing_worker_remembers_words_and_parts_once(monkeypatch):
+    monkeypatch.setattr(packing, "MEMO_WORDS", 40)
+    encode = packing.WordTokenizer(BPE, public_tokenizers.PATTERN)
+    texts = ["one two, two one's  three\n four ", *(f"w{k} (x{k}) two" for k in range(60)), " ", "a  ", " \n b"]
+    for _ in range(2):
+        assert [np.frombuffer(encode(t), "<u4").tolist() for t in texts] == [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not any(w[1:] in encode.parts for w in encode.words if w[0] == " ") and len(encode.words) + len(encode.parts) == 40
+
+
+def test_arrow_gives_back_what_it_holds_of_a_batch(monkeypatch):
+    from leakloom.llm import common
+
+    gone, pool = [], common.pa.default_memory_pool()
+
+    class Pool:
+        def release_unused(self):
+            gone.append(len(seen))
+            pool.release_unused()
+
+    seen: list = []
+    monkeypatch.setattr(common.pa, "default_memory_pool", Pool)
+    for x in common.released(iter("ab")):
+        seen.append(x)
+    assert gone == [1, 2, 2]
