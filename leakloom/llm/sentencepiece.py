@@ -16,7 +16,6 @@ encoded by itself; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import struct
 from array import array
 from collections.abc import Iterator
@@ -169,7 +168,8 @@ class Codec:
 
     Where texts may be cut before single blanks, the distinct new parts of a batch are encoded
     together, on several threads, and decoded again to see whether they come back; other texts are
-    encoded whole. The first ``MEMO_PARTS`` parts stay in memory.
+    encoded whole. The first ``MEMO_PARTS`` parts stay in memory, as ids alone: the few that don't come
+    back are in ``lost``.
     """
 
     def __init__(self, path: str, threads: int) -> None:
@@ -177,10 +177,17 @@ class Codec:
         with open(path, "rb") as f:
             model = Model.parse(f.read())
         self.tokenizer = backend(model)
+        self.threads = threads
         self.cuts = model.splits() and model.add_dummy_prefix and not model.charsmap and not model.remove_extra_whitespaces
-        self.whole = re.compile(rf"^$|^ | $|  |{MARK}").search
         self.starts = np.array([p.startswith(MARK) for p, _, _ in model.pieces])
-        self.memo: dict[str, tuple[bytes, bool]] = {}
+        self.memo: dict[str, bytes] = {}
+        self.lost: set[str] = set()
+
+    def parts(self, text: str) -> list[str]:
+        """The text cut at its blanks, or whole where that isn't the same."""
+        if not self.cuts or not text or text[0] == " " or text[-1] == " " or "  " in text or MARK in text:
+            return [text]
+        return text.split(" ")
 
     def new_parts(self, parts: list[str]) -> list[tuple[bytes, bool]]:
         """Parts are encoded some hundred at a time as one text: each starts with a marker, and only there is one."""
@@ -201,26 +208,45 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         """(ids as little-endian unsigned 32-bit integers, whether decoding gives the text) of each text."""
-        cut = [x.split(" ") if self.cuts and not self.whole(x) else [x] for x in texts]
-        memo = self.memo
+        cut = [self.parts(x) for x in texts]
+        known = [list(map(self.memo.get, parts)) for parts in cut]
+        gaps = [[k for k, x in enumerate(ids) if x is None] for ids in known]
         held: dict[str, tuple[bytes, bool]] = {}
-        whole = [parts[0] for parts in cut if len(parts) == 1 and parts[0] not in memo]
+        whole = [parts[0] for parts, at in zip(cut, gaps) if at and len(parts) == 1]
         held |= zip(whole, self.new(whole))
-        unknown = list({p for parts in cut if len(parts) > 1 for p in parts if p not in memo and p not in held})
+        unknown = [p for p in dict.fromkeys(parts[k] for parts, at in zip(cut, gaps) for k in at) if p not in held]
         held |= zip(unknown, self.new_parts(unknown))
         out = []
-        for parts in cut:
-            found = list(map(memo.get, parts))
-            if None in found:
-                found = [x if x is not None else held[p] for x, p in zip(found, parts)]
-            out.append((b"".join([x[0] for x in found]), all(x[1] for x in found)))
-        for p, x in held.items():
-            if len(memo) >= MEMO_PARTS:
+        for parts, ids, at in zip(cut, known, gaps):
+            ok = not self.lost or self.lost.isdisjoint(parts)
+            for k in at:
+                ids[k], back = held[parts[k]]
+                ok = ok and back
+            out.append((b"".join(ids), ok))
+        for p, (ids, ok) in held.items():
+            if len(self.memo) >= MEMO_PARTS:
                 break
             if len(p) < 64:
-                memo[p] = x
+                self.memo[p] = ids
+                if not ok:
+                    self.lost.add(p)
         return out
 
+    def hold(self, other, texts: list[str], found: list[tuple[bytes, bool]]) -> None:
+        """What ``encode`` gave for the texts, against the sentencepiece library: ids and, decoded as a whole, the text.
+
+        The ids are the same on both sides, so the library decodes its own list of them. Where it reads them otherwise
+        than the parts were read (it has signs of its own for unknown pieces), the tokenizers backend has the last word.
+        """
+        ids = other.encode(texts, num_threads=self.threads)
+        if [array("I", x).tobytes() for x in ids] != [x for x, _ in found]:
+            raise ValueError("the tokenizers backend and the sentencepiece library differ")
+        back = other.decode(ids, num_threads=self.threads)
+        doubt = [k for k, x in enumerate(back) if (x == texts[k]) != found[k][1]]
+        back = self.tokenizer.decode_batch([ids[k] for k in doubt], skip_special_tokens=False) if doubt else []
+        if any((x == texts[k]) != found[k][1] for k, x in zip(doubt, back)):
+            raise ValueError("a text's ids decode otherwise than its parts")
+
 
 @cache
 def codec(path: str, threads: int) -> Codec:
@@ -233,7 +259,7 @@ def encode(docs: DataFrame, model: str, threads: int = 2, verify: int = 0, id_co
 
     ``round_trip``: decoding gives the text again. ``model`` is a path that every executor has.
     ``verify``: of one text in so many (by its hash; 1: every text) the ids are held against the sentencepiece
-    library's and, as a whole, decoded again; a difference is an error.
+    library's, which also decodes them as a whole; a difference is an error.
     """
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
@@ -250,11 +276,7 @@ def encode(docs: DataFrame, model: str, threads: int = 2, verify: int = 0, id_co
             found = own.encode(texts)
             if verify:
                 picked = [k for k, x in enumerate(texts) if crc32(x.encode("utf-8", "surrogatepass")) % verify == 0]
-                if [array("I", x).tobytes() for x in other.encode([texts[k] for k in picked], num_threads=threads)] != [found[k][0] for k in picked]:
-                    raise ValueError("the tokenizers backend and the sentencepiece library differ")
-                back = own.tokenizer.decode_batch([np.frombuffer(found[k][0], "<u4").tolist() for k in picked], skip_special_tokens=False)
-                if any((text == texts[k]) != found[k][1] for k, text in zip(picked, back)):
-                    raise ValueError("a text's ids decode otherwise than its parts")
+                own.hold(other, [texts[k] for k in picked], [found[k] for k in picked])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.binary()), pa.array([len(x) // 4 for x, _ in found], pa.int64()), pa.array([ok for _, ok in found], pa.bool_())], ["doc_id", "ids", "n_tokens", "round_trip"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, ids binary, n_tokens long, round_trip boolean")
